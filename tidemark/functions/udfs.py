@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import _col, bucket
 
@@ -75,7 +76,7 @@ def tip_pct(tip: str | Column, base: str | Column) -> Column:
     return F.when(base != 0, tip / base * 100.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tip_pct_vec(tip: pd.Series, base: pd.Series) -> pd.Series:
     """Arrow-batched tip percentage; a zero base gives NULL."""
     return tip / base.where(base != 0) * 100.0

@@ -15,13 +15,14 @@ from tidemark.operators.joins import enrich_roles, join_daily
 from tidemark.operators.sets import top_k
 from tidemark.operators.windows import moving_avg
 
-ROWS = F.count(F.lit(1)).alias("trips")
+def trips() -> Column:
+    return F.count(F.lit(1)).alias("trips")
 
 
 def daily_metrics(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Volume, revenue and averages per day, optionally per source."""
     return df.groupBy("day", *by).agg(
-        ROWS,
+        trips(),
         total("total").alias("revenue"),
         mean("distance").alias("avg_distance"),
         mean("tip").alias("avg_tip"),
@@ -39,7 +40,7 @@ def with_weekly_averages(daily: DataFrame) -> DataFrame:
 def daily_by_zone(df: DataFrame, zone: str) -> DataFrame:
     """One row per day, place and source: the base of the marts."""
     return df.groupBy("day", zone, "source").agg(
-        ROWS,
+        trips(),
         F.count_distinct("to_nation").alias("targets"),
         F.sum("total").alias("revenue"),
         mean("distance").cast("decimal(24,8)").alias("avg_distance"),
@@ -73,28 +74,28 @@ def zone_mart(by_zone: DataFrame, zone: str) -> DataFrame:
 
 def hourly_profile(df: DataFrame, ts: str, value: str) -> DataFrame:
     """Volume and mean value by hour and day type."""
-    return df.groupBy(F.hour(ts).alias("hour"), day_type(ts).alias("day_type")).agg(ROWS, mean(value).alias("avg_value"))
+    return df.groupBy(F.hour(ts).alias("hour"), day_type(ts).alias("day_type")).agg(trips(), mean(value).alias("avg_value"))
 
 
 def rush_profile(df: DataFrame, ts: str, value: str) -> DataFrame:
-    return df.groupBy(rush_category(ts).alias("rush")).agg(ROWS, mean(value).alias("avg_value"))
+    return df.groupBy(rush_category(ts).alias("rush")).agg(trips(), mean(value).alias("avg_value"))
 
 
 def weekday_profile(df: DataFrame, ts: str, value: str) -> DataFrame:
     return df.groupBy(iso_dow(ts).alias("dow"), day_name(ts).alias("day_name")).agg(
-        ROWS, total(value).alias("sum_value"), mean(value).alias("avg_value")
+        trips(), total(value).alias("sum_value"), mean(value).alias("avg_value")
     )
 
 
 def rush_versus_weekend(df: DataFrame, ts: str, value: str) -> DataFrame:
     """The rush hours on weekdays against the same hours at weekends."""
     return df.filter(in_hours(ts, RUSH_HOURS)).groupBy(day_type(ts).alias("day_type")).agg(
-        ROWS, mean(value).alias("avg_value")
+        trips(), mean(value).alias("avg_value")
     )
 
 
 def hour_heatmap(df: DataFrame, ts: str, value: str) -> DataFrame:
-    return df.groupBy(iso_dow(ts).alias("dow"), F.hour(ts).alias("hour")).agg(ROWS, mean(value).alias("avg_value"))
+    return df.groupBy(iso_dow(ts).alias("dow"), F.hour(ts).alias("hour")).agg(trips(), mean(value).alias("avg_value"))
 
 
 def with_places(df: DataFrame, places: DataFrame) -> DataFrame:
@@ -104,20 +105,20 @@ def with_places(df: DataFrame, places: DataFrame) -> DataFrame:
 
 def zone_performance(df: DataFrame, role: str) -> DataFrame:
     return df.groupBy(f"{role}_r_name", f"{role}_n_name").agg(
-        ROWS, total("total").alias("revenue"), mean("distance").alias("avg_distance"), mean("fare").alias("avg_fare")
+        trips(), total("total").alias("revenue"), mean("distance").alias("avg_distance"), mean("fare").alias("avg_fare")
     )
 
 
 def region_revenue(df: DataFrame) -> DataFrame:
     return df.groupBy("from_r_name").agg(
-        ROWS, total("total").alias("revenue"), mean("total").alias("avg_total"), mean("tip").alias("avg_tip")
+        trips(), total("total").alias("revenue"), mean("total").alias("avg_total"), mean("tip").alias("avg_tip")
     )
 
 
 def od_matrix(df: DataFrame, k: int) -> DataFrame:
     """The ``k`` busiest origin–destination pairs."""
     pairs = df.groupBy("from_n_name", "to_n_name").agg(
-        ROWS, mean("total").alias("avg_total"), mean("distance").alias("avg_distance")
+        trips(), mean("total").alias("avg_total"), mean("distance").alias("avg_distance")
     )
     return top_k(pairs, [F.col("trips").desc(), "from_n_name", "to_n_name"], k)
 
@@ -125,7 +126,7 @@ def od_matrix(df: DataFrame, k: int) -> DataFrame:
 def cross_region(df: DataFrame, k: int) -> DataFrame:
     """Busiest flows between different regions."""
     flows = df.filter("from_r_name <> to_r_name").groupBy("from_r_name", "to_r_name").agg(
-        ROWS, mean("fare").alias("avg_fare"), mean("distance").alias("avg_distance")
+        trips(), mean("fare").alias("avg_fare"), mean("distance").alias("avg_distance")
     )
     return top_k(flows, [F.col("trips").desc(), "from_r_name", "to_r_name"], k)
 
@@ -133,7 +134,7 @@ def cross_region(df: DataFrame, k: int) -> DataFrame:
 def top_routes(df: DataFrame, k: int, support: int = 0) -> DataFrame:
     """Most profitable routes with at least ``support`` trips."""
     routes = df.groupBy("from_n_name", "to_n_name").agg(
-        ROWS, total("total").alias("revenue"), mean("fare").alias("avg_fare")
+        trips(), total("total").alias("revenue"), mean("fare").alias("avg_fare")
     ).filter(F.col("trips") >= support)
     return top_k(routes, [F.col("revenue").desc(), "from_n_name", "to_n_name"], k)
 
@@ -141,7 +142,7 @@ def top_routes(df: DataFrame, k: int, support: int = 0) -> DataFrame:
 def slow_zones(df: DataFrame, limit: float) -> DataFrame:
     """Places whose distance over time stays below ``limit`` per hour."""
     sums = df.filter("duration_min > 0").groupBy("from_n_name").agg(
-        ROWS, ratio(F.sum("distance"), F.sum("duration_min"), 60.0).alias("avg_speed")
+        trips(), ratio(F.sum("distance"), F.sum("duration_min"), 60.0).alias("avg_speed")
     )
     return sums.filter(F.col("avg_speed") < limit)
 
@@ -149,7 +150,7 @@ def slow_zones(df: DataFrame, limit: float) -> DataFrame:
 def day_type_compare(df: DataFrame, ts: str) -> DataFrame:
     """Weekday against weekend, with trips per active day."""
     return df.groupBy(day_type(ts).alias("day_type")).agg(
-        ROWS,
+        trips(),
         mean("fare").alias("avg_fare"),
         mean("distance").alias("avg_distance"),
         ratio(F.sum("tip"), F.sum("fare"), 100.0).alias("tip_pct"),
@@ -191,14 +192,14 @@ def trips_by_factor_day(df: DataFrame, factors: DataFrame, ts: str) -> DataFrame
 
 def compare_sources(df: DataFrame, source: str) -> DataFrame:
     """One line per source: volume, mean duration and mean fare (NULL where a source has none)."""
-    return df.groupBy(source).agg(ROWS, mean("duration_min").alias("avg_duration"), mean("fare").alias("avg_fare"))
+    return df.groupBy(source).agg(trips(), mean("duration_min").alias("avg_duration"), mean("fare").alias("avg_fare"))
 
 
 def payment_breakdown(df: DataFrame, by: str) -> DataFrame:
     """Tips by payment: mean, mean of ratios, ratio of sums, share of trips with any tip."""
     each = safe_divide(F.col("tip"), F.col("fare"), 0).cast("decimal(18,6)")
     return df.groupBy(by).agg(
-        ROWS,
+        trips(),
         mean("tip").alias("avg_tip"),
         (mean(each) * 100).alias("avg_tip_pct"),
         ratio(F.sum("tip"), F.sum("fare"), 100.0).alias("tip_pct_of_sums"),
@@ -213,21 +214,21 @@ def endpoint_volume(df: DataFrame, hubs: Sequence[int]) -> DataFrame:
     hub = F.when(F.col("from_nation").isin(*hubs), F.col("from_nation")).otherwise(F.col("to_nation"))
     return (
         df.withColumn("way", way).filter("way is not null").groupBy(hub.alias("hub"), "way")
-        .agg(ROWS, mean("fare").alias("avg_fare"), mean("tip").alias("avg_tip"), mean("distance").alias("avg_distance"))
+        .agg(trips(), mean("fare").alias("avg_fare"), mean("tip").alias("avg_tip"), mean("distance").alias("avg_distance"))
     )
 
 
 def origins_of(df: DataFrame, target: int, k: int) -> DataFrame:
     """Places most trips to one target start from."""
     found = df.filter(F.col("to_nation") == target).groupBy("from_r_name", "from_n_name").agg(
-        ROWS, mean("fare").alias("avg_fare")
+        trips(), mean("fare").alias("avg_fare")
     )
     return top_k(found, [F.col("trips").desc(), "from_n_name"], k)
 
 
 def return_targets(df: DataFrame) -> DataFrame:
     """For each place, where the trips leaving it most often end."""
-    flows = df.groupBy("from_n_name", "to_n_name").agg(ROWS)
+    flows = df.groupBy("from_n_name", "to_n_name").agg(trips())
     best = F.min(F.struct((-F.col("trips")).alias("neg"), F.col("to_n_name").alias("name")))
     return flows.groupBy("from_n_name").agg(best.alias("_b")).select(
         "from_n_name", F.col("_b.name").alias("main_target"), (-F.col("_b.neg")).alias("trips")

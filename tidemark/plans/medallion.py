@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.quality import first_failure
-from tidemark.plans.gold import ROWS, daily_metrics, zone_performance, with_places
+from tidemark.plans.gold import daily_metrics, trips, with_places, zone_performance
 from tidemark.plans.silver import SilverSpec, derive
 from tidemark.operators.history import dedupe
 from tidemark.operators.projections import harmonise
@@ -25,18 +25,19 @@ def expect_empty(df: DataFrame, message: str) -> None:
 
 
 def write_split(df: DataFrame, rules: Sequence[tuple[str, Column]], path: str, by: Sequence[str] = ()) -> None:
-    """Write valid and quarantined rows in one pass, as partitions ``is_valid=true|false``."""
+    """Write valid and quarantined rows in one pass, as partitions ``part=valid|quarantine``."""
     reason = first_failure(rules)
-    marked = df.withColumn("reason", reason).withColumn("is_valid", reason.isNull())
-    marked.write.mode("overwrite").partitionBy("is_valid", *by).parquet(path)
+    part = F.when(reason.isNull(), "valid").otherwise("quarantine")
+    marked = df.withColumns({"reason": reason, "part": part})
+    marked.write.mode("overwrite").partitionBy("part", *by).parquet(path)
 
 
-def run_medallion(spark: SparkSession, trips: DataFrame, places: DataFrame, spec: SilverSpec, out: str) -> DataFrame:
+def run_medallion(spark: SparkSession, raw: DataFrame, places: DataFrame, spec: SilverSpec, out: str) -> DataFrame:
     """Write all layers under ``out`` and return one summary row per table.
 
     Layers hand over by files, so each is computed once and a lost executor re-reads it.
     """
-    stamped = trips.withColumns({"_batch_id": F.lit("full"), "_source_table": F.lit(spec.tag)})
+    stamped = raw.withColumns({"_batch_id": F.lit("full"), "_source_table": F.lit(spec.tag)})
     stamped.write.mode("overwrite").parquet(f"{out}/bronze/trips")
     places.write.mode("overwrite").parquet(f"{out}/bronze/places")
     bronze = spark.read.parquet(f"{out}/bronze/trips")
@@ -53,7 +54,7 @@ def run_medallion(spark: SparkSession, trips: DataFrame, places: DataFrame, spec
     ]
     write_split(derived, rules, f"{out}/silver/trips")
     silver = spark.read.parquet(f"{out}/silver/trips")
-    valid = silver.filter("is_valid")
+    valid = silver.filter("part = 'valid'")
     for c in spec.not_negative:
         expect_empty(valid.filter(F.col(c) < 0), f"silver has negative {c}")
     expect_empty(valid.filter("ended < started"), "silver has intervals that end before they start")
@@ -62,7 +63,7 @@ def run_medallion(spark: SparkSession, trips: DataFrame, places: DataFrame, spec
     gold = {
         "daily_metrics": daily_metrics(valid),
         "zone_performance": zone_performance(placed, "from"),
-        "weekday_profile": valid.groupBy(F.weekday("started").alias("dow")).agg(ROWS),
+        "weekday_profile": valid.groupBy(F.weekday("started").alias("dow")).agg(trips()),
     }
     for name, df in gold.items():
         df.write.mode("overwrite").parquet(f"{out}/gold/{name}")
@@ -74,7 +75,7 @@ def run_medallion(spark: SparkSession, trips: DataFrame, places: DataFrame, spec
     for part in (
         lines("bronze", "places", dims),
         lines("silver", "trips", valid),
-        lines("silver", "quarantine", silver.filter("not is_valid")),
+        lines("silver", "quarantine", silver.filter("part = 'quarantine'")),
         *[lines("gold", n, spark.read.parquet(f"{out}/gold/{n}")) for n in gold],
     ):
         out_rows = out_rows.unionByName(part)

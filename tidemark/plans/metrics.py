@@ -42,7 +42,9 @@ def _hours() -> Column:
     return F.count_distinct(F.date_trunc("hour", F.col("started")))
 
 
-_MINUTES = minute_boundaries("started", "ended")
+def _minutes() -> Column:
+    return minute_boundaries("started", "ended")
+
 
 # Sixteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
 REGISTRY = {
@@ -67,9 +69,9 @@ REGISTRY = {
                ("vendor",), GRAINS, {"warning_below": 3.0, "critical_below": 2.0}),
         Metric("avg_distance", "trip", "average", lambda: mean(_only("distance > 0", "distance")),
                ("vendor", "payment"), GRAINS, {"warning_below": 1.0, "critical_below": 0.5}, ("executive",)),
-        Metric("avg_duration", "trip", "average", lambda: mean(F.when(F.col("ended") > F.col("started"), _MINUTES)),
+        Metric("avg_duration", "trip", "average", lambda: mean(F.when(F.col("ended") > F.col("started"), _minutes())),
                ("vendor",), GRAINS, {"warning_above": 60, "critical_above": 120}),
-        Metric("p95_duration", "trip", "percentile", lambda: _MINUTES, ("vendor",), GRAINS,
+        Metric("p95_duration", "trip", "percentile", lambda: _minutes(), ("vendor",), GRAINS,
                {"warning_above": 60, "critical_above": 90}),
         Metric("short_rate", "trip", "ratio", lambda: _rate("distance < 5", "distance >= 0"), ("vendor",)),
         Metric("trips", "geographic", "count", lambda: F.count(F.lit(1)), ("vendor", "payment"), GRAINS, {}, ("executive",)),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.ranges import lay_out, running
 
@@ -44,6 +45,31 @@ def lateness_summary(classified: DataFrame, value: str) -> DataFrame:
     )
 
 
-def is_behind(ts: str, mark: Column) -> Column:
-    """True for rows a watermark at ``mark`` leaves behind; for a side table in ``foreachBatch``."""
-    return F.col(ts) < mark
+def split_late(stream: DataFrame, ts: str, lateness: str, out: str, checkpoint: str) -> None:
+    """Take what is available; rows behind the watermark go to ``out/late``, the rest to ``out/kept``.
+
+    The watermark moves per micro-batch: it is the greatest event time of *earlier* batches less the
+    lateness. Each batch notes its own greatest time under ``out/marks``; all three outputs are
+    overwritten when a batch is retried, so a restart neither loses nor repeats a row.
+    """
+    spark = stream.sparkSession
+
+    def take(batch: DataFrame, epoch: int) -> None:
+        mark = F.lit(None).cast("timestamp_ntz")
+        try:
+            past = spark.read.parquet(f"{out}/marks").filter(F.col("epoch") < epoch)
+            seen = past.agg(F.max("seen").alias("m")).first()["m"]
+            mark = F.lit(seen).cast("timestamp_ntz") - F.expr(f"interval {lateness}")
+        except AnalysisException:
+            pass
+        behind = F.coalesce(F.col(ts) < mark, F.lit(False))
+        batch.filter(~behind).write.mode("overwrite").parquet(f"{out}/kept/epoch={epoch}")
+        late = batch.filter(behind).withColumn("watermark", mark)
+        late.write.mode("overwrite").parquet(f"{out}/late/epoch={epoch}")
+        batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{out}/marks/epoch={epoch}")
+
+    query = (
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()

@@ -33,12 +33,16 @@ def sliding(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str],
     return _flat(grouped, keys, aggs)
 
 
-def top_in_window(df: DataFrame, ts: str, size: str, key: str, n: int) -> DataFrame:
-    """Most frequent keys per window (batch, or inside ``foreachBatch``)."""
-    counted = df.groupBy(F.window(ts, size).alias("window"), key).agg(F.count(F.lit(1)).alias("rows"))
-    w = Window.partitionBy("window").orderBy(F.col("rows").desc(), key)
+def rank_in_window(counted: DataFrame, key: str, n: int) -> DataFrame:
+    """Best keys of each window of a finished count (window_start, key, rows)."""
+    w = Window.partitionBy("window_start").orderBy(F.col("rows").desc(), key)
     ranked = counted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
-    return ranked.select(F.col("window.start").alias("window_start"), "place", key, "rows")
+    return ranked.select("window_start", "place", key, "rows")
+
+
+def top_in_window(df: DataFrame, ts: str, size: str, key: str, n: int) -> DataFrame:
+    """Most frequent keys per window (batch); a stream ranks in ``foreachBatch`` as windows close."""
+    return rank_in_window(tumbling(df, ts, size, [key], {"rows": F.count(F.lit(1))}), key, n)
 
 
 def _session_columns(count: Column, first: Column, last: Column) -> dict[str, Column]:
@@ -81,7 +85,7 @@ def sessions_stream(stream: DataFrame, key: str, ts: str, gap: str, value: str)
 
 def session_stats(found: DataFrame) -> DataFrame:
     """Figures over all sessions."""
-    micros = F.sum((F.col("duration_sec") * 1000000).cast("bigint"))
+    micros = F.sum(F.round(F.col("duration_sec") * 1000000).cast("bigint"))
     return found.agg(
         F.count(F.lit(1)).alias("sessions"),
         (micros / F.count(F.lit(1)) / 1000000).alias("avg_duration_sec"),
