@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, query, total
+from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, mean_ratio, query, total
 from tidemark.catalog.scalars import NULLED, with_nulls
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.amounts import total as sum_money
@@ -65,8 +65,7 @@ def ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ratio_of_sums(sales(spark, sf_dir), ["payment"], "tip", "fare")
 
 
-@query(f"""WITH l AS (SELECT l_returnflag, l_discount, CASE WHEN l_discount <> 0 THEN CAST(l_tax / l_discount AS DECIMAL(18,6)) END AS r FROM lineitem)
-SELECT l_returnflag, {mean('r')} AS ratio FROM l GROUP BY l_returnflag""")
+@query(f"""SELECT l_returnflag, {mean_ratio('CASE WHEN l_discount <> 0 THEN l_tax / l_discount END')} AS ratio FROM lineitem GROUP BY l_returnflag""")
 def mean_of_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.mean_of_ratios(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_tax", "l_discount")
 
@@ -103,16 +102,18 @@ def two_level_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.two_level(df, ["day", "event_type"], ["event_type"], "value", weighted=False)
 
 
-@query("""SELECT event_type, q, CASE q WHEN 0.25 THEN quantile_cont(value, 0.25) WHEN 0.5 THEN quantile_cont(value, 0.5)
-  ELSE quantile_cont(value, 0.95) END AS value
+@query("""SELECT event_type, q, round(CASE q WHEN 0.25 THEN quantile_cont(value, 0.25) WHEN 0.5 THEN quantile_cont(value, 0.5)
+  ELSE quantile_cont(value, 0.95) END, 6) AS value
 FROM events, (VALUES (CAST(0.25 AS DOUBLE)), (0.5), (0.95)) p(q) GROUP BY event_type, q""")
 def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.95])
+    out = A.quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.25, 0.5, 0.95])
+    return out.withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT quantile_cont(l_extendedprice, 0.99) AS value, CAST(0.99 AS DOUBLE) AS q FROM lineitem""")
+@query("""SELECT round(quantile_cont(l_extendedprice, 0.99), 6) AS value, CAST(0.99 AS DOUBLE) AS q FROM lineitem""")
 def exact_quantile_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", [0.99])
+    out = A.quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", [0.99])
+    return out.withColumn("value", F.round("value", 6))
 
 
 @query("SELECT event_type, TRUE AS within_bound FROM events GROUP BY event_type")
@@ -174,9 +175,8 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PLACED} SELECT from_r_name, from_n_name, CAST(GROUPING(from_r_name, from_n_name) AS INTEGER) AS level,
 COUNT(*) AS rows, {total('total')} AS revenue FROM placed GROUP BY ROLLUP (from_r_name, from_n_name)""")
 def rollup_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rollup(
-        placed(spark, sf_dir), ["from_r_name", "from_n_name"], {"rows": F.count(F.lit(1)), "revenue": sum_money("total")}
-    )
+    out = A.rollup(placed(spark, sf_dir), ["from_r_name", "from_n_name"], {"rows": F.lit(1), "revenue": F.col("total")})
+    return out.withColumn("revenue", F.round("revenue", 2).cast("double"))
 
 
 _CUBE = f"""WITH {PLACED} SELECT from_r_name, payment, rate, CAST(GROUPING(from_r_name, payment, rate) AS INTEGER) AS level,
@@ -185,7 +185,8 @@ COUNT(*) AS rows, {total('total')} AS revenue FROM placed GROUP BY CUBE (from_r_
 
 def _cubed(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = ["from_r_name", "payment", "rate"]
-    return A.cube(placed(spark, sf_dir), dims, {"rows": F.count(F.lit(1)), "revenue": sum_money("total")})
+    out = A.cube(placed(spark, sf_dir), dims, {"rows": F.lit(1), "revenue": F.col("total")})
+    return out.withColumn("revenue", F.round("revenue", 2).cast("double"))
 
 
 @query(_CUBE)

@@ -67,3 +67,7 @@ def mean(x: str, more: str = "") -> str:
 
 def mean_over(x: str, frame: str) -> str:
     return f"CAST(SUM({x}) OVER ({frame}) AS DOUBLE) / NULLIF(COUNT({x}) OVER ({frame}), 0)"
+
+
+def mean_ratio(x: str) -> str:
+    return f"CAST(SUM(CAST(floor(({x}) * 1000000 + 0.5) AS BIGINT)) AS DOUBLE) / NULLIF(COUNT({x}), 0) / 1000000"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.aggregates import DAILY, daily_figures, placed
-from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, mean_over, query, total
+from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, mean_over, mean_ratio, query, total
 from tidemark.catalog.scalars import HUBS, ended_events
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.scalars import bucket
@@ -310,10 +310,10 @@ def top_zones_per_service(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per(z, ["rate"], [F.col("trips").desc(), "from_n_name"], 10, ties=False)
 
 
-_EACH = "CASE WHEN fare <> 0 THEN CAST(CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) AS DECIMAL(18,6)) ELSE 0 END"
+_EACH = "CASE WHEN fare <> 0 THEN CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) ELSE 0 END"
 
 
-@query(f"""WITH {SALES} SELECT payment, COUNT(*) AS trips, {mean('tip')} AS avg_tip, {mean(_EACH)} * 100 AS avg_tip_pct,
+@query(f"""WITH {SALES} SELECT payment, COUNT(*) AS trips, {mean('tip')} AS avg_tip, {mean_ratio(_EACH)} * 100 AS avg_tip_pct,
 CAST(SUM(tip) AS DOUBLE) / CAST(SUM(fare) AS DOUBLE) * 100 AS tip_pct_of_sums, COUNT(*) FILTER (WHERE tip > 0) / COUNT(*) * 100 AS pct_with_tip,
 {mean('distance')} AS avg_distance FROM sales GROUP BY payment""")
 def payment_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.catalog.aggregates import placed
-from tidemark.catalog.base import PLACED, SALES, mean, query, total
+from tidemark.catalog.base import PLACED, SALES, mean, mean_ratio, query, total
 from tidemark.plans import dashboards as D
 from tidemark.plans import metrics as M
 from tidemark.tables import sales
@@ -20,11 +20,11 @@ SQL = {
     "avg_party": mean("CASE WHEN line_no > 0 THEN line_no END"),
     "total_revenue": total("total"),
     "avg_fare": mean("CASE WHEN fare > 0 THEN fare END"),
-    "avg_tip_rate": mean("CASE WHEN fare > 0 AND tip >= 0 THEN CAST(CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) AS DECIMAL(18,6)) END"),
+    "avg_tip_rate": mean_ratio("CASE WHEN fare > 0 AND tip >= 0 THEN CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) END"),
     "revenue_per_mile": _RATIO.format("SUM(CASE WHEN distance > 0 THEN total END)", "SUM(CASE WHEN distance > 0 THEN distance END)"),
     "avg_distance": mean("CASE WHEN distance > 0 THEN distance END"),
     "avg_duration": mean(f"CASE WHEN ended > started THEN {_MIN} END"),
-    "p95_duration": f"quantile_cont({_MIN}, 0.95) FILTER (WHERE ended > started AND {_MIN} > 0)",
+    "p95_duration": f"round(quantile_cont({_MIN}, 0.95) FILTER (WHERE ended > started AND {_MIN} > 0), 6)",
     "short_rate": "COUNT(*) FILTER (WHERE distance < 5 AND distance >= 0) / NULLIF(COUNT(*) FILTER (WHERE distance >= 0), 0)",
     "trips": "CAST(COUNT(*) AS DOUBLE)",
     "active_origins": "CAST(COUNT(DISTINCT from_nation) AS DOUBLE)",

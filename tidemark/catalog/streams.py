@@ -258,10 +258,10 @@ def key_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, COUNT(*) AS rows, CAST(SUM(event_id) AS BIGINT) AS sum_id FROM events GROUP BY event_type")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth event is delivered twice."""
+    """Errors are delivered twice."""
     df = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     landing = scratch_path(spark, "twice")
-    df.unionByName(df.filter(F.col("event_id") % 10 == 0)).write.parquet(landing)
+    df.unionByName(df.filter("event_type = 'error'")).write.parquet(landing)
     out = scratch_path(spark, "once")
     once = K.dedupe_stream(K.read_stream(spark, landing, df.schema), ["event_id"], "ts", "1 hour")
     K.stream_to_table(once, out, scratch_path(spark, "once-checkpoint"))

@@ -32,3 +32,9 @@ def ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
     """Quotient of two aggregates; NULL when the denominator is zero."""
     out = F.try_divide(num.cast("double"), den.cast("double"))
     return out * scale if scale != 1.0 else out
+
+
+def mean_ratio(each: Column) -> Column:
+    """Mean of a per-row ratio, each taken to the nearest millionth so that the sum is of whole numbers."""
+    millionths = F.floor(each * 1000000 + 0.5)
+    return F.try_divide(F.sum(millionths).cast("double"), F.count(each)) / 1000000

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import mean, ratio
+from tidemark.functions.amounts import mean, mean_ratio, ratio
 from tidemark.operators.ranges import lay_out, running
 
 
@@ -35,10 +35,10 @@ def ratio_of_sums(df: DataFrame, by: Sequence[str], num: str, den: str) -> DataF
     return summarise(df, by, {"ratio": ratio(F.sum(num), F.sum(den))})
 
 
-def mean_of_ratios(df: DataFrame, by: Sequence[str], num: str, den: str, scale: int = 6) -> DataFrame:
+def mean_of_ratios(df: DataFrame, by: Sequence[str], num: str, den: str) -> DataFrame:
     """Mean over rows of ``num / den``; rows with a zero denominator do not count."""
-    each = F.when(F.col(den) != 0, F.col(num) / F.col(den)).cast(f"decimal(18,{scale})")
-    return summarise(df, by, {"ratio": mean(each)})
+    each = F.when(F.col(den) != 0, F.col(num).cast("double") / F.col(den).cast("double"))
+    return summarise(df, by, {"ratio": mean_ratio(each)})
 
 
 def per_active_day(df: DataFrame, by: Sequence[str], ts: str, integer: bool = False) -> DataFrame:
@@ -120,18 +120,26 @@ def pivot(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[obje
     return df.groupBy(*rows).pivot(column, list(values)).agg(agg).fillna(0)
 
 
-def rollup(df: DataFrame, dims: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Subtotals from the finest level up; ``level`` is the grouping bitmap."""
-    return df.rollup(*dims).agg(
-        F.grouping_id().cast("int").alias("level"), *[c.alias(n) for n, c in aggs.items()]
-    )
+def _finest(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    return df.groupBy(*dims).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
 
 
-def cube(df: DataFrame, dims: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
-    """Subtotals for every subset of the dimensions."""
-    return df.cube(*dims).agg(
-        F.grouping_id().cast("int").alias("level"), *[c.alias(n) for n, c in aggs.items()]
-    )
+def _levels(grouped: GroupedData, sums: Mapping[str, Column]) -> DataFrame:
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), *[F.sum(n).alias(n) for n in sums])
+
+
+def rollup(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Subtotals from the finest level up; ``level`` is the grouping bitmap.
+
+    ``sums`` are additive (count is a sum of ones), so rows are first summed at the finest level and
+    only those groups, not the rows, are repeated for every level.
+    """
+    return _levels(_finest(df, dims, sums).rollup(*dims), sums)
+
+
+def cube(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Subtotals for every subset of the dimensions; the finest level is summed first."""
+    return _levels(_finest(df, dims, sums).cube(*dims), sums)
 
 
 def slice_cube(cubed: DataFrame, fixed: Mapping[str, object]) -> DataFrame:

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
-def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Broadcast hint, only when the optimiser's size estimate is within ``limit`` bytes.
+def estimated_bytes(df: DataFrame) -> int:
+    """Size the optimiser expects; exact for file scans, pessimistic for joins."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_LIMIT, bound: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint, only when the estimated size is within ``limit`` bytes.
 
     Beyond it the frame is returned as it is, and the join shuffles (with AQE skew handling).
+    ``bound`` is a frame ``df`` cannot outgrow (the many side of a lookup); its estimate is used
+    where that of ``df`` itself would multiply the sizes of the joined tables.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    return F.broadcast(df) if estimated_bytes(df if bound is None else bound) <= limit else df
 
 
 def join_on(a: DataFrame, b: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:

@@ -22,13 +22,15 @@ _AGG = {"count": F.count, "sum": F.sum, "max": F.max, "min": F.min}
 _MERGE = {**_AGG, "count": F.sum}
 
 
-def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str], slots: int | None = None) -> DataFrame:
     """Assign each row a slot of the global order and fix it by writing the frame to scratch.
 
     ``keys + order`` must identify rows up to exact ties, as for any deterministic window. The
     write also pins slot numbers, which a recomputed range partitioning might draw differently.
+    ``slots`` defaults to the session's shuffle partitions, which adaptive execution may merge.
     """
-    ranged = df.repartitionByRange(*keys, *order)
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(slots, *by) if slots else df.repartitionByRange(*by)
     return materialise(ranged.withColumn("_slot", F.spark_partition_id()), "ranges")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import mean, ratio, total
+from tidemark.functions.amounts import mean, mean_ratio, ratio, total
 from tidemark.functions.scalars import direction, safe_divide
 from tidemark.functions.times import RUSH_HOURS, day_name, day_type, in_hours, iso_dow, rush_category
 from tidemark.operators.aggregates import correlations
@@ -197,11 +197,11 @@ def compare_sources(df: DataFrame, source: str) -> DataFrame:
 
 def payment_breakdown(df: DataFrame, by: str) -> DataFrame:
     """Tips by payment: mean, mean of ratios, ratio of sums, share of trips with any tip."""
-    each = safe_divide(F.col("tip"), F.col("fare"), 0).cast("decimal(18,6)")
+    each = safe_divide(F.col("tip").cast("double"), F.col("fare").cast("double"), 0.0)
     return df.groupBy(by).agg(
         trips(),
         mean("tip").alias("avg_tip"),
-        (mean(each) * 100).alias("avg_tip_pct"),
+        (mean_ratio(each) * 100).alias("avg_tip_pct"),
         ratio(F.sum("tip"), F.sum("fare"), 100.0).alias("tip_pct_of_sums"),
         (F.count_if(F.col("tip") > 0) / F.count(F.lit(1)) * 100).alias("pct_with_tip"),
         mean("distance").alias("avg_distance"),

@@ -1,15 +1,17 @@
-"""Metric registry: each metric is declared once and computed for any dimensions and grain."""
+"""Metric registry: each metric is declared once and computed for any dimensions and grain.
+
+A metric is a sum, or one sum over another, or a count of distinct values. Sums add up, so many metrics
+are computed from one pre-aggregate, and distinct values are counted on that, not on the rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import mean, ratio, total
-from tidemark.functions.times import minute_boundaries
 from tidemark.operators.aggregates import quantiles
 from tidemark.operators.windows import growth
 
@@ -18,70 +20,63 @@ GRAINS = ("day", "week", "month")
 
 @dataclass(frozen=True)
 class Metric:
-    """``compute`` builds the aggregate; ``where`` limits the rows it sees."""
+    """``num`` is summed over the rows matching ``where``.
+
+    The sum is divided by the sum of ``den`` if given, by the matching rows for an average, or by the
+    number of distinct ``per`` values. A distinct count is ``per`` alone. A ``num`` in whole units of
+    1/``scale`` is brought back at the end.
+    """
 
     name: str
     domain: str
     kind: str
-    compute: Callable[[], Column]
+    num: str | None = None
+    den: str | None = None
+    per: str | None = None
+    where: str = "true"
+    q: float | None = None
+    scale: float = 1.0
     dimensions: Sequence[str] = ()
     grains: Sequence[str] = GRAINS
     thresholds: Mapping[str, float] = field(default_factory=dict)
     tags: Sequence[str] = ()
 
 
-def _only(condition: str, c: str | Column) -> Column:
-    return F.when(F.expr(condition), F.col(c) if isinstance(c, str) else c)
-
-
-def _rate(condition: str, among: str = "true") -> Column:
-    return F.try_divide(F.count_if(F.expr(f"({condition}) and ({among})")), F.count_if(F.expr(among)))
-
-
-def _hours() -> Column:
-    return F.count_distinct(F.date_trunc("hour", F.col("started")))
-
-
-def _minutes() -> Column:
-    return minute_boundaries("started", "ended")
-
+_DAY, _HOUR = "to_date(started)", "date_trunc('hour', started)"
+_MINUTES = "floor(unix_timestamp(ended) / 60) - floor(unix_timestamp(started) / 60)"
+_TIP_RATE = "floor(cast(tip as double) / cast(fare as double) * 1000000 + 0.5)"
 
 # Sixteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
-REGISTRY = {
-    m.name: m
-    for m in (
-        Metric("trips_per_day", "volume", "average",
-               lambda: ratio(F.count(F.lit(1)), F.count_distinct(F.to_date("started"))),
-               ("vendor", "payment"), ("month",), {"warning_below": 5000, "critical_below": 1000}, ("executive",)),
-        Metric("trips_per_hour", "volume", "average", lambda: ratio(F.count(F.lit(1)), _hours()),
-               ("vendor",), ("day", "week", "month"), {"warning_below": 200, "critical_below": 50}),
-        Metric("avg_party", "volume", "average", lambda: mean(_only("line_no > 0", "line_no")),
-               ("vendor",), GRAINS, {"warning_below": 1.0, "critical_below": 0.5}),
-        Metric("total_revenue", "revenue", "sum", lambda: total("total"),
-               ("vendor", "payment"), GRAINS, {"warning_below": 50000, "critical_below": 10000}, ("executive",)),
-        Metric("avg_fare", "revenue", "average", lambda: mean(_only("fare > 0", "fare")),
-               ("vendor", "payment"), GRAINS, {"warning_below": 8.0, "critical_below": 5.0}, ("executive",)),
-        Metric("avg_tip_rate", "revenue", "ratio",
-               lambda: mean(_only("fare > 0 and tip >= 0", F.expr("tip / fare").cast("decimal(18,6)"))),
-               ("payment",), GRAINS, {"warning_below": 0.10, "critical_below": 0.05}),
-        Metric("revenue_per_mile", "revenue", "ratio",
-               lambda: ratio(F.sum(_only("distance > 0", "total")), F.sum(_only("distance > 0", "distance"))),
-               ("vendor",), GRAINS, {"warning_below": 3.0, "critical_below": 2.0}),
-        Metric("avg_distance", "trip", "average", lambda: mean(_only("distance > 0", "distance")),
-               ("vendor", "payment"), GRAINS, {"warning_below": 1.0, "critical_below": 0.5}, ("executive",)),
-        Metric("avg_duration", "trip", "average", lambda: mean(F.when(F.col("ended") > F.col("started"), _minutes())),
-               ("vendor",), GRAINS, {"warning_above": 60, "critical_above": 120}),
-        Metric("p95_duration", "trip", "percentile", lambda: _minutes(), ("vendor",), GRAINS,
-               {"warning_above": 60, "critical_above": 90}),
-        Metric("short_rate", "trip", "ratio", lambda: _rate("distance < 5", "distance >= 0"), ("vendor",)),
-        Metric("trips", "geographic", "count", lambda: F.count(F.lit(1)), ("vendor", "payment"), GRAINS, {}, ("executive",)),
-        Metric("active_origins", "geographic", "count", lambda: F.count_distinct("from_nation"), ("vendor",)),
-        Metric("cross_place_rate", "geographic", "ratio", lambda: _rate("from_nation <> to_nation"), ("vendor",)),
-        Metric("urgent_rate", "payment", "ratio", lambda: _rate("payment = '1-URGENT'"), ("vendor",)),
-        Metric("avg_tip_urgent", "payment", "average", lambda: mean(_only("payment = '1-URGENT'", "tip")),
-               ("vendor",), GRAINS, {"warning_below": 1.5, "critical_below": 0.5}),
-    )
-}
+_ALL = (
+    Metric("trips_per_day", "volume", "average", "1", per=_DAY, dimensions=("vendor", "payment"), grains=("month",),
+           thresholds={"warning_below": 5000, "critical_below": 1000}, tags=("executive",)),
+    Metric("trips_per_hour", "volume", "average", "1", per=_HOUR, dimensions=("vendor",),
+           thresholds={"warning_below": 200, "critical_below": 50}),
+    Metric("avg_party", "volume", "average", "line_no", where="line_no > 0", dimensions=("vendor",),
+           thresholds={"warning_below": 1.0, "critical_below": 0.5}),
+    Metric("total_revenue", "revenue", "sum", "total", dimensions=("vendor", "payment"),
+           thresholds={"warning_below": 50000, "critical_below": 10000}, tags=("executive",)),
+    Metric("avg_fare", "revenue", "average", "fare", where="fare > 0", dimensions=("vendor", "payment"),
+           thresholds={"warning_below": 8.0, "critical_below": 5.0}, tags=("executive",)),
+    Metric("avg_tip_rate", "revenue", "average", _TIP_RATE, where="fare > 0 and tip >= 0", scale=1e6, dimensions=("payment",),
+           thresholds={"warning_below": 0.10, "critical_below": 0.05}),
+    Metric("revenue_per_mile", "revenue", "ratio", "total", den="distance", where="distance > 0", dimensions=("vendor",),
+           thresholds={"warning_below": 3.0, "critical_below": 2.0}),
+    Metric("avg_distance", "trip", "average", "distance", where="distance > 0", dimensions=("vendor", "payment"),
+           thresholds={"warning_below": 1.0, "critical_below": 0.5}, tags=("executive",)),
+    Metric("avg_duration", "trip", "average", _MINUTES, where="ended > started", dimensions=("vendor",),
+           thresholds={"warning_above": 60, "critical_above": 120}),
+    Metric("p95_duration", "trip", "percentile", _MINUTES, where=f"ended > started and {_MINUTES} > 0", q=0.95,
+           dimensions=("vendor",), thresholds={"warning_above": 60, "critical_above": 90}),
+    Metric("short_rate", "trip", "ratio", "int(distance < 5)", den="1", where="distance >= 0", dimensions=("vendor",)),
+    Metric("trips", "geographic", "count", "1", dimensions=("vendor", "payment"), tags=("executive",)),
+    Metric("active_origins", "geographic", "count", per="from_nation", dimensions=("vendor",)),
+    Metric("cross_place_rate", "geographic", "ratio", "int(from_nation <> to_nation)", den="1", dimensions=("vendor",)),
+    Metric("urgent_rate", "payment", "ratio", "int(payment = '1-URGENT')", den="1", dimensions=("vendor",)),
+    Metric("avg_tip_urgent", "payment", "average", "tip", where="payment = '1-URGENT'", dimensions=("vendor",),
+           thresholds={"warning_below": 1.5, "critical_below": 0.5}),
+)
+REGISTRY = {m.name: m for m in _ALL}
 
 
 def by_tag(tag: str) -> list[str]:
@@ -91,29 +86,67 @@ def by_tag(tag: str) -> list[str]:
 def _period(grain: str | None) -> list[Column]:
     if grain is None:
         return []
-    return [F.trunc(F.to_date("started"), grain).alias("period") if grain != "day" else F.to_date("started").alias("period")]
+    day = F.to_date("started")
+    return [(day if grain == "day" else F.trunc(day, grain)).alias("period")]
+
+
+def _parts(m: Metric) -> dict[str, Column]:
+    """The additive sums behind a metric."""
+    if m.num is None:
+        return {}
+    parts = {f"{m.name}__num": F.sum(F.expr(f"case when {m.where} then {m.num} end"))}
+    if m.den is not None:
+        parts[f"{m.name}__den"] = F.sum(F.expr(f"case when {m.where} then {m.den} end"))
+    elif m.kind == "average" and m.per is None:
+        parts[f"{m.name}__den"] = F.count(F.expr(f"case when {m.where} then {m.num} end"))
+    return parts
+
+
+def _value(m: Metric, distinct: Mapping[str, Column]) -> Column:
+    """The metric from its sums and the distinct counts."""
+    if m.num is None:
+        return distinct[m.per].cast("double")
+    num = F.sum(f"{m.name}__num")
+    if m.kind == "sum":
+        return F.round(num, 2).cast("double")
+    if m.kind == "count":
+        return num.cast("double")
+    den = F.sum(f"{m.name}__den") if m.per is None else distinct[m.per]
+    out = F.try_divide(num.cast("double"), den.cast("double"))
+    return out / m.scale if m.scale != 1.0 else out
+
+
+def metrics(df: DataFrame, names: Sequence[str], dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
+    """Several metrics by the same dimensions and grain, one column each (percentiles aside)."""
+    chosen = [REGISTRY[n] for n in names]
+    for m in chosen:
+        unknown = set(dims) - set(m.dimensions)
+        if unknown or (grain and grain not in m.grains):
+            raise ValueError(f"{m.name} is not defined for {sorted(unknown) or grain}")
+    keys = (["period"] if grain else []) + list(dims)
+    distinct = {per: f"_k{i}" for i, per in enumerate(sorted({m.per for m in chosen if m.per}))}
+    parts = {n: c for m in chosen for n, c in _parts(m).items()}
+    groups = [*_period(grain), *dims, *[F.expr(per).alias(k) for per, k in distinct.items()]]
+    fine = df.groupBy(*groups).agg(*[c.alias(n) for n, c in (parts or {"_rows": F.count(F.lit(1))}).items()])
+    counts = {per: F.count_distinct(k) for per, k in distinct.items()}
+    return fine.groupBy(*keys).agg(*[_value(m, counts).alias(m.name) for m in chosen])
 
 
 def metric(df: DataFrame, name: str, dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
     """One metric by dimensions and time grain, as column ``value``."""
     m = REGISTRY[name]
-    unknown = set(dims) - set(m.dimensions)
-    if unknown or (grain and grain not in m.grains):
-        raise ValueError(f"{name} is not defined for {sorted(unknown) or grain}")
-    groups = [*_period(grain), *dims]
-    if m.kind == "percentile":
-        rows = df.filter(F.col("ended") > F.col("started")).select(*groups, m.compute().alias("_v")).filter("_v > 0")
-        keys = (["period"] if grain else []) + list(dims)
-        return quantiles(rows, keys, "_v", [0.95]).drop("q")
-    return df.groupBy(*groups).agg(m.compute().cast("double").alias("value"))
+    if m.kind != "percentile":
+        return metrics(df, [name], dims, grain).withColumnRenamed(name, "value")
+    rows = df.filter(m.where).select(*_period(grain), *dims, F.expr(m.num).alias("_v"))
+    keys = (["period"] if grain else []) + list(dims)
+    return quantiles(rows, keys, "_v", [m.q]).drop("q").withColumn("value", F.round("value", 6))
 
 
 def metric_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Many overall metrics in one pass, as (metric, value)."""
+    """Many overall metrics, as (metric, value)."""
     simple = [n for n in names if REGISTRY[n].kind != "percentile"]
-    row = df.agg(*[REGISTRY[n].compute().cast("double").alias(n) for n in simple])
     lines = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in simple]
-    out = row.select(F.inline(F.array(*lines)))
+    out = metrics(df, simple).select(F.inline(F.array(*lines)))
     for n in names:
         if n not in simple:
             out = out.unionByName(metric(df, n).select(F.lit(n).alias("metric"), "value"))
