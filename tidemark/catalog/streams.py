@@ -247,7 +247,7 @@ def active_trips_per_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CAST(SUM(CASE WHEN event_type = 'signup' THEN 1 WHEN event_type = 'error' THEN -1 ELSE 0 END) AS BIGINT) AS active FROM events GROUP BY user_id")
 def stream_current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     delta = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return K.drain(V.current_state(stream(spark, sf_dir), "user_id", delta), "complete", "state")
+    return K.drain(V.current_state(stream(spark, sf_dir), "user_id", delta), "update", "state", keys=["user_id"])
 
 
 @query("""SELECT CAST(CAST('0x' || md5(CAST(user_id AS VARCHAR))[1:8] AS BIGINT) % 6 AS INTEGER) AS partition_no, COUNT(*) AS rows, COUNT(DISTINCT user_id) AS keys

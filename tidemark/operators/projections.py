@@ -61,13 +61,13 @@ def harmonise(df: DataFrame, mapping: Mapping[str, str | Column], tag: str, tag_
 
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:
-    """NULLs take the exact median of the non-null values (one row, so the join is a broadcast)."""
+    """NULLs take the exact median of the non-null values, and stay NULL when there are none."""
     from tidemark.operators.aggregates import quantiles
 
     mid = quantiles(df, [], column, [0.5]).select(F.col("value").alias("_median"))
     kind = dict(df.dtypes)[column]
     return (
-        df.crossJoin(F.broadcast(mid))
+        df.join(F.broadcast(mid), F.lit(True), "left")
         .withColumn(column, F.coalesce(F.col(column), F.col("_median").cast(kind)))
         .drop("_median")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +18,12 @@ class LayerCheckFailed(AssertionError):
     """A layer was written but broke one of its promises."""
 
 
-def expect_empty(df: DataFrame, message: str) -> None:
-    """Stops at the first offending row."""
-    if not df.isEmpty():
-        raise LayerCheckFailed(message)
+def expect_none(df: DataFrame, promises: Mapping[str, Column]) -> None:
+    """Check all promises in one pass, counting rows that break each."""
+    row = df.agg(*[F.count_if(broken).alias(name) for name, broken in promises.items()]).first()
+    bad = {name: row[name] for name in promises if row[name]}
+    if bad:
+        raise LayerCheckFailed(f"rows breaking a promise: {bad}")
 
 
 def write_split(df: DataFrame, rules: Sequence[tuple[str, Column]], path: str, by: Sequence[str] = ()) -> None:
@@ -55,9 +57,8 @@ def run_medallion(spark: SparkSession, raw: DataFrame, places: DataFrame, spec:
     write_split(derived, rules, f"{out}/silver/trips")
     silver = spark.read.parquet(f"{out}/silver/trips")
     valid = silver.filter("part = 'valid'")
-    for c in spec.not_negative:
-        expect_empty(valid.filter(F.col(c) < 0), f"silver has negative {c}")
-    expect_empty(valid.filter("ended < started"), "silver has intervals that end before they start")
+    promises = {f"negative_{c}": F.col(c) < 0 for c in spec.not_negative}
+    expect_none(valid, {**promises, "backwards": F.col("ended") < F.col("started")})
 
     placed = with_places(valid, dims)
     gold = {

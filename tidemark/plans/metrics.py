@@ -1,13 +1,17 @@
 """Metric registry: each metric is declared once and computed for any dimensions and grain.
 
-A metric is a sum, or one sum over another, or a count of distinct values. Sums add up, so many metrics
-are computed from one pre-aggregate, and distinct values are counted on that, not on the rows.
+A metric is a sum, or one sum over another, or a count of distinct values. All sums are one aggregate
+with a group per dimension value. Distinct values are counted in a second one, over rows already grouped
+by those values: counting them beside the sums would copy every row, and grouping the sums by them would
+send every buffer through the shuffle once per value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,32 +94,40 @@ def _period(grain: str | None) -> list[Column]:
     return [(day if grain == "day" else F.trunc(day, grain)).alias("period")]
 
 
-def _parts(m: Metric) -> dict[str, Column]:
-    """The additive sums behind a metric."""
-    if m.num is None:
-        return {}
-    parts = {f"{m.name}__num": F.sum(F.expr(f"case when {m.where} then {m.num} end"))}
-    if m.den is not None:
-        parts[f"{m.name}__den"] = F.sum(F.expr(f"case when {m.where} then {m.den} end"))
-    elif m.kind == "average" and m.per is None:
-        parts[f"{m.name}__den"] = F.count(F.expr(f"case when {m.where} then {m.num} end"))
-    return parts
+def _num(m: Metric) -> Column:
+    return F.expr(f"case when {m.where} then {m.num} end")
 
 
-def _value(m: Metric, distinct: Mapping[str, Column]) -> Column:
-    """The metric from its sums and the distinct counts."""
-    if m.num is None:
-        return distinct[m.per].cast("double")
-    num = F.sum(f"{m.name}__num")
+def _finish(m: Metric, num: Column, den: Column | None) -> Column:
     if m.kind == "sum":
         return F.round(num, 2).cast("double")
-    if m.kind == "count":
+    if den is None:
         return num.cast("double")
-    den = F.sum(f"{m.name}__den") if m.per is None else distinct[m.per]
     out = F.try_divide(num.cast("double"), den.cast("double"))
     return out / m.scale if m.scale != 1.0 else out
 
 
+def _plain(m: Metric) -> Column:
+    """A metric without distinct values, over rows."""
+    if m.den is not None:
+        den = F.sum(F.expr(f"case when {m.where} then {m.den} end"))
+    else:
+        den = F.count(_num(m)) if m.kind == "average" else None
+    return _finish(m, F.sum(_num(m)), den).alias(m.name)
+
+
+def _keyed(df: DataFrame, chosen: Sequence[Metric], groups: Sequence[Column | str], keys: Sequence[str]) -> DataFrame:
+    """Metrics with distinct values: group by the values, then count and sum the groups."""
+    names = {per: f"_k{i}" for i, per in enumerate(sorted({m.per for m in chosen}))}
+    sums = [F.sum(_num(m)).alias(f"{m.name}__num") for m in chosen if m.num]
+    fine = df.groupBy(*groups, *[F.expr(p).alias(k) for p, k in names.items()]).agg(*(sums or [F.count(F.lit(1)).alias("_rows")]))
+    out = []
+    for m in chosen:
+        values = F.count_distinct(names[m.per])
+        out.append((_finish(m, F.sum(f"{m.name}__num"), values) if m.num else values.cast("double")).alias(m.name))
+    return fine.groupBy(*keys).agg(*out)
+
+
 def metrics(df: DataFrame, names: Sequence[str], dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
     """Several metrics by the same dimensions and grain, one column each (percentiles aside)."""
     chosen = [REGISTRY[n] for n in names]
@@ -124,12 +136,18 @@ def metrics(df: DataFrame, names: Sequence[str], dims: Sequence[str] = (), grain
         if unknown or (grain and grain not in m.grains):
             raise ValueError(f"{m.name} is not defined for {sorted(unknown) or grain}")
     keys = (["period"] if grain else []) + list(dims)
-    distinct = {per: f"_k{i}" for i, per in enumerate(sorted({m.per for m in chosen if m.per}))}
-    parts = {n: c for m in chosen for n, c in _parts(m).items()}
-    groups = [*_period(grain), *dims, *[F.expr(per).alias(k) for per, k in distinct.items()]]
-    fine = df.groupBy(*groups).agg(*[c.alias(n) for n, c in (parts or {"_rows": F.count(F.lit(1))}).items()])
-    counts = {per: F.count_distinct(k) for per, k in distinct.items()}
-    return fine.groupBy(*keys).agg(*[_value(m, counts).alias(m.name) for m in chosen])
+    groups = [*_period(grain), *dims]
+    plain, keyed = [m for m in chosen if not m.per], [m for m in chosen if m.per]
+    parts = []
+    if plain:
+        parts.append(df.groupBy(*groups).agg(*[_plain(m) for m in plain]))
+    if keyed:
+        parts.append(_keyed(df, keyed, groups, keys))
+    if len(parts) == 1:
+        return parts[0]
+    a, b = parts[0], parts[1].withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True))
+    return a.join(b if keys else F.broadcast(b), same).select(*keys, *names)
 
 
 def metric(df: DataFrame, name: str, dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:

@@ -28,27 +28,29 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, columns: Sequence[str], files_per_value: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Directory per key value.
 
-    Rows are spread over ``files_per_value`` writers per value, so a value holding much of the table
-    does not end up in one task and the others do not end up in many tiny files.
+    The rebalance hint gathers rows by key, and adaptive execution then splits a value that holds much
+    of the table over several writers and merges small ones, towards the session's advisory size.
     """
-    digest = F.xxhash64(*[F.col(c) for c in df.columns])
-    spread = [F.pmod(digest, F.lit(files_per_value))] if files_per_value > 1 else []
-    df.repartition(*columns, *spread).write.mode("overwrite").partitionBy(*columns).parquet(path)
+    _gathered(df, columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def write_period(df: DataFrame, path: str, period_column: str) -> None:
     """Replace only the periods present in ``df``; others stay, so backfills are safe."""
     (
-        df.write.mode("overwrite")
+        _gathered(df, [period_column]).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(period_column)
         .parquet(path)
     )
 
 
+def _gathered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.hint("rebalance", *[F.col(c) for c in columns])
+
+
 def write_clustered(df: DataFrame, path: str, columns: Sequence[str], n_files: int) -> None:
     """Range-partition and sort by the columns: few files, narrow min/max statistics in each."""
     ranged = df.repartitionByRange(n_files, *columns).sortWithinPartitions(*columns)

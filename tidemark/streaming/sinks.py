@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators.history import dedupe
 from tidemark.operators.joins import small
 from tidemark.scratch import scratch_path
 
@@ -28,29 +29,35 @@ def stream_to_table(stream: DataFrame, out: str, checkpoint: str) -> None:
     )
 
 
-def drain(stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def drain(
+    stream: DataFrame, mode: str, label: str, each: Callable[[DataFrame], DataFrame] | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
     """Run an aggregating stream over what is available and read its result back.
 
     A micro-batch writes its own directory and overwrites it when retried. ``append`` results are
-    all directories together; ``complete`` results are the newest one.
+    all directories together, ``complete`` results the newest one, and ``update`` results the newest
+    row of each of ``keys``; ``update`` writes only what changed, so it suits many keys.
     """
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    epochs: list[int] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = each(batch) if each else batch
         rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        epochs.append(epoch)
 
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    written = spark.read.parquet(out)
+    if mode == "update":
+        return dedupe(written, keys, ["epoch"], "last").drop("epoch")
     if mode == "complete":
-        return spark.read.parquet(f"{out}/epoch={max(epochs)}")
-    return spark.read.parquet(out).drop("epoch")
+        newest = written.agg(F.max("epoch").alias("epoch"))
+        return written.join(F.broadcast(newest), "epoch").drop("epoch")
+    return written.drop("epoch")
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], ts: str, lateness: str) -> DataFrame:
