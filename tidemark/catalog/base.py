@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import tables
+from tidemark.functions.amounts import exact
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the value as decimal."""
-    return tables.table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(12,2)"))
+    return tables.table(spark, sf_dir, "events").withColumn("value", exact("value"))
 
 
 SALES = """sales AS (

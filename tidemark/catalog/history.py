@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, total
 from tidemark.catalog.joins import customer_history
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import history as H
 from tidemark.operators.aggregates import describe_nulls
@@ -82,7 +83,7 @@ def version_on_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _merge_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Deduplicated lines, and corrections: some prices raised, some new keys."""
-    df = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(12,2)"))
+    df = table(spark, sf_dir, "lineitem").withColumn("price", exact("l_extendedprice"))
     target = df.groupBy(*KEYS).agg(F.max("price").alias("price"))
     raised = target.filter("price > 80000").withColumn("price", F.round(F.col("price") * F.lit(Decimal("1.1")), 2).cast("decimal(12,2)"))
     new = target.filter("price < 20000").withColumn("l_orderkey", -1 - F.col("l_orderkey"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, query, total
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import joins as J
@@ -121,7 +122,7 @@ m AS (SELECT {mean('r')} AS overall_mean FROM per)
 SELECT l_suppkey, CAST(ROUND(r, 2) AS DOUBLE) AS revenue, overall_mean FROM per, m WHERE r > overall_mean""")
 def above_average_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("r")
+        F.sum(exact("l_extendedprice")).alias("r")
     )
     return J.above_average(per, "r").select("l_suppkey", F.round("r", 2).cast("double").alias("revenue"), "overall_mean")
 

@@ -9,6 +9,7 @@ from tidemark.catalog.base import EV, NATIONS, SALES, events, mean, query, total
 from tidemark.functions import scalars as S
 from tidemark.functions import times as T
 from tidemark.functions import udfs as U
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators.projections import harmonise, impute_median, keep, stage
@@ -36,12 +37,12 @@ def three_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders, order lines and events in one layout."""
     orders = harmonise(
         table(spark, sf_dir, "orders"),
-        {"at": "o_orderdate", "who": "o_custkey", "amount": F.col("o_totalprice").cast("decimal(12,2)"), "kind": "o_orderstatus"},
+        {"at": "o_orderdate", "who": "o_custkey", "amount": exact("o_totalprice"), "kind": "o_orderstatus"},
         "orders",
     )
     lines = harmonise(
         table(spark, sf_dir, "lineitem"),
-        {"at": "l_shipdate", "who": "l_suppkey", "amount": F.col("l_extendedprice").cast("decimal(12,2)"), "kind": "l_returnflag"},
+        {"at": "l_shipdate", "who": "l_suppkey", "amount": exact("l_extendedprice"), "kind": "l_returnflag"},
         "lines",
     )
     acts = harmonise(events(spark, sf_dir), {"at": "ts", "who": "user_id", "kind": "event_type"}, "events")
@@ -84,7 +85,7 @@ _STEP_SQL = """CASE WHEN l_quantity < 5 THEN '0-5' WHEN l_quantity < 10 THEN '5-
 {mean('CAST(l_extendedprice AS DECIMAL(12,2))')} AS avg_fare FROM lineitem GROUP BY 1""")
 def bucket_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(S.steps("l_quantity", STEPS, "40+").alias("step")).agg(
-        rows(), avg_money(F.col("l_extendedprice").cast("decimal(12,2)")).alias("avg_fare")
+        rows(), avg_money(exact("l_extendedprice")).alias("avg_fare")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import query, total
 from tidemark.catalog.scalars import three_sources
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import calendar as C
 from tidemark.operators import sets as S
@@ -27,7 +28,7 @@ def sort_multi_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUP BY l_partkey ORDER BY revenue DESC, l_partkey LIMIT 25""")
 def top_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
-        rows(), sum_money(F.col("l_extendedprice").cast("decimal(12,2)")).alias("revenue")
+        rows(), sum_money(exact("l_extendedprice")).alias("revenue")
     )
     return S.top_k(df, [F.col("revenue").desc(), "l_partkey"], 25)
 

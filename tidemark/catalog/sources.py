@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.catalog.base import NATIONS, SALES, query, total
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators.projections import enforce, enforce_or_infer
 from tidemark.operators.sets import sample_n
@@ -21,7 +22,7 @@ def rows() -> Column:
 
 
 def _order_money() -> Column:
-    return sum_money(F.col("o_totalprice").cast("decimal(12,2)")).alias("sum_price")
+    return sum_money(exact("o_totalprice")).alias("sum_price")
 
 
 @query("""SELECT l_returnflag, COUNT(*) AS rows, SUM(l_quantity) AS sum_quantity

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import EV, SALES, events, mean, query, total
+from tidemark.functions.amounts import exact
 from tidemark.operators.sets import stack
 from tidemark.scratch import scratch_path
 from tidemark.streaming import late as L
@@ -21,7 +22,7 @@ from tidemark.tables import SCHEMAS, sales, table
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream with a decimal value."""
     raw = K.read_stream(spark, f"{sf_dir}/events*.parquet", SCHEMAS["events"])
-    return raw.withColumn("value", F.col("value").cast("decimal(12,2)"))
+    return raw.withColumn("value", exact("value"))
 
 
 def aggs() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.aggregates import DAILY, daily_figures, placed
 from tidemark.catalog.base import PLACED, events, mean_over, query, total
+from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import windows as W
 from tidemark.operators.ranges import lay_out, running
@@ -130,7 +131,7 @@ SELECT CAST(q AS INTEGER) AS segment, COUNT(*) AS suppliers, MIN(trips) AS min_t
 FROM t GROUP BY q""")
 def supplier_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("trips"), F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("rev")
+        F.count(F.lit(1)).alias("trips"), F.sum(exact("l_extendedprice")).alias("rev")
     )
     return W.quantile_segments(per, ["trips", "l_suppkey"], 4).groupBy("segment").agg(
         F.count(F.lit(1)).alias("suppliers"), F.min("trips").alias("min_trips"), F.max("trips").alias("max_trips"),

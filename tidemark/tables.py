@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.amounts import exact
 from tidemark.operators.joins import small
 
 SCHEMAS = {
@@ -43,14 +44,11 @@ def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as trips: start and end date, two places, distance, money, payment.
 
-    Money is decimal, so sums do not depend on the order rows are added in; the precisions keep every
-    product within 18 digits, which Spark computes on plain longs. Orders meet customers before
-    lines, so the largest table is shuffled once, on the order key.
+    Money is decimal, so sums do not depend on the order rows are added in. Orders meet customers
+    before lines, so the largest table is shuffled once, on the order key.
     """
     line = table(spark, sf_dir, "lineitem")
-    fare = F.col("l_extendedprice").cast("decimal(8,2)")
-    discount = F.col("l_discount").cast("decimal(3,2)")
-    tax = F.col("l_tax").cast("decimal(3,2)")
+    fare, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     orders = table(spark, sf_dir, "orders")
     placed = (
         orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -67,9 +65,9 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_nationkey").alias("from_nation"),
             F.col("c_nationkey").alias("to_nation"),
             F.col("l_quantity").alias("distance"),
-            fare.alias("fare"),
-            (fare * discount).alias("tip"),
-            (fare * (1 - discount) * (1 + tax)).alias("total"),
+            exact(fare).alias("fare"),
+            exact(fare * discount, 4).alias("tip"),
+            exact(fare * (1 - discount) * (1 + tax), 6).alias("total"),
             F.col("o_orderpriority").alias("payment"),
             F.col("l_returnflag").alias("rate"),
             F.col("l_linestatus").alias("vendor"),
