@@ -16,15 +16,12 @@ from tidemark.catalog import REGISTRY
 from tidemark.session import build_session
 
 HEADLINE = [
-    "top_nations_by_revenue", "harmonise_three_sources", "filter_predicates", "bucket_quantities", "guarded_ratios",
-    "classify_trips", "vectorised_tip_pct", "role_playing_join", "star_join_dimensions", "join_on_either_key",
-    "join_version_of_the_day", "seen_and_new_keys", "group_summary", "distinct_users_per_day", "exact_quantiles",
-    "most_common_payment", "pivot_years", "cube_three_dimensions", "histogram_of_prices", "null_counts",
-    "running_revenue", "running_total_of_facts", "three_ranks", "month_over_month", "sequence_within_user",
-    "supplier_quartiles", "keep_first_per_key", "duplicate_frequencies", "versioned_customers", "upsert",
-    "valid_and_quarantined", "cleaning_drops_per_rule", "quality_checks", "referential_integrity", "contract_validation",
-    "profile_lines", "quality_scores", "metric_values", "gold_daily_overall", "mart_zone_performance", "gold_od_matrix",
-    "payment_breakdown", "session_windows", "late_classification", "tumbling_windows", "sliding_windows",
+    "top_nations_by_revenue", "harmonise_three_sources", "filter_predicates", "classify_trips", "vectorised_tip_pct",
+    "star_join_dimensions", "join_on_either_key", "join_version_of_the_day", "seen_and_new_keys", "group_summary",
+    "distinct_users_per_day", "exact_quantiles", "cube_three_dimensions", "null_counts", "running_revenue",
+    "running_total_of_facts", "month_over_month", "supplier_quartiles", "keep_first_per_key", "versioned_customers",
+    "upsert", "cleaning_drops_per_rule", "quality_checks", "referential_integrity", "profile_lines", "metric_values",
+    "gold_daily_overall", "gold_od_matrix", "session_windows", "late_classification", "tumbling_windows",
     "stream_tumbling_windows", "write_partitioned_rows", "medallion_summary",
 ]
 

@@ -15,14 +15,20 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def exact(c: str | Column, scale: int = 2) -> Column:
+def exact_text(expression: str, scale: int = 2) -> str:
+    """SQL text of :func:`exact`."""
+    unit = format(Decimal(1).scaleb(-scale), "f")
+    units = f"cast(floor(({expression}) * {10**scale}D + 0.5D) as decimal(18,0))"
+    return f"cast({units} * {unit}BD as decimal(18,{scale}))"
+
+
+def exact(expression: str, scale: int = 2) -> Column:
     """A double that stands for a number with ``scale`` decimals, as that number.
 
     It is rounded to whole units and then scaled; a plain cast of a double to decimal goes through its
     text and costs several times as much.
     """
-    units = F.floor(_col(c) * float(10**scale) + 0.5).cast("decimal(18,0)")
-    return (units * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(18,{scale})")
+    return F.expr(exact_text(expression, scale))
 
 
 def total(c: str | Column, digits: int = 2) -> Column:

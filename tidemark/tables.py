@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.amounts import exact
+from tidemark.functions.amounts import exact_text
 from tidemark.operators.joins import small
 
 SCHEMAS = {
@@ -47,29 +47,27 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     Money is decimal, so sums do not depend on the order rows are added in. Orders meet customers
     before lines, so the largest table is shuffled once, on the order key.
     """
-    line = table(spark, sf_dir, "lineitem")
-    fare, discount, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
     orders = table(spark, sf_dir, "orders")
-    placed = (
-        orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey")
+    placed = orders.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select(
+        "o_orderkey", "o_orderdate", "o_orderpriority", "c_nationkey"
     )
     return (
-        line.join(small(placed, bound=orders), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.col("l_orderkey").alias("order_key"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("o_orderdate").alias("started"),
-            F.col("l_shipdate").alias("ended"),
-            F.col("s_nationkey").alias("from_nation"),
-            F.col("c_nationkey").alias("to_nation"),
-            F.col("l_quantity").alias("distance"),
-            exact(fare).alias("fare"),
-            exact(fare * discount, 4).alias("tip"),
-            exact(fare * (1 - discount) * (1 + tax), 6).alias("total"),
-            F.col("o_orderpriority").alias("payment"),
-            F.col("l_returnflag").alias("rate"),
-            F.col("l_linestatus").alias("vendor"),
+        table(spark, sf_dir, "lineitem")
+        .join(small(placed, bound=orders), F.expr("l_orderkey = o_orderkey"))
+        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .selectExpr(
+            "l_orderkey as order_key",
+            "l_linenumber as line_no",
+            "o_orderdate as started",
+            "l_shipdate as ended",
+            "s_nationkey as from_nation",
+            "c_nationkey as to_nation",
+            "l_quantity as distance",
+            f"{exact_text('l_extendedprice')} as fare",
+            f"{exact_text('l_extendedprice * l_discount', 4)} as tip",
+            f"{exact_text('l_extendedprice * (1 - l_discount) * (1 + l_tax)', 6)} as total",
+            "o_orderpriority as payment",
+            "l_returnflag as rate",
+            "l_linestatus as vendor",
         )
     )
