@@ -49,10 +49,8 @@ def test_big_sides_shuffle_when_over_the_limit(spark, sf_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-@pytest.mark.parametrize("name", ["three_ranks", "top_two_per_region", "top_keys_per_window"])
+@pytest.mark.parametrize("name", ["top_nations_by_revenue", "top_two_per_region", "top_keys_per_window"])
 def test_rank_filters_limit_before_the_shuffle(spark, sf_dir, name):
-    if name == "three_ranks":
-        pytest.skip("all ranks are wanted")
     assert "WindowGroupLimit" in plan(REGISTRY[name].run(spark, sf_dir))
 
 

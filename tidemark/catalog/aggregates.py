@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, mean_ratio, query, total
+from tidemark.catalog.base import EV, PLACED, SALES, events, mean, mean_ratio, query, total
 from tidemark.catalog.scalars import NULLED, with_nulls
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.amounts import total as sum_money
