@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, token_counts
+from tidemark.llm import bpe, packing, quality, rules, token_counts, toxicity
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: One vocabulary in the formats of two libraries.
+BYTE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def query(sql: str | None = None):
@@ -24,6 +27,64 @@ def query(sql: str | None = None):
     return add
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *(public_tokenizers.path(n) for n in BYTE_BPE))
+
+
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (
+  SELECT doc_id, words, len(words) AS n_words, coalesce(list_sum([length(x) for x in words]), 0) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
+    len([x for x in words if regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')]) AS n_loud_words,
+    len([x for x in words if contains(x, '!!')]) AS n_exclaims,
+    len([i for i in range(2, len(words) + 1) if words[i] = words[i - 1]]) AS n_stutters
+  FROM w),
+g AS (SELECT doc_id, i, words[i:i + 4] AS g FROM (
+  SELECT doc_id, words, unnest(range(1, n_words - 3)) AS i FROM m WHERE n_words >= 5)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY doc_id),
+f AS (
+  SELECT m.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM m LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 50 * n_lines OR 100 * n_loud_words > 40 * n_words
+    OR 100 * n_exclaims > 40 * n_words OR 100 * n_stutters > 20 * n_words OR word_chars < 2 * n_words
+    OR word_chars > 25 * n_words) AS kept
+FROM b"""
+
+
+@query(QUALITY_SQL)
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
+    base = F.col("failed").bitwiseAND(F.lit(rules.BASE).cast("long")) != 0
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return kept.select("doc_id", *names, base.alias("base_failed"), "kept")
+
+
+@query()
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
