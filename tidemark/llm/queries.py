@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, quality, rules, token_counts, toxicity
+from tidemark.llm import bpe, licenses, packing, quality, rules, token_counts, topk, toxicity, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,19 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
+@query("""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20""")
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +56,17 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *(public_tokenizers.path(n) for n in BYTE_BPE))
 
 
+@query("""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to
+FROM f""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUALITY_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -85,6 +109,37 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def _license_sql() -> str:
+    """The scan in SQL. Known texts stand in it as text and go through the same canonical form."""
+    def canonical(x: str) -> str:
+        out = f"lower({x})"
+        out = rf"regexp_replace({out}, '(?m)^[ \t#*/;-]*(copyright|\(c\)|©)[^\n]*(\d{{4}}|all rights reserved)[^\n]*$', '', 'g')"
+        out = rf"regexp_replace({out}, '(?m)^[ \t#*/;-]*all rights reserved[. \t]*$', '', 'g')"
+        out = rf"regexp_replace({out}, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')"
+        for found, same in licenses.SPELLINGS:
+            out = f"replace({out}, '{found}', '{same}')"
+        return out
+
+    joined = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))".replace("\\\\", "\\")
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT license_id, sha256({joined.format(canonical('t'))}) AS digest FROM (VALUES {known}) AS k(license_id, t)),
+c AS (SELECT doc_id, {canonical('text')} AS lines FROM documents),
+w AS (SELECT doc_id, lines, CASE WHEN {joined.format('lines')} <> '' THEN sha256({joined.format('lines')}) END AS digest FROM c),
+l AS (SELECT DISTINCT doc_id, digest, trim(unnest(string_split(lines, chr(10)))) AS line FROM w),
+n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+  FROM l JOIN known ON sha256(l.line) = known.digest GROUP BY doc_id)
+SELECT doc_id, w.digest, k.license_id, n.notices
+FROM w LEFT JOIN known k ON w.digest = k.digest LEFT JOIN n USING (doc_id)"""
+
+
+@query(_license_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of whole documents and of their lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
