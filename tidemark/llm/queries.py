@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licenses, packing, quality, rules, token_counts, topk, toxicity, warc
+from tidemark.llm import bpe, licenses, minhash, packing, quality, rules, token_counts, topk, toxicity, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+@query()
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _license_sql() -> str:
     """The scan in SQL. Known texts stand in it as text and go through the same canonical form."""
     def canonical(x: str) -> str:
