@@ -186,14 +186,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "wanted-ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    found = materialise(texts.join(wanted, F.col("id") == F.col("wanted"), "left_semi"), "wanted-texts")
+    found = materialise(texts.join(_sent(wanted), F.col("id") == F.col("wanted"), "left_semi"), "wanted-texts")
     left = found.select(F.col("id").alias("a"), F.col("text").alias("left"))
     right = found.select(F.col("id").alias("b"), F.col("text").alias("right"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast when it has few enough rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _by_signature(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     left = sigs.select(F.col("id").alias("a"), F.col("sig").alias("left"))
     right = sigs.select(F.col("id").alias("b"), F.col("sig").alias("right"))
@@ -268,3 +271,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: the one of the smallest id.
+
+    Rows with a null id stay. Of rows that repeat the smallest id, one stays, the first by text. The
+    dropped ids, fewer than the documents, leave through an anti join; a hot group has distinct ids, so no
+    key of it is hot.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), percent, id_col, text_col)
+    dropped = materialise(found.filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
+    own = docs.join(_sent(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
+    repeated = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    if not (repeated := materialise(repeated, "repeated")).limit(1).count():
+        return own
+    # Only rows whose id repeats are compared; the others pass by.
+    again = own.join(repeated.select("_repeated"), F.col(id_col) == F.col("_repeated"), "left_semi")
+    first = again.groupBy(id_col).agg(F.min(F.struct(F.col(text_col).alias("_t"), *[c for c in docs.columns if c != text_col])).alias("_row"))
+    picked = first.select(*[F.col("_row._t").alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
+    return own.join(repeated.select("_repeated"), F.col(id_col) == F.col("_repeated"), "left_anti").unionByName(picked)

@@ -111,6 +111,31 @@ def apply_policy(kept: DataFrame, version: str = CURRENT, policies: Mapping[str,
     return kept.withColumn("kept", F.col("failed").bitwiseAND(F.lit(policies[version]).cast("long")) == 0)
 
 
+def keep(docs: DataFrame, version: str = CURRENT, rules: list[tuple[str, str]] = RULES, policies: Mapping[str, int] = POLICIES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the policy keeps.
+
+    Texts are measured in the scan, next to the columns, so no join brings them together again. Repeated
+    rows are judged alike; columns named like measurements stay as they are.
+    """
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = schema.names.index(text_col)
+        for batch in slices(batches):
+            rows = list(zip(*(measure(t or "") for t in batch.column(at).to_pylist())))
+            made = [pa.array(c, pa.int64()) for c in rows] if rows else [pa.array([], pa.int64())] * len(MEASURES)
+            packed = pa.StructArray.from_arrays(made, MEASURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, packed], [*(f"c{i}" for i in range(batch.num_columns)), "m"])
+
+    columns = [f.dataType.simpleString() for f in schema]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    kinds = ", ".join([*(f"c{i} {k}" for i, k in enumerate(columns)), "m struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">"])
+    measured = plain.mapInArrow(run, kinds).select("*", "m.*")
+    failed = sum((F.when(F.expr(test), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, test) in enumerate(rules)), F.lit(0))
+    passed = failed.bitwiseAND(F.lit(policies[version])) == 0
+    return measured.filter(passed).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(schema.names)])
+
+
 def ablations(kept: DataFrame, version: str = CURRENT, rules: list[tuple[str, str]] = RULES, policies: Mapping[str, int] = POLICIES) -> DataFrame:
     """Per rule of a policy: ``rule, failing, only_this`` (documents kept if the rule were dropped).
 

@@ -77,7 +77,7 @@ _FOLDED = _Folded()
 def _undisguised(match: re.Match) -> str:
     """Digits and signs up to the last letter stand for letters; what follows it stays."""
     word = match[0]
-    if sum(c.isalpha() for c in word) * 2 < len(word):
+    if sum(c.isalpha() for c in word) * 5 < len(word) * 2:
         return word
     end = max(i for i, c in enumerate(word) if c.isalpha()) + 1
     return word[:end].translate(_LETTERS) + word[end:]
@@ -279,3 +279,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, model: Model, below: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``below``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = model.matcher()
+        for batch in slices(batches):
+            clean = [probability(model, measures(matcher, t or "")) < below for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
