@@ -250,6 +250,65 @@ def test_scd2_invariants(spark):
     assert values(H.version_at(twice, "2021-05-01"), "k", "v") == [(1, "z"), (2, "b"), (3, "c")]
 
 
+@pytest.mark.parametrize(
+    "rows, why",
+    [
+        ([(99, dt.date(2022, 1, 1), "x")], "no current version"),
+        ([(1, dt.date(1990, 1, 1), "x")], "before the current version"),
+        ([(1, None, "x")], "without a date"),
+    ],
+)
+def test_scd2_rejects_changes_that_do_not_fit(spark, rows, why):
+    with pytest.raises(Exception, match=why):
+        H.scd2_apply(dimension(spark), changes(spark, rows), "k", ["v"]).collect()
+
+
+def test_scd2_rerun_changes_nothing_and_a_second_value_is_an_error(spark):
+    day = dt.date(2022, 1, 1)
+    once = H.scd2_apply(dimension(spark), changes(spark, [(1, day, "z")]), "k", ["v"])
+    again = H.scd2_apply(once, changes(spark, [(1, day, "z")]), "k", ["v"])
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, again.collect()), key=repr)
+    with pytest.raises(Exception, match="different change on one day"):
+        H.scd2_apply(once, changes(spark, [(1, day, "other")]), "k", ["v"]).collect()
+
+
+def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
+    from tidemark.sources.writers import rewrite_evolved
+
+    df = spark.createDataFrame([(1,)], "a int")
+    assert rewrite_evolved(df, str(tmp_path / "none"), str(tmp_path / "new"), {}).count() == 1
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        rewrite_evolved(df, str(tmp_path / "bad"), str(tmp_path / "newer"), {})
+
+
+def test_ingest_survives_a_lost_checkpoint_and_rejects_a_foreign_table(spark, tmp_path):
+    from tidemark.sources.ingest import ingest_new
+
+    df = spark.range(10).selectExpr("id", "id as v")
+    df.write.parquet(str(tmp_path / "landing/a"))
+    args = dict(src=str(tmp_path / "landing/*"), out=str(tmp_path / "t"), schema=df.schema, keys=["id"], order=["v"])
+    assert ingest_new(spark, checkpoint=str(tmp_path / "c1"), **args) == 10
+    spark.range(10, 15).selectExpr("id", "id as v").write.parquet(str(tmp_path / "landing/b"))
+    assert ingest_new(spark, checkpoint=str(tmp_path / "c2"), **args) == 5
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 15
+    df.write.parquet(str(tmp_path / "foreign"))
+    with pytest.raises(Exception, match="epoch"):
+        ingest_new(spark, checkpoint=str(tmp_path / "c3"), **{**args, "out": str(tmp_path / "foreign")})
+
+
+def test_pivot_gathers_unknown_values(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 9), ("a", None), ("b", 1)], "k string, y int")
+    out = A.pivot(df, ["k"], "y", [1], F.count(F.lit(1)), other="other").collect()
+    assert {r.k: (r["1"], r["other"]) for r in out} == {"a": (1, 2), "b": (1, 0)}
+
+
+def test_mean_ratio_does_not_round_small_values(spark):
+    df = spark.createDataFrame([(1e-7, 1.0), (2e-7, 1.0)], "n double, d double")
+    assert A.mean_of_ratios(df, [], "n", "d").first().ratio == pytest.approx(1.5e-7)
+
+
 def test_scd2_rejects_two_changes_for_a_key(spark):
     day = dt.date(2021, 5, 1)
     with pytest.raises(Exception, match="several changes"):

@@ -67,7 +67,8 @@ def ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT l_returnflag, {mean_ratio('CASE WHEN l_discount <> 0 THEN l_tax / l_discount END')} AS ratio FROM lineitem GROUP BY l_returnflag""")
 def mean_of_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.mean_of_ratios(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_tax", "l_discount")
+    out = A.mean_of_ratios(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_tax", "l_discount")
+    return out.withColumn("ratio", F.round("ratio", 9))
 
 
 _ACTIVE = """SELECT CAST(hour(ts) AS INTEGER) AS hour, COUNT(*) AS rows, COUNT(DISTINCT CAST(ts AS DATE)) AS active_days,
@@ -157,7 +158,8 @@ def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT n_name, COUNT(*) FILTER (WHERE year(o_orderdate) = 1995) AS "1995", COUNT(*) FILTER (WHERE year(o_orderdate) = 1996) AS "1996",
-COUNT(*) FILTER (WHERE year(o_orderdate) = 1997) AS "1997", COUNT(*) FILTER (WHERE year(o_orderdate) = 1998) AS "1998"
+COUNT(*) FILTER (WHERE year(o_orderdate) = 1997) AS "1997", COUNT(*) FILTER (WHERE year(o_orderdate) = 1998) AS "1998",
+COUNT(*) FILTER (WHERE year(o_orderdate) NOT BETWEEN 1995 AND 1998 OR o_orderdate IS NULL) AS other
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def pivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = (
@@ -165,7 +167,7 @@ def pivot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select("n_name", F.year("o_orderdate").alias("year"))
     )
-    return A.pivot(df, ["n_name"], "year", [1995, 1996, 1997, 1998], F.count(F.lit(1)))
+    return A.pivot(df, ["n_name"], "year", [1995, 1996, 1997, 1998], F.count(F.lit(1)), other="other")
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,5 +69,12 @@ def mean_over(x: str, frame: str) -> str:
     return f"CAST(SUM({x}) OVER ({frame}) AS DOUBLE) / NULLIF(COUNT({x}) OVER ({frame}), 0)"
 
 
-def mean_ratio(x: str) -> str:
-    return f"CAST(SUM(CAST(floor(({x}) * 1000000 + 0.5) AS BIGINT)) AS DOUBLE) / NULLIF(COUNT({x}), 0) / 1000000"
+def mean_ratio(x: str, scale: str = "") -> str:
+    """Plain mean, rounded at the output only."""
+    return f"ROUND(AVG({x}){scale}, 9)"
+
+
+def hash_key(*columns: str) -> str:
+    """SQL twin of the surrogate key: every part preceded by its length, '-' for a null."""
+    texts = [f"CAST({c} AS VARCHAR)" for c in columns]
+    return "md5(" + " || ".join(f"COALESCE(length({t}) || ':' || {t}, '-')" for t in texts) + ")"

@@ -7,8 +7,8 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import query, total
-from tidemark.catalog.joins import customer_history
+from tidemark.catalog.base import hash_key, query, total
+from tidemark.catalog.joins import customer_changes, customer_history
 from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import history as H
@@ -55,9 +55,18 @@ def duplicate_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.duplicate_frequency(table(spark, sf_dir, "lineitem"), KEYS)
 
 
-@query("""SELECT md5(c_custkey || '~1990-01-01') AS version_key, c_custkey, c_mktsegment, DATE '1990-01-01' AS valid_from,
+_VERSIONS = f"""SELECT {hash_key('c_custkey', "'1990-01-01'")} AS version_key, c_custkey, c_mktsegment, DATE '1990-01-01' AS valid_from,
 CASE WHEN c_acctbal < 0 THEN DATE '1998-06-30' ELSE DATE '9999-12-31' END AS valid_to, NOT (c_acctbal < 0) AS is_current FROM customer
-UNION ALL SELECT md5(c_custkey || '~1998-07-01'), c_custkey, 'MOVED', DATE '1998-07-01', DATE '9999-12-31', TRUE FROM customer WHERE c_acctbal < 0""")
+UNION ALL SELECT {hash_key('c_custkey', "'1998-07-01'")}, c_custkey, 'MOVED', DATE '1998-07-01', DATE '9999-12-31', TRUE FROM customer WHERE c_acctbal < 0"""
+
+
+@query(_VERSIONS)
+def scd2_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes applied a second time change nothing."""
+    return H.scd2_apply(customer_history(spark, sf_dir), customer_changes(spark, sf_dir), "c_custkey", ["c_mktsegment"])
+
+
+@query(_VERSIONS)
 def versioned_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_history(spark, sf_dir)
 

@@ -155,13 +155,16 @@ def join_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.join_daily(ev, series, "ts").groupBy("errors", "event_type").agg(rows(), sum_money("value").alias("sum_value"))
 
 
+def customer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(
+        "c_custkey", F.lit("1998-07-01").cast("date").alias("change_date"), F.lit("MOVED").alias("c_mktsegment")
+    )
+
+
 def customer_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, those in debt with a second version."""
     base = open_dimension(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "1990-01-01")
-    changes = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(
-        "c_custkey", F.lit("1998-07-01").cast("date").alias("change_date"), F.lit("MOVED").alias("c_mktsegment")
-    )
-    return scd2_apply(base, changes, "c_custkey", ["c_mktsegment"])
+    return scd2_apply(base, customer_changes(spark, sf_dir), "c_custkey", ["c_mktsegment"])
 
 
 @query("""SELECT CASE WHEN c_acctbal < 0 AND o_orderdate >= TIMESTAMP '1998-07-01' THEN 'MOVED' ELSE c_mktsegment END AS segment,

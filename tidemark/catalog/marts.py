@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.aggregates import DAILY, daily_figures, placed
-from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, mean, mean_over, mean_ratio, query, total
+from tidemark.catalog.base import EV, NATIONS, PLACED, SALES, events, hash_key, mean, mean_over, mean_ratio, query, total
 from tidemark.catalog.scalars import HUBS, ended_events
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.scalars import bucket
 from tidemark.functions.times import day_type
 from tidemark.operators.aggregates import min_support
 from tidemark.operators.sets import stack_by_name
-from tidemark.operators.windows import top_n_per
+from tidemark.operators.windows import agg_rank, top_n_per
 from tidemark.plans import gold as G
 from tidemark.plans.medallion import run_medallion
 from tidemark.plans.silver import SilverSpec, silver
@@ -99,7 +99,7 @@ def silver_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("company", "part", "is_rush").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_FACT = """SELECT md5(concat_ws('~', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR))) AS fact_key,
+_FACT = f"""SELECT {hash_key('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey')} AS fact_key,
 CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS order_date_key, CAST(strftime(l_shipdate, '%Y%m%d') AS INTEGER) AS ship_date_key,
 o_custkey AS customer_key, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate >= o_orderdate AND l_extendedprice >= 0"""
 
@@ -245,10 +245,9 @@ def gold_day_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PLACED}, m AS (SELECT CAST(date_trunc('month', started) AS DATE) AS month, from_r_name, {total('total')} AS revenue FROM placed GROUP BY ALL)
 SELECT *, CAST(rank() OVER (PARTITION BY month ORDER BY revenue DESC) AS INTEGER) AS place FROM m""")
 def regions_ranked_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = placed(spark, sf_dir).groupBy(F.trunc(F.to_date("started"), "month").alias("month"), "from_r_name").agg(
-        F.round(F.sum("total"), 2).cast("double").alias("revenue")
-    )
-    return top_n_per(m, ["month"], [F.col("revenue").desc()], 5)
+    month = F.trunc(F.to_date("started"), "month").alias("month")
+    revenue = F.round(F.sum("total"), 2).cast("double")
+    return agg_rank(placed(spark, sf_dir), [month, "from_r_name"], revenue, "revenue", ["month"])
 
 
 @query(f"""WITH {PLACED} SELECT from_r_name, CASE WHEN isodow(started) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, COUNT(*) AS rows, {mean('fare')} AS avg_fare
@@ -313,11 +312,11 @@ def top_zones_per_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EACH = "CASE WHEN fare <> 0 THEN CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) ELSE 0 END"
 
 
-@query(f"""WITH {SALES} SELECT payment, COUNT(*) AS trips, {mean('tip')} AS avg_tip, {mean_ratio(_EACH)} * 100 AS avg_tip_pct,
+@query(f"""WITH {SALES} SELECT payment, COUNT(*) AS trips, {mean('tip')} AS avg_tip, {mean_ratio(_EACH, ' * 100')} AS avg_tip_pct,
 CAST(SUM(tip) AS DOUBLE) / CAST(SUM(fare) AS DOUBLE) * 100 AS tip_pct_of_sums, COUNT(*) FILTER (WHERE tip > 0) / COUNT(*) * 100 AS pct_with_tip,
 {mean('distance')} AS avg_distance FROM sales GROUP BY payment""")
 def payment_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.payment_breakdown(sales(spark, sf_dir), "payment")
+    return G.payment_breakdown(sales(spark, sf_dir), "payment").withColumn("avg_tip_pct", F.round("avg_tip_pct", 9))
 
 
 @query(f"""WITH {SALES} SELECT CASE WHEN from_nation IN (1, 7, 13) THEN from_nation ELSE to_nation END AS hub,

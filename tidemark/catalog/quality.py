@@ -274,6 +274,37 @@ def contract_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.compliance(Q.validate_contract(with_nulls(spark, sf_dir), CONTRACT, AS_OF))
 
 
+# Two range rules on one column, and a column that is both promised and checked.
+TWO_RANGES = {
+    "schema": [{"name": "o_totalprice", "nullable": False}],
+    "quality_rules": [
+        {"rule": "range", "column": "o_totalprice", "min": 0, "severity": "error"},
+        {"rule": "range", "column": "o_totalprice", "max": 100000, "severity": "warning"},
+        {"rule": "completeness", "column": "o_totalprice", "max_null_pct": 5.0, "severity": "info"},
+    ],
+}
+
+
+@query("""WITH n AS (SELECT COUNT(*) FILTER (WHERE o_totalprice IS NULL) AS missing, COUNT(*) FILTER (WHERE o_totalprice < 0) AS low,
+  COUNT(*) FILTER (WHERE o_totalprice > 100000) AS high, COUNT(*) AS rows FROM orders)
+SELECT 'column_exists' AS "check", 'o_totalprice' AS column_name, 'error' AS severity, CAST(0 AS BIGINT) AS failing_rows, TRUE AS passed
+UNION ALL SELECT 'not_nullable', 'o_totalprice', 'error', missing, missing = 0 FROM n
+UNION ALL SELECT 'range', 'o_totalprice', 'error', low, low = 0 FROM n
+UNION ALL SELECT 'range', 'o_totalprice', 'warning', high, high = 0 FROM n
+UNION ALL SELECT 'completeness', 'o_totalprice', 'info', missing, missing * 100 <= 5 * rows FROM n""")
+def contract_two_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.validate_contract(table(spark, sf_dir, "orders"), TWO_RANGES, AS_OF)
+
+
+@query("""SELECT 'text' AS dataset, CAST(round(COUNT(*) FILTER (WHERE o_custkey % 7 <> 0 AND o_totalprice <= 100000) / COUNT(*) * 100, 4) AS DOUBLE) AS validity FROM orders""")
+def score_text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as text; every seventh customer's are no numbers, which do not pass a range rule."""
+    price = F.when(F.col("o_custkey") % 7 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", price.alias("price"))
+    spec = {"validity": [{"check": "range", "column": "price", "min": 0, "max": 100000}], "timestamp": "o_orderdate", "max_age_days": 90}
+    return Q.score(df, spec, AS_OF, "text").select("dataset", F.round("validity", 4).alias("validity"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clean, a repeated and a late dataset."""
     orders = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import EV, NATIONS, SALES, events, mean, query, total
+from tidemark.catalog.base import EV, NATIONS, SALES, events, hash_key, mean, query, total
 from tidemark.functions import scalars as S
 from tidemark.functions import times as T
 from tidemark.functions import udfs as U
@@ -272,8 +272,7 @@ def normalise_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(S.normalise("messy", SEGMENTS, "unknown").alias("segment")).agg(rows())
 
 
-@query(f"""WITH {NULLED} SELECT md5(concat_ws('~', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
-COALESCE(l_returnflag, ''))) AS fact_key, 'line-' || l_orderkey || '-' || l_linenumber AS readable_key, COUNT(*) AS rows
+@query(f"""WITH {NULLED} SELECT {hash_key('l_orderkey', 'l_linenumber', 'l_returnflag')} AS fact_key, 'line-' || l_orderkey || '-' || l_linenumber AS readable_key, COUNT(*) AS rows
 FROM nulled GROUP BY ALL""")
 def hashed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_nulls(spark, sf_dir).groupBy(

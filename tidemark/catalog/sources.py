@@ -134,6 +134,16 @@ def enforce_schema_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(F.lit(dict(df.dtypes)["o_custkey"]).alias("key_type"), rows())
 
 
+@query("""SELECT 'l_quantity' AS column_name, COUNT(*) FILTER (WHERE l_linenumber = 1) AS failures FROM lineitem
+UNION ALL SELECT 'l_orderkey', CAST(0 AS BIGINT)""")
+def enforce_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First lines have a quantity with a fraction, which does not fit a whole number."""
+    quantity = F.col("l_quantity") + F.when(F.col("l_linenumber") == 1, 0.5).otherwise(0.0)
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", quantity.alias("l_quantity"))
+    want = T.StructType([T.StructField("l_quantity", T.LongType()), T.StructField("l_orderkey", T.LongType())])
+    return enforce(df, want)[1]
+
+
 @query(f"""SELECT fmt, o_orderstatus, COUNT(*) AS rows, {total('CAST(o_totalprice AS DECIMAL(12,2))')} AS sum_price
 FROM orders, (VALUES ('csv'), ('json')) f(fmt) GROUP BY fmt, o_orderstatus""")
 def convert_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +237,18 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/table").groupBy("event_type").agg(rows(), F.sum("event_id").alias("sum_id"))
 
 
+@query("""SELECT event_type, COUNT(*) AS rows, CAST(SUM(event_id) AS BIGINT) AS sum_id FROM events GROUP BY event_type""")
+def ingest_with_new_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second round has lost its checkpoint: it reads all files again, adds what is new and loses nothing."""
+    df = table(spark, sf_dir, "events")
+    base = scratch_path(spark, "ingest")
+    early = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
+    for i, part in enumerate((early, ~early)):
+        df.filter(part).write.parquet(f"{base}/landing/{i}")
+        ingest_new(spark, f"{base}/landing/*", f"{base}/table", f"{base}/checkpoint-{i}", SCHEMAS["events"], ["event_id"], ["ts"])
+    return spark.read.parquet(f"{base}/table").groupBy("event_type").agg(rows(), F.sum("event_id").alias("sum_id"))
+
+
 @query(f"""WITH {SALES}, {NATIONS} SELECT n.r_name, s.payment, COUNT(*) AS rows, {total('s.total')} AS revenue
 FROM sales s JOIN nations n ON s.from_nation = n.n_nationkey GROUP BY ALL HAVING COUNT(*) > 1""")
 def sql_over_views(spark: SparkSession, sf_dir: str) -> DataFrame:

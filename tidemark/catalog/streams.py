@@ -155,7 +155,7 @@ CASE WHEN us < mark THEN (mark - us) / 1000000 END AS lag_sec FROM m)"""
 
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = L.with_arrival(events(spark, sf_dir), "ts", "event_id")
+    df = L.with_arrival(events(spark, sf_dir).select("event_id", "ts", "value"), "ts", "event_id")
     return L.classify_late(df, "ts", ["arrival", "event_id"], 1800, 3600)
 
 
@@ -169,8 +169,8 @@ def lateness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.lateness_summary(_classified(spark, sf_dir), "value")
 
 
-# Ends of the arrival chunks fed one after another.
-CHUNKS = ("2024-01-10", "2024-01-20", "2024-02-10")
+# Ends of the arrival chunks fed one after another; the last chunk is open.
+CHUNKS = ("2024-01-10", "2024-01-20", None)
 
 
 @query(f"""WITH a AS (SELECT *, {_ARRIVAL} FROM events), p AS (SELECT *, CASE WHEN arrival < TIMESTAMP '2024-01-10' THEN 0 WHEN arrival < TIMESTAMP '2024-01-20' THEN 1 ELSE 2 END AS chunk FROM a),
@@ -179,10 +179,10 @@ SELECT CASE WHEN COALESCE(ts < mark, FALSE) THEN 'late' ELSE 'kept' END AS part,
 def stream_late_side_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows arrive late (see derived arrivals) in three rounds; the stragglers are set aside."""
     df = L.with_arrival(table(spark, sf_dir, "events"), "ts", "event_id").drop("props", "value")
-    base, start = scratch_path(spark, "late"), None
+    base, start = scratch_path(spark, "late"), F.lit(None)
     for i, end in enumerate(CHUNKS):
         stop = F.lit(end).cast("timestamp_ntz")
-        part = df.filter(F.col("arrival") < stop) if start is None else df.filter((F.col("arrival") >= start) & (F.col("arrival") < stop))
+        part = df.filter(F.coalesce(F.col("arrival") >= start, F.lit(True)) & F.coalesce(F.col("arrival") < stop, F.lit(True)))
         part.write.parquet(f"{base}/landing/chunk{i}")
         source = K.read_stream(spark, f"{base}/landing/*", df.schema)
         L.split_late(source, "ts", "30 minutes", f"{base}/out", f"{base}/checkpoint")

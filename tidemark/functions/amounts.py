@@ -49,6 +49,5 @@ def ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
 
 
 def mean_ratio(each: Column) -> Column:
-    """Mean of a per-row ratio, each taken to the nearest millionth so that the sum is of whole numbers."""
-    millionths = F.floor(each * 1000000 + 0.5)
-    return F.try_divide(F.sum(millionths).cast("double"), F.count(each)) / 1000000
+    """Mean of a per-row ratio, in double; callers round where they show it."""
+    return F.avg(each.cast("double"))

@@ -103,10 +103,15 @@ def matches(c: str | Column, pattern: str, full: bool = True) -> Column:
     return _col(c).cast("string").rlike(f"^(?:{pattern})" + ("$" if full else ""))
 
 
-def hash_key(columns: Sequence[str | Column], missing: str = "") -> Column:
-    """Null-safe digest of several columns, with a separator so ('a','bc') and ('ab','c') differ."""
-    parts = [F.coalesce(_col(c).cast("string"), F.lit(missing)) for c in columns]
-    return F.md5(F.concat_ws("~", *parts))
+def hash_key(columns: Sequence[str | Column]) -> Column:
+    """Null-safe digest of several columns.
+
+    Each part is preceded by its length, and a null is a mark of its own, so neither ('a~b', 'c') and
+    ('a', 'b~c') nor null and '' share a key.
+    """
+    texts = [_col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.md5(F.concat(*parts))
 
 
 def tagged_key(tag: str | Column, *columns: str) -> Column:

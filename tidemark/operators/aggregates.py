@@ -115,8 +115,19 @@ def correlations(df: DataFrame, xs: Sequence[str], ys: Sequence[str]) -> DataFra
     return row.selectExpr(f"stack({len(pairs)}, {items}) as (x, y, correlation)")
 
 
-def pivot(df: DataFrame, rows: Sequence[str], column: str, values: Sequence[object], agg: Column) -> DataFrame:
-    """Known values become columns, so no job is needed to find them; absent cells are 0."""
+def pivot(
+    df: DataFrame, rows: Sequence[str], column: str, values: Sequence[object], agg: Column, other: str | None = None
+) -> DataFrame:
+    """Known values become columns, so no job is needed to find them; absent cells are 0.
+
+    Rows with any other value, or none, gather in the column ``other`` where one is named; without it
+    ``values`` must cover the domain.
+    """
+    names = [str(v) for v in values]
+    if other is not None:
+        shown = F.when(F.col(column).isin(*values), F.col(column).cast("string")).otherwise(other)
+        df, names = df.withColumn(column, shown), [*names, other]
+        values = names
     return df.groupBy(*rows).pivot(column, list(values)).agg(agg).fillna(0)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +57,11 @@ def open_dimension(df: DataFrame, key: str, valid_from: str) -> DataFrame:
 def scd2_apply(dim: DataFrame, changes: DataFrame, key: str, tracked: Sequence[str]) -> DataFrame:
     """Close the current version the day before ``change_date`` and open a new one, for many keys.
 
-    ``changes`` has the key, ``change_date`` and the tracked columns, at most one row per key;
-    keys the dimension lacks are an error. One left join; a changed row then emits both versions.
+    ``changes`` has the key, ``change_date`` and the tracked columns, at most one row per key. A key
+    without a current version, and a change dated before the current version began, are errors raised
+    inside the plan. A change of the very day on which the current version began must equal it, and
+    then changes nothing, so a rerun is harmless. Past versions pass by; the current ones meet the
+    changes in one full join, and a changed row emits both versions.
     """
     wanted = changes.groupBy(key).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -69,8 +72,24 @@ def scd2_apply(dim: DataFrame, changes: DataFrame, key: str, tracked: Sequence[s
         .otherwise(F.col("_from")),
     ).drop("_n")
     cols = dim.columns
-    both = dim.join(wanted, key, "left")
-    hit = F.col("is_current") & F.col("_from").isNotNull()
+    now = F.coalesce(F.col("is_current"), F.lit(False))
+    wanted = wanted.withColumnRenamed(key, "_key")
+    both = dim.filter(now).join(wanted, F.col(key) == F.col("_key"), "full_outer")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in tracked])
+    start, change = F.col("valid_from"), F.col("_from")
+
+    def error(message: str) -> Column:
+        return F.raise_error(F.concat(F.lit(f"{message}: "), F.coalesce(F.col("_key").cast("string"), F.lit("null")))).cast("boolean")
+
+    hit = (
+        F.when(~F.coalesce(now, F.lit(False)), error("no current version of key"))
+        .when(change.isNull() & F.col("_key").isNotNull(), error("change without a date for key"))
+        .when(change.isNull(), F.lit(False))
+        .when(change < start, error("change before the current version of key"))
+        .when(change > start, F.lit(True))
+        .when(same, F.lit(False))
+        .otherwise(error("a second, different change on one day for key"))
+    )
 
     def version(over: Mapping[str, Column]) -> Column:
         return F.struct(*[over.get(c, F.col(c)).alias(c) for c in cols])
@@ -86,7 +105,7 @@ def scd2_apply(dim: DataFrame, changes: DataFrame, key: str, tracked: Sequence[s
         }
     )
     rows = F.when(hit, F.array(closed, opened)).otherwise(F.array(version({})))
-    return both.select(F.explode(rows).alias("_v")).select("_v.*")
+    return both.select(F.explode(rows).alias("_v")).select("_v.*").unionByName(dim.filter(~now))
 
 
 def snapshot(dim: DataFrame, source: DataFrame, key: str, check: Sequence[str], as_of: str) -> DataFrame:

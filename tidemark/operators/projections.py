@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+log = logging.getLogger(__name__)
+
 
 def stage(df: DataFrame, columns: Mapping[str, tuple[str, str]], required: Sequence[str] = ()) -> DataFrame:
     """Rename and cast to ``{new: (old, type)}``, then drop rows with NULL in a required column."""
@@ -24,7 +27,8 @@ def keep(df: DataFrame, predicate: Column) -> DataFrame:
 def enforce(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Fit ``df`` to ``schema``: columns absent from it are dropped, missing ones become NULL.
 
-    Second result has one row per column: how many non-null values did not survive the cast.
+    Second result has one row per column: how many non-null values did not survive the cast, or only
+    as another value (1.7 does not fit a whole number).
     """
     source = dict(df.dtypes)
     want = schema.fields
@@ -34,10 +38,18 @@ def enforce(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
             return F.lit(None).cast(f.dataType)
         return F.col(f.name).try_cast(f.dataType)
 
+    def survives(f: T.StructField) -> Column:
+        """The value cast back, or for text the number it stands for, is what it was."""
+        if isinstance(f.dataType, T.IntegralType) and not isinstance(df.schema[f.name].dataType, T.IntegralType):
+            return fitted(f) == F.col(f.name).try_cast("decimal(38,9)")
+        if source[f.name] == "string" or isinstance(f.dataType, T.StringType):
+            return fitted(f).isNotNull()
+        return fitted(f).try_cast(source[f.name]) == F.col(f.name)
+
     fit = df.select(*[fitted(f).alias(f.name) for f in want])
     lost = df.agg(
         *[
-            F.count_if(F.col(f.name).isNotNull() & fitted(f).isNull()).alias(f.name)
+            F.count_if(F.col(f.name).isNotNull() & ~F.coalesce(survives(f), F.lit(False))).alias(f.name)
             if f.name in source
             else F.count(F.lit(1)).alias(f.name)
             for f in want
@@ -48,10 +60,13 @@ def enforce(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
 
 
 def enforce_or_infer(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, bool]:
-    """The fitted frame if every value fits, else the frame as read; the flag says which."""
+    """The fitted frame if every value fits, else the frame as read, which is logged; the flag says which."""
     fit, report = enforce(df, schema)
-    fits = report.filter("failures > 0").isEmpty()
-    return (fit, True) if fits else (df, False)
+    failing = {r["column_name"]: r["failures"] for r in report.filter("failures > 0").collect()}  # a row per column
+    if failing:
+        log.warning("schema not enforced; values that do not fit, by column: %s", failing)
+        return df, False
+    return fit, True
 
 
 def harmonise(df: DataFrame, mapping: Mapping[str, str | Column], tag: str, tag_column: str = "source") -> DataFrame:

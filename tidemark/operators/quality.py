@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalars import matches
 
 Rule = Mapping[str, object]
+#: Columns of a check's result; rules may carry a ``label`` to show instead of the check, and a ``severity``.
 RESULT = ("check", "column_name", "passed", "total_rows", "failing_rows", "failure_pct")
 
 
@@ -31,13 +32,16 @@ def is_missing(df: DataFrame, column: str) -> Column:
     return c.isNull()
 
 
-def breaks(rule: Rule, full_match: bool = False) -> Column:
-    """True where a non-null value breaks a range, pattern or accepted-values rule."""
+def breaks(rule: Rule, full_match: bool = False, numbers_only: bool = False) -> Column:
+    """True where a non-null value breaks a range, pattern or accepted-values rule.
+
+    A value that is no number passes a range rule, unless ``numbers_only``.
+    """
     c = F.col(rule["column"])
     if rule["check"] == "range":
         number = c.try_cast("double")
         low, high = rule.get("min"), rule.get("max")
-        bad = F.lit(False)
+        bad = F.lit(numbers_only) & c.isNotNull() & number.isNull()
         bad = bad | (number < low) if low is not None else bad
         bad = bad | (number > high) if high is not None else bad
     elif rule["check"] == "pattern":
@@ -59,19 +63,25 @@ def _rows(frame: DataFrame, items: Sequence[tuple[Rule, Column, Column]]) -> Dat
         pct = F.when(total > 0, bad / total * 100).otherwise(0.0)
         allowed = float(rule.get("max_null_pct", 0.0)) if rule["check"] == "completeness" else 0.0
         return F.struct(
-            F.lit(rule["check"]).alias("check"),
+            F.lit(rule.get("label", rule["check"])).alias("check"),
             F.lit(rule["column"]).alias("column_name"),
+            F.lit(rule.get("severity", "error")).alias("severity"),
             (pct <= allowed).alias("passed"),
             total.alias("total_rows"),
             bad.alias("failing_rows"),
             pct.alias("failure_pct"),
         )
 
-    return frame.select(F.inline(F.array(*[line(*i) for i in items]))).toDF(*RESULT)
+    return frame.select(F.inline(F.array(*[line(*i) for i in items])))
 
 
 def run_checks(df: DataFrame, rules: Sequence[Rule], full_match: bool = False) -> DataFrame:
     """One row per rule: check, column, passed, rows, failing rows, failing percent."""
+    return _checked(df, rules, full_match).select(*RESULT)
+
+
+def _checked(df: DataFrame, rules: Sequence[Rule], full_match: bool) -> DataFrame:
+    """Results with each rule's own severity."""
     plain = [r for r in rules if r["check"] != "uniqueness"]
     parts = []
     if plain:
@@ -183,7 +193,6 @@ def validate_contract(df: DataFrame, contract: Mapping[str, object], as_of: str)
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     rules: list[dict] = []
-    known = F.lit(None).cast("string")
     static: list[Column] = []
 
     def fixed(check: str, column: str, severity: str, ok: bool) -> None:
@@ -212,20 +221,10 @@ def validate_contract(df: DataFrame, contract: Mapping[str, object], as_of: str)
         else:
             rules.append({**rule, "check": rule["rule"], "severity": rule.get("severity", "warning"), "label": rule["rule"]})
 
-    label = {(r["check"], r["column"]): (r["label"], r["severity"]) for r in rules}
     parts = []
     if rules:
-        names = known
-        severities = known
-        for (check, column), (shown, severity) in label.items():
-            this = (F.col("check") == check) & (F.col("column_name") == column)
-            names = F.when(this, shown).otherwise(names)
-            severities = F.when(this, severity).otherwise(severities)
-        parts.append(
-            run_checks(df, rules, full_match=True).select(
-                names.alias("check"), "column_name", severities.alias("severity"), "failing_rows", "passed"
-            )
-        )
+        checked = _checked(df, rules, full_match=True)
+        parts.append(checked.select("check", "column_name", "severity", "failing_rows", "passed"))
     fresh, volume = contract.get("freshness"), contract.get("volume")
     measured = list(static)
     now = F.unix_timestamp(F.lit(as_of).cast("timestamp_ntz"))
@@ -284,7 +283,7 @@ def score(df: DataFrame, spec: Mapping[str, object], as_of: str, name: str) -> D
 
     def passing(rules: Sequence[Rule]) -> tuple[Column, Column]:
         seen = total([F.count(F.col(r["column"])) for r in rules])
-        return seen, seen - total([F.count_if(breaks(r)) for r in rules])
+        return seen, seen - total([F.count_if(breaks(r, numbers_only=True)) for r in rules])
 
     seen_v, pass_v = passing(valid)
     seen_f, pass_f = passing(formats)
@@ -324,6 +323,7 @@ def score(df: DataFrame, spec: Mapping[str, object], as_of: str, name: str) -> D
     return graded.withColumn("grade", grade)
 
 
+# The limits of the gate.
 def circuit(scores: DataFrame, passing: float = 90, warning: float = 80, critical: float = 50) -> DataFrame:
     """Turn a score into a gate: CLOSED proceeds, HALF-OPEN warns, OPEN halts."""
     s = F.col("overall")

@@ -120,10 +120,10 @@ def percentile_rank(df: DataFrame, part: Sequence[str], column: str) -> DataFram
     return df.withColumn("pct_rank", F.percent_rank().over(_w(part, [column])))
 
 
-def agg_rank(df: DataFrame, by: Sequence[str], measure: Column, name: str) -> DataFrame:
-    """Aggregate, then rank the groups by the aggregate."""
+def agg_rank(df: DataFrame, by: Sequence[str | Column], measure: Column, name: str, part: Sequence[str] = ()) -> DataFrame:
+    """Aggregate, then rank all groups by the aggregate, in total or within ``part``."""
     return df.groupBy(*by).agg(measure.alias(name)).withColumn(
-        "place", F.rank().over(Window.partitionBy().orderBy(F.col(name).desc()))
+        "place", F.rank().over(Window.partitionBy(*part).orderBy(F.col(name).desc()))
     )
 
 

@@ -27,8 +27,8 @@ class Metric:
     """``num`` is summed over the rows matching ``where``.
 
     The sum is divided by the sum of ``den`` if given, by the matching rows for an average, or by the
-    number of distinct ``per`` values. A distinct count is ``per`` alone. A ``num`` in whole units of
-    1/``scale`` is brought back at the end.
+    number of distinct ``per`` values. A distinct count is ``per`` alone. ``digits`` rounds the result of
+    a mean of inexact numbers.
     """
 
     name: str
@@ -39,7 +39,7 @@ class Metric:
     per: str | None = None
     where: str = "true"
     q: float | None = None
-    scale: float = 1.0
+    digits: int | None = None
     dimensions: Sequence[str] = ()
     grains: Sequence[str] = GRAINS
     thresholds: Mapping[str, float] = field(default_factory=dict)
@@ -48,9 +48,9 @@ class Metric:
 
 _DAY, _HOUR = "to_date(started)", "date_trunc('hour', started)"
 _MINUTES = "floor(unix_timestamp(ended) / 60) - floor(unix_timestamp(started) / 60)"
-_TIP_RATE = "floor(cast(tip as double) / cast(fare as double) * 1000000 + 0.5)"
+_TIP_RATE = "cast(tip as double) / cast(fare as double)"
 
-# Sixteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
+# Thresholds. Sixteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
 _ALL = (
     Metric("trips_per_day", "volume", "average", "1", per=_DAY, dimensions=("vendor", "payment"), grains=("month",),
            thresholds={"warning_below": 5000, "critical_below": 1000}, tags=("executive",)),
@@ -62,7 +62,7 @@ _ALL = (
            thresholds={"warning_below": 50000, "critical_below": 10000}, tags=("executive",)),
     Metric("avg_fare", "revenue", "average", "fare", where="fare > 0", dimensions=("vendor", "payment"),
            thresholds={"warning_below": 8.0, "critical_below": 5.0}, tags=("executive",)),
-    Metric("avg_tip_rate", "revenue", "average", _TIP_RATE, where="fare > 0 and tip >= 0", scale=1e6, dimensions=("payment",),
+    Metric("avg_tip_rate", "revenue", "average", _TIP_RATE, where="fare > 0 and tip >= 0", digits=9, dimensions=("payment",),
            thresholds={"warning_below": 0.10, "critical_below": 0.05}),
     Metric("revenue_per_mile", "revenue", "ratio", "total", den="distance", where="distance > 0", dimensions=("vendor",),
            thresholds={"warning_below": 3.0, "critical_below": 2.0}),
@@ -104,7 +104,7 @@ def _finish(m: Metric, num: Column, den: Column | None) -> Column:
     if den is None:
         return num.cast("double")
     out = F.try_divide(num.cast("double"), den.cast("double"))
-    return out / m.scale if m.scale != 1.0 else out
+    return out if m.digits is None else F.round(out, m.digits)
 
 
 def _plain(m: Metric) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.history import dedupe
 from tidemark.operators.joins import not_seen
+from tidemark.sources.readers import exists
 
 
 def ingest_new(
@@ -19,18 +21,24 @@ def ingest_new(
     """Read files not yet taken, drop keys already in ``out`` or repeated, append; rows added.
 
     The file source's checkpoint remembers the files. Each micro-batch writes its own directory,
-    overwritten if the batch is retried, so a lost driver or executor never adds rows twice.
+    overwritten if the batch is retried, so a lost driver or executor never adds rows twice. The
+    directory is named by the checkpoint's own id and the epoch: a new checkpoint reads all files again
+    but never writes over what an earlier one took. Only a missing ``out`` counts as an empty table.
     """
-    before = _count(spark, out)
+    name: list[str] = []
+    known = threading.Event()
+    added: dict[int, int] = {}
 
     def take(batch: DataFrame, epoch: int) -> None:
+        known.wait()
+        own = f"{name[0]}-{epoch}"
         fresh = dedupe(batch, keys, order)
-        try:
+        if exists(spark, out):
             old = spark.read.parquet(out)
-            fresh = not_seen(fresh, old.filter(old["epoch"] != epoch), keys)
-        except AnalysisException:
-            pass
-        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+            fresh = not_seen(fresh, old.filter(F.col("epoch") != own), keys)
+        path = f"{out}/epoch={own}"
+        fresh.write.mode("overwrite").parquet(path)
+        added[epoch] = spark.read.schema(fresh.schema).parquet(path).count()
 
     reader = spark.readStream.schema(schema).options(**(options or {}))
     query = (
@@ -39,12 +47,7 @@ def ingest_new(
         .trigger(availableNow=True)
         .start()
     )
+    name.append(query.id)
+    known.set()
     query.awaitTermination()
-    return _count(spark, out) - before
-
-
-def _count(spark: SparkSession, path: str) -> int:
-    try:
-        return spark.read.parquet(path).count()
-    except AnalysisException:
-        return 0
+    return sum(added.values())

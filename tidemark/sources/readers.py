@@ -56,3 +56,9 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
 def partition_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows per partition of a partitioned table."""
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, by its own file system. Anything else wrong with it shows when it is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.history import union_evolved
-from tidemark.sources.readers import read_merged
+from tidemark.sources.readers import exists, read_merged
 
 
 def write_parquet(df: DataFrame, path: str, codec: str = "zstd", mode: str = "errorifexists") -> None:
@@ -58,8 +57,8 @@ def write_clustered(df: DataFrame, path: str, columns: Sequence[str], n_files: i
 
 
 def compact(df: DataFrame, path: str, n_files: int) -> None:
-    """Fewer, larger files without a shuffle."""
-    df.coalesce(n_files).write.mode("overwrite").parquet(path)
+    """Fewer, larger files. A coalesce would also leave the reading to ``n_files`` tasks, so rows are dealt anew."""
+    df.repartition(n_files).write.mode("overwrite").parquet(path)
 
 
 def append_evolving(df: DataFrame, path: str) -> DataFrame:
@@ -69,11 +68,11 @@ def append_evolving(df: DataFrame, path: str) -> DataFrame:
 
 
 def rewrite_evolved(df: DataFrame, path: str, new_path: str, defaults: dict[str, object]) -> DataFrame:
-    """Write old table plus ``df`` to ``new_path``, old rows taking the defaults of new columns."""
+    """Write old table plus ``df`` to ``new_path``, old rows taking the defaults of new columns.
+
+    Only a missing ``path`` counts as an empty table; one that cannot be read is an error.
+    """
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except AnalysisException:
-        old = df.limit(0)
+    old = spark.read.parquet(path) if exists(spark, path) else df.limit(0)
     overwrite(union_evolved(old, df, defaults), new_path)
     return spark.read.parquet(new_path)

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.ranges import lay_out, running
+from tidemark.sources.readers import exists
 
 
 def with_arrival(df: DataFrame, ts: str, key: str, every: int = 20, late: str = "2 hours", usual: str = "1 second") -> DataFrame:
@@ -56,12 +56,10 @@ def split_late(stream: DataFrame, ts: str, lateness: str, out: str, checkpoint:
 
     def take(batch: DataFrame, epoch: int) -> None:
         mark = F.lit(None).cast("timestamp_ntz")
-        try:
+        if exists(spark, f"{out}/marks"):
             past = spark.read.parquet(f"{out}/marks").filter(F.col("epoch") < epoch)
             seen = past.agg(F.max("seen").alias("m")).first()["m"]
             mark = F.lit(seen).cast("timestamp_ntz") - F.expr(f"interval {lateness}")
-        except AnalysisException:
-            pass
         behind = F.coalesce(F.col(ts) < mark, F.lit(False))
         batch.filter(~behind).write.mode("overwrite").parquet(f"{out}/kept/epoch={epoch}")
         late = batch.filter(behind).withColumn("watermark", mark)
