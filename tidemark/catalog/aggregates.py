@@ -196,6 +196,14 @@ def cube_three_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cubed(spark, sf_dir)
 
 
+@query(f"""WITH {PLACED} SELECT from_r_name, rate, CAST(GROUPING(from_r_name, rate) AS INTEGER) AS level, COUNT(*) AS rows,
+{mean('fare')} AS avg_fare, MIN(distance) AS least_distance, MAX(distance) AS most_distance FROM placed GROUP BY CUBE (from_r_name, rate)""")
+def cube_with_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fare, distance = F.col("fare"), F.col("distance")
+    measures = {"rows": ("count", F.lit(1)), "avg_fare": ("mean", fare), "least_distance": ("min", distance), "most_distance": ("max", distance)}
+    return A.cube(placed(spark, sf_dir), ["from_r_name", "rate"], measures)
+
+
 @query(f"SELECT * FROM ({_CUBE}) WHERE level = 0 AND from_r_name = 'ASIA' AND rate IN ('A', 'R')")
 def slice_and_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.slice_cube(_cubed(spark, sf_dir), {"level": 0, "from_r_name": "ASIA", "rate": ["A", "R"]})

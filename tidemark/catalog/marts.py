@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from tidemark.operators.sets import stack_by_name
 from tidemark.operators.windows import agg_rank, top_n_per
 from tidemark.plans import gold as G
 from tidemark.plans.medallion import run_medallion
-from tidemark.plans.silver import SilverSpec, silver
+from tidemark.plans.silver import SilverSpec, accounting, silver
 from tidemark.plans.star import build_fact, with_row_id
 from tidemark.scratch import scratch_path
 from tidemark.tables import nations, sales, table
@@ -56,8 +58,27 @@ BOTH = f"{SALES}, {STREET}, {HAIL}, trips_all AS (SELECT * FROM street UNION ALL
 
 
 def both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid rows of the two trip sources."""
-    return stack_by_name([street(spark, sf_dir)[0], hail(spark, sf_dir)[0].drop("trip_kind")])
+    """Valid rows of the two trip sources, from one pass: the source is derived from the rate and part of the key."""
+    source = bucket([(F.col("rate") == "A", "street"), (F.col("rate") == "R", "hail")], "none")
+    spec = replace(trip_spec("both"), tag=source, keys=(*KEYS, "source"))
+    return silver(sales(spark, sf_dir).filter("rate IN ('A', 'R')"), spec)[0]
+
+
+@query(f"""WITH {SALES}, r AS (SELECT *, CASE WHEN order_key % 11 = 0 THEN NULL ELSE ended END AS e, CASE WHEN order_key % 13 = 0 THEN -fare ELSE fare END AS f FROM sales),
+s AS (SELECT *, CASE WHEN e IS NULL OR started IS NULL THEN 'missing_time' WHEN f < 0 THEN 'negative_fare' WHEN total < 0 THEN 'negative_total' END AS rule,
+  (epoch(e) - epoch(started)) / 60 AS minutes FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY rule, started, e, from_nation, to_nation, f ORDER BY order_key, line_no) AS rn FROM s)
+SELECT CASE WHEN rule IS NOT NULL THEN 'dropped' WHEN rn > 1 THEN 'duplicate' WHEN minutes BETWEEN 0.5 AND 100000 THEN 'valid' ELSE 'quarantine' END AS outcome,
+CASE WHEN rule IS NOT NULL THEN rule WHEN rn = 1 AND NOT minutes BETWEEN 0.5 AND 100000 THEN 'duration' END AS rule, COUNT(*) AS rows
+FROM (SELECT * FROM k UNION ALL SELECT * REPLACE (rn + 1 AS rn) FROM k WHERE order_key % 17 = 0) GROUP BY ALL""")
+def silver_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some rows lack their end, have negative money or come twice: raw = valid + quarantine + duplicates + dropped."""
+    df = sales(spark, sf_dir)
+    ended = F.when(F.col("order_key") % 11 != 0, F.col("ended"))
+    fare = F.when(F.col("order_key") % 13 == 0, -F.col("fare")).otherwise(F.col("fare"))
+    raw = df.withColumns({"ended": ended, "fare": fare})
+    raw = raw.withColumn("_copy", F.explode(F.when(F.col("order_key") % 17 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return accounting(raw, replace(trip_spec("trips"), minutes=(0.5, 100_000)))
 
 
 @query(f"""WITH {SALES}, {STREET} SELECT CASE WHEN ok THEN 'valid' ELSE 'quarantine' END AS part, is_hub, COUNT(*) AS rows,

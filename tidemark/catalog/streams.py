@@ -235,6 +235,28 @@ def surge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.surge(events(spark, sf_dir), "ts", "6 hours", "event_type", "value", 1.2, 4)
 
 
+#: Windows that have closed: their end lies at or before the newest event less the ten-minute watermark.
+_CLOSED = "window_start + INTERVAL 6 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+@query(f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, {mean('value')} AS window_mean, SUM(value) AS s, COUNT(value) AS n FROM ev GROUP BY ALL),
+b AS (SELECT *, CAST(SUM(s) OVER f AS DOUBLE) / SUM(n) OVER f AS base_mean FROM w WHERE {_CLOSED} WINDOW f AS (PARTITION BY event_type ORDER BY window_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+SELECT window_start, event_type, window_mean, base_mean, COALESCE(window_mean > 1.2 * base_mean, FALSE) AS is_surge FROM b""")
+def stream_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream sums windows as they close; surges are flagged over the table of closed windows."""
+    timed = W.event_time(stream(spark, sf_dir).withColumn("value", exact("value")), "ts", "10 minutes")
+    closed = K.drain(V.window_sums(timed, "ts", "6 hours", "event_type", "value"), "append", "surge")
+    return V.flag_surges(plain(closed, "window_start"), "event_type", 1.2, 4)
+
+
+@query(f"""SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, COUNT(*) AS rows, COUNT(*) FILTER (WHERE event_type = 'click') AS click_rows,
+COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchase_rows, COUNT(*) FILTER (WHERE event_type IN ('click', 'purchase')) / COUNT(*) AS hub_share
+FROM events GROUP BY 1) WHERE {_CLOSED}""")
+def stream_hub_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = W.event_time(stream(spark, sf_dir), "ts", "10 minutes")
+    return plain(K.drain(V.hub_monitor(timed, "ts", "6 hours", "event_type", ["click", "purchase"]), "append", "hubs"), "window_start")
+
+
 @query(f"""WITH {SALES}, c AS (SELECT from_nation, started AS moment, 1 AS d FROM sales UNION ALL SELECT from_nation, ended, -1 FROM sales)
 SELECT from_nation, CAST(SUM(d) AS BIGINT) AS active FROM c WHERE moment <= TIMESTAMP '1998-01-01' GROUP BY from_nation""")
 def active_trips_per_zone(spark: SparkSession, sf_dir: str) -> DataFrame:

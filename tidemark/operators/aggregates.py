@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import mean, mean_ratio, ratio
+from tidemark.operators.joins import small
 from tidemark.operators.ranges import lay_out, running
+from tidemark.scratch import materialise
 
 
 def summarise(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
@@ -76,7 +78,8 @@ def quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[float]
     sizes = laid.groupBy(*by).agg(F.sum("_n").alias("_size"))
     points = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
     want = sizes.withColumn("q", points).withColumn("_pos", F.col("q") * (F.col("_size") - 1))
-    joined = ranked.join(want, by) if by else ranked.crossJoin(F.broadcast(want))
+    # A few positions per group: once written their size is known, and they are broadcast if it is small.
+    joined = ranked.join(small(materialise(want, "quantile-positions")), by) if by else ranked.crossJoin(F.broadcast(want))
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     low, high = F.floor("_pos"), F.ceil("_pos")
     near = joined.filter((first <= high) & (last >= low))
@@ -131,26 +134,48 @@ def pivot(
     return df.groupBy(*rows).pivot(column, list(values)).agg(agg).fillna(0)
 
 
-def _finest(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    return df.groupBy(*dims).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+#: A measure of a cube: a column to sum, or (sum|count|mean|min|max, column).
+Measure = Column | tuple[str, Column]
+_FINE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_COARSE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def _levels(grouped: GroupedData, sums: Mapping[str, Column]) -> DataFrame:
-    return grouped.agg(F.grouping_id().cast("int").alias("level"), *[F.sum(n).alias(n) for n in sums])
+def _kinds(measures: Mapping[str, Measure]) -> list[tuple[str, str, Column]]:
+    return [(n, *(m if isinstance(m, tuple) else ("sum", m))) for n, m in measures.items()]
 
 
-def rollup(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+def _finest(df: DataFrame, dims: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
+    out = []
+    for name, kind, c in _kinds(measures):
+        if kind == "mean":
+            out += [F.sum(c).alias(f"{name}__sum"), F.count(c).alias(f"{name}__count")]
+        else:
+            out.append(_FINE[kind](c).alias(name))
+    return df.groupBy(*dims).agg(*out)
+
+
+def _levels(grouped: GroupedData, measures: Mapping[str, Measure]) -> DataFrame:
+    out = []
+    for name, kind, _ in _kinds(measures):
+        if kind == "mean":
+            out.append(F.try_divide(F.sum(f"{name}__sum").cast("double"), F.sum(f"{name}__count")).alias(name))
+        else:
+            out.append(_COARSE[kind](name).alias(name))
+    return grouped.agg(F.grouping_id().cast("int").alias("level"), *out)
+
+
+def rollup(df: DataFrame, dims: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
     """Subtotals from the finest level up; ``level`` is the grouping bitmap.
 
-    ``sums`` are additive (count is a sum of ones), so rows are first summed at the finest level and
-    only those groups, not the rows, are repeated for every level.
+    Sums, counts, minima and maxima combine, and a mean is a sum and a count until the end, so rows are
+    first reduced to the finest level and only those groups, not the rows, are repeated for every level.
     """
-    return _levels(_finest(df, dims, sums).rollup(*dims), sums)
+    return _levels(_finest(df, dims, measures).rollup(*dims), measures)
 
 
-def cube(df: DataFrame, dims: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    """Subtotals for every subset of the dimensions; the finest level is summed first."""
-    return _levels(_finest(df, dims, sums).cube(*dims), sums)
+def cube(df: DataFrame, dims: Sequence[str], measures: Mapping[str, Measure]) -> DataFrame:
+    """Subtotals for every subset of the dimensions; the finest level is reduced first."""
+    return _levels(_finest(df, dims, measures).cube(*dims), measures)
 
 
 def slice_cube(cubed: DataFrame, fixed: Mapping[str, object]) -> DataFrame:

@@ -69,10 +69,13 @@ def enforce_or_infer(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, bo
     return fit, True
 
 
-def harmonise(df: DataFrame, mapping: Mapping[str, str | Column], tag: str, tag_column: str = "source") -> DataFrame:
-    """Bring one source to the common layout ``{target: source column or expression}`` and label it."""
+def harmonise(df: DataFrame, mapping: Mapping[str, str | Column], tag: str | Column, tag_column: str = "source") -> DataFrame:
+    """Bring a source to the common layout ``{target: source column or expression}`` and label it.
+
+    ``tag`` may be a column where the rows of several sources come from one scan.
+    """
     cols = [(F.col(src) if isinstance(src, str) else src).alias(dst) for dst, src in mapping.items()]
-    return df.select(*cols, F.lit(tag).alias(tag_column))
+    return df.select(*cols, (F.lit(tag) if isinstance(tag, str) else tag).alias(tag_column))
 
 
 def impute_median(df: DataFrame, column: str) -> DataFrame:

@@ -8,6 +8,7 @@ send every buffer through the shuffle once per value.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quantiles
 from tidemark.operators.windows import growth
+from tidemark.scratch import materialise
 
 GRAINS = ("day", "week", "month")
 
@@ -161,7 +163,9 @@ def metric(df: DataFrame, name: str, dims: Sequence[str] = (), grain: str | None
 
 
 def metric_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Many overall metrics, as (metric, value)."""
+    """Many overall metrics, as (metric, value). The rows are computed once, with the columns in use only."""
+    texts = " ".join(str(x) for n in names for m in [REGISTRY[n]] for x in (m.num, m.den, m.per, m.where))
+    df = materialise(df.select(*[c for c in df.columns if re.search(rf"\b{c}\b", texts)]), "metric-rows")
     simple = [n for n in names if REGISTRY[n].kind != "percentile"]
     lines = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in simple]
     out = metrics(df, simple).select(F.inline(F.array(*lines)))

@@ -25,8 +25,9 @@ def latest(df: DataFrame, ts: str) -> DataFrame:
 
 
 def _trailing(df: DataFrame, ts: str, span: str, as_of: DataFrame) -> DataFrame:
-    since = F.col("as_of") - F.expr(f"interval {span}")
-    return df.crossJoin(F.broadcast(as_of)).filter((F.col(ts) >= since) & (F.col(ts) <= F.col("as_of")))
+    """Rows of the trailing span. The edge is a scalar subquery, so the filter stands at the scan."""
+    until = as_of.scalar()
+    return df.filter((F.col(ts) >= until - F.expr(f"interval {span}")) & (F.col(ts) <= until))
 
 
 def active_users(df: DataFrame, ts: str, user: str, span: str, as_of: DataFrame, only: Column | None = None) -> DataFrame:
@@ -46,9 +47,9 @@ def active_users_stream(stream: DataFrame, ts: str, user: str, span: str, slide:
 def trending(df: DataFrame, ts: str, key: str, span: str, as_of: DataFrame, n: int) -> DataFrame:
     """Keys by growth of the last span against the span before: (recent − before) / max(before, 1)."""
     step = F.expr(f"interval {span}")
-    edge = F.col("as_of") - step
-    since = edge - step
-    rows = df.crossJoin(F.broadcast(as_of)).filter((F.col(ts) >= since) & (F.col(ts) <= F.col("as_of")))
+    until = as_of.scalar()
+    edge = until - step
+    rows = df.filter((F.col(ts) >= edge - step) & (F.col(ts) <= until))
     counted = rows.groupBy(key).agg(
         F.count_if(F.col(ts) >= edge).alias("recent"), F.count_if(F.col(ts) < edge).alias("before")
     )
@@ -71,19 +72,35 @@ def per_minute(df: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
 
 
 def surge(df: DataFrame, ts: str, size: str, key: str, value: str, factor: float, baseline: int) -> DataFrame:
-    """Windows whose mean exceeds ``factor`` times the mean of the key's earlier windows.
+    """Windows whose mean exceeds ``factor`` times the mean of the key's earlier windows."""
+    return flag_surges(window_sums(df, ts, size, key, value), key, factor, baseline)
 
-    The frame runs over windows, not rows.
-    """
-    means = df.groupBy(F.window(ts, size).alias("w"), key).agg(
-        mean(value).alias("window_mean"), F.sum(value).alias("_s"), F.count(value).alias("_n")
+
+def window_sums(df: DataFrame, ts: str, size: str, key: str, value: str) -> DataFrame:
+    """Sum and count per window and key; batch, or a stream with a watermark in append mode."""
+    return df.groupBy(F.window(ts, size).alias("w"), key).agg(F.sum(value).alias("window_sum"), F.count(value).alias("window_rows")).select(
+        F.col("w.start").alias("window_start"), key, "window_sum", "window_rows"
     )
-    before = Window.partitionBy(key).orderBy("w").rowsBetween(-baseline, -1)
-    base = F.try_divide(F.sum("_s").over(before).cast("double"), F.sum("_n").over(before))
+
+
+def flag_surges(closed: DataFrame, key: str, factor: float, baseline: int) -> DataFrame:
+    """Compare closed windows with the ``baseline`` windows before them. The frame runs over windows, not rows."""
+    before = Window.partitionBy(key).orderBy("window_start").rowsBetween(-baseline, -1)
+    mean_of = lambda s, n: F.try_divide(s.cast("double"), n)
+    base = mean_of(F.sum("window_sum").over(before), F.sum("window_rows").over(before))
+    rows = closed.withColumns({"window_mean": mean_of(F.col("window_sum"), F.col("window_rows")), "base_mean": base})
     flagged = F.coalesce(F.col("window_mean") > factor * F.col("base_mean"), F.lit(False))
-    return means.withColumn("base_mean", base).withColumn("is_surge", flagged).select(
-        F.col("w.start").alias("window_start"), key, "window_mean", "base_mean", "is_surge"
-    )
+    return rows.withColumn("is_surge", flagged).select("window_start", key, "window_mean", "base_mean", "is_surge")
+
+
+def hub_monitor(df: DataFrame, ts: str, size: str, key: str, hubs: Sequence[str]) -> DataFrame:
+    """Per window: all rows, rows of each hub, and their share; batch, or a stream with a watermark."""
+    counts = {h: F.count_if(F.col(key) == h) for h in hubs}
+    rows = F.count(F.lit(1))
+    return df.groupBy(F.window(ts, size).alias("w")).agg(
+        rows.alias("rows"), *[c.alias(f"{h}_rows") for h, c in counts.items()],
+        (sum(counts.values(), F.lit(0)) / rows).alias("hub_share"),
+    ).select(F.col("w.start").alias("window_start"), "rows", *[f"{h}_rows" for h in hubs], "hub_share")
 
 
 def current_state(changelog: DataFrame, key: str, delta: Column) -> DataFrame:
