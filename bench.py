@@ -13,6 +13,7 @@ import sys
 import time
 
 from tidemark.catalog import REGISTRY
+from tidemark.scratch import scope
 from tidemark.session import build_session
 
 HEADLINE = [
@@ -39,9 +40,10 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def once(name: str) -> float:
-        start = time.perf_counter()
-        REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - start
+        with scope(spark):
+            start = time.perf_counter()
+            REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - start
 
     seconds = {}
     for name in picked:

@@ -272,6 +272,27 @@ def test_scd2_rerun_changes_nothing_and_a_second_value_is_an_error(spark):
         H.scd2_apply(once, changes(spark, [(1, day, "other")]), "k", ["v"]).collect()
 
 
+def test_scratch_is_narrow_and_empty_after_its_scope(spark, sf_dir):
+    import glob
+
+    from tidemark.catalog import REGISTRY
+    from tidemark.scratch import scope
+
+    base = spark.conf.get("spark.checkpoint.dir")
+    with scope(spark):
+        before = set(glob.glob(f"{base}/ranges-*"))
+        REGISTRY["late_classification"].run(spark, sf_dir).count()
+        (path,) = set(glob.glob(f"{base}/ranges-*")) - before
+        assert "props" not in spark.read.parquet(path).columns
+    assert not glob.glob(path)
+
+
+def test_sketch_bound_can_fail(spark):
+    rough = spark.createDataFrame([(120, 100), (101, 100)], "active_users long, exact long")
+    near = F.abs(F.col("active_users") - F.col("exact")) <= F.col("exact") * 0.15 + 1
+    assert [r[0] for r in rough.select(near).collect()] == [False, True]
+
+
 def test_only_a_missing_path_is_an_empty_table(spark, tmp_path):
     from tidemark.sources.writers import rewrite_evolved
 
