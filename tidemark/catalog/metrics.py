@@ -39,7 +39,7 @@ _TABLE = f"WITH {SALES} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, {e} AS
 
 @query(_TABLE)
 def metric_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.metric_table(sales(spark, sf_dir), list(M.REGISTRY))
+    return M.metric_table(sales(spark, sf_dir), M.OVERALL)
 
 
 def _light(name: str) -> str:
@@ -51,7 +51,7 @@ def _light(name: str) -> str:
 
 @query(f"SELECT metric, value, CASE {' '.join(_light(n) for n in SQL)} ELSE 'green' END AS status FROM ({_TABLE})")
 def metric_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.metric_status(M.metric_table(sales(spark, sf_dir), list(M.REGISTRY)))
+    return M.metric_status(M.metric_table(sales(spark, sf_dir), M.OVERALL))
 
 
 @query(f"""WITH {SALES} SELECT CAST(date_trunc('month', started) AS DATE) AS period, vendor, {SQL['total_revenue']} AS value FROM sales GROUP BY ALL""")
@@ -64,6 +64,24 @@ def metric_by_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metric(sales(spark, sf_dir), "avg_fare", [], "week")
 
 
+@query(f"""WITH {PLACED} SELECT from_r_name, {SQL['avg_fare']} AS value FROM placed GROUP BY from_r_name""")
+def metric_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.metric(placed(spark, sf_dir), "avg_fare", ["from_r_name"])
+
+
+@query(f"""WITH {PLACED}, c AS (SELECT from_r_name, from_nation AS item, CAST(COUNT(*) AS DOUBLE) AS value FROM placed GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY from_r_name ORDER BY value DESC, item) AS INTEGER) AS place FROM c) SELECT * FROM r WHERE place <= 5""")
+def metric_top_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.metric(placed(spark, sf_dir), "top_origins", ["from_r_name"])
+
+
+@query(f"""WITH {PLACED}, c AS (SELECT CAST(date_trunc('month', started) AS DATE) AS period, from_r_name, COUNT(*) AS n FROM placed GROUP BY ALL),
+p AS (SELECT *, lag(n) OVER (PARTITION BY from_r_name ORDER BY period) AS prev FROM c)
+SELECT period, from_r_name, CASE WHEN prev <> 0 THEN CAST(n - prev AS DOUBLE) / CAST(prev AS DOUBLE) * 100 END AS value FROM p""")
+def metric_period_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.metric(placed(spark, sf_dir), "trips_change", ["from_r_name"], "month")
+
+
 @query(f"""WITH {SALES} SELECT vendor, {SQL['p95_duration']} AS value FROM sales GROUP BY vendor""")
 def metric_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.metric(sales(spark, sf_dir), "p95_duration", ["vendor"])

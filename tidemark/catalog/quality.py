@@ -403,3 +403,14 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'accepted_values', 'r_name', COUNT(*) FILTER (WHERE r_name NOT IN ('ASIA', 'EUROPE')), FALSE FROM nations""")
 def dimension_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.schema_tests(nations(spark, sf_dir), {"n_nationkey": ["unique"], "r_name": [("accepted_values", ["ASIA", "EUROPE"])]})
+
+
+@query("""WITH v AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS period, CAST(l_quantity AS DOUBLE) AS v FROM lineitem),
+q AS (SELECT period, 0.25 AS q, quantile_cont(v, 0.25) AS value FROM v GROUP BY 1 UNION ALL SELECT period, 0.5, quantile_cont(v, 0.5) FROM v GROUP BY 1
+  UNION ALL SELECT period, 0.9, quantile_cont(v, 0.9) FROM v GROUP BY 1),
+p AS (SELECT period, CAST(q AS DOUBLE) AS q, round(value, 6) AS value FROM q), l AS (SELECT *, lag(value) OVER (PARTITION BY q ORDER BY period) AS prev_value FROM p)
+SELECT *, round(CASE WHEN prev_value <> 0 THEN (value - prev_value) / prev_value * 100 END, 6) AS change_pct FROM l""")
+def drift_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartile, median and ninth decile of quantities by year of shipping."""
+    out = Q.drift_quantiles(table(spark, sf_dir, "lineitem"), F.year("l_shipdate"), "l_quantity", [0.25, 0.5, 0.9])
+    return out.withColumns({"value": F.round("value", 6), "prev_value": F.round("prev_value", 6), "change_pct": F.round("change_pct", 6)})

@@ -427,3 +427,13 @@ def stability_index(df: DataFrame, is_base: Column, column: str, width: float) -
     p = F.greatest(F.col("base_rows"), F.lit(1)) / F.sum("base_rows").over(everything)
     q = F.greatest(F.col("other_rows"), F.lit(1)) / F.sum("other_rows").over(everything)
     return bins.withColumn("contribution", (q - p) * F.log(q / p))
+
+
+def drift_quantiles(df: DataFrame, period: Column, column: str, qs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of a column per period, and their change against the period before in percent."""
+    from tidemark.operators.aggregates import quantiles
+
+    values = quantiles(df.select(period.alias("period"), F.col(column).alias("_v")), ["period"], "_v", qs)
+    prev = F.lag("value").over(Window.partitionBy("q").orderBy("period"))
+    change = F.when(prev != 0, (F.col("value") - prev) / prev * 100)
+    return values.withColumns({"prev_value": prev, "change_pct": change})

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.aggregates import quantiles
@@ -30,7 +30,8 @@ class Metric:
 
     The sum is divided by the sum of ``den`` if given, by the matching rows for an average, or by the
     number of distinct ``per`` values. A distinct count is ``per`` alone. ``digits`` rounds the result of
-    a mean of inexact numbers.
+    a mean of inexact numbers. A ranked metric keeps the ``top`` values of ``per`` in each group, ties to the smaller one;
+    a period-over-period metric is the change of the sum against the period before, in percent.
     """
 
     name: str
@@ -42,6 +43,7 @@ class Metric:
     where: str = "true"
     q: float | None = None
     digits: int | None = None
+    top: int = 0
     dimensions: Sequence[str] = ()
     grains: Sequence[str] = GRAINS
     thresholds: Mapping[str, float] = field(default_factory=dict)
@@ -52,37 +54,41 @@ _DAY, _HOUR = "to_date(started)", "date_trunc('hour', started)"
 _MINUTES = "floor(unix_timestamp(ended) / 60) - floor(unix_timestamp(started) / 60)"
 _TIP_RATE = "cast(tip as double) / cast(fare as double)"
 
-# Thresholds. Sixteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
+# Thresholds. Eighteen metrics over rows with started, ended, places, distance, fare, tip, total, payment.
 _ALL = (
-    Metric("trips_per_day", "volume", "average", "1", per=_DAY, dimensions=("vendor", "payment"), grains=("month",),
+    Metric("trips_per_day", "volume", "average", "1", per=_DAY, dimensions=("from_r_name", "vendor", "payment"), grains=("day", "month"),
            thresholds={"warning_below": 5000, "critical_below": 1000}, tags=("executive",)),
-    Metric("trips_per_hour", "volume", "average", "1", per=_HOUR, dimensions=("vendor",),
+    Metric("trips_per_hour", "volume", "average", "1", per=_HOUR, dimensions=("from_r_name", "vendor"), grains=("day", "week"),
            thresholds={"warning_below": 200, "critical_below": 50}),
-    Metric("avg_party", "volume", "average", "line_no", where="line_no > 0", dimensions=("vendor",),
+    Metric("avg_party", "volume", "average", "line_no", where="line_no > 0", dimensions=("from_r_name", "vendor"),
            thresholds={"warning_below": 1.0, "critical_below": 0.5}),
-    Metric("total_revenue", "revenue", "sum", "total", dimensions=("vendor", "payment"),
+    Metric("total_revenue", "revenue", "sum", "total", dimensions=("from_r_name", "vendor", "payment"),
            thresholds={"warning_below": 50000, "critical_below": 10000}, tags=("executive",)),
-    Metric("avg_fare", "revenue", "average", "fare", where="fare > 0", dimensions=("vendor", "payment"),
+    Metric("avg_fare", "revenue", "average", "fare", where="fare > 0", dimensions=("from_r_name", "vendor", "payment"),
            thresholds={"warning_below": 8.0, "critical_below": 5.0}, tags=("executive",)),
-    Metric("avg_tip_rate", "revenue", "average", _TIP_RATE, where="fare > 0 and tip >= 0", digits=9, dimensions=("payment",),
+    Metric("avg_tip_rate", "revenue", "average", _TIP_RATE, where="fare > 0 and tip >= 0", digits=9, dimensions=("from_r_name", "payment"),
            thresholds={"warning_below": 0.10, "critical_below": 0.05}),
-    Metric("revenue_per_mile", "revenue", "ratio", "total", den="distance", where="distance > 0", dimensions=("vendor",),
+    Metric("revenue_per_mile", "revenue", "ratio", "total", den="distance", where="distance > 0", dimensions=("from_r_name", "vendor"),
            thresholds={"warning_below": 3.0, "critical_below": 2.0}),
-    Metric("avg_distance", "trip", "average", "distance", where="distance > 0", dimensions=("vendor", "payment"),
+    Metric("avg_distance", "trip", "average", "distance", where="distance > 0", dimensions=("from_r_name", "vendor", "payment"),
            thresholds={"warning_below": 1.0, "critical_below": 0.5}, tags=("executive",)),
-    Metric("avg_duration", "trip", "average", _MINUTES, where="ended > started", dimensions=("vendor",),
+    Metric("avg_duration", "trip", "average", _MINUTES, where="ended > started", dimensions=("from_r_name", "vendor"),
            thresholds={"warning_above": 60, "critical_above": 120}),
     Metric("p95_duration", "trip", "percentile", _MINUTES, where=f"ended > started and {_MINUTES} > 0", q=0.95,
-           dimensions=("vendor",), thresholds={"warning_above": 60, "critical_above": 90}),
-    Metric("short_rate", "trip", "ratio", "int(distance < 5)", den="1", where="distance >= 0", dimensions=("vendor",)),
+           dimensions=("from_r_name", "vendor"), grains=("day", "week"), thresholds={"warning_above": 60, "critical_above": 90}),
+    Metric("short_rate", "trip", "ratio", "int(distance < 5)", den="1", where="distance >= 0", dimensions=("from_r_name", "vendor")),
     Metric("trips", "geographic", "count", "1", dimensions=("vendor", "payment"), tags=("executive",)),
     Metric("active_origins", "geographic", "count", per="from_nation", dimensions=("vendor",)),
     Metric("cross_place_rate", "geographic", "ratio", "int(from_nation <> to_nation)", den="1", dimensions=("vendor",)),
-    Metric("urgent_rate", "payment", "ratio", "int(payment = '1-URGENT')", den="1", dimensions=("vendor",)),
-    Metric("avg_tip_urgent", "payment", "average", "tip", where="payment = '1-URGENT'", dimensions=("vendor",),
+    Metric("urgent_rate", "payment", "ratio", "int(payment = '1-URGENT')", den="1", dimensions=("from_r_name", "vendor")),
+    Metric("avg_tip_urgent", "payment", "average", "tip", where="payment = '1-URGENT'", dimensions=("from_r_name", "vendor"),
            thresholds={"warning_below": 1.5, "critical_below": 0.5}),
+    Metric("top_origins", "geographic", "ranked", "1", per="from_nation", top=5, dimensions=("from_r_name",)),
+    Metric("trips_change", "volume", "period_over_period", "1", dimensions=("from_r_name", "vendor"), grains=("week", "month")),
 )
 REGISTRY = {m.name: m for m in _ALL}
+#: Metrics with one value over all rows; ranked ones have a row per place, changes need a period.
+OVERALL = [m.name for m in _ALL if m.kind not in ("ranked", "period_over_period")]
 
 
 def by_tag(tag: str) -> list[str]:
@@ -155,6 +161,10 @@ def metrics(df: DataFrame, names: Sequence[str], dims: Sequence[str] = (), grain
 def metric(df: DataFrame, name: str, dims: Sequence[str] = (), grain: str | None = None) -> DataFrame:
     """One metric by dimensions and time grain, as column ``value``."""
     m = REGISTRY[name]
+    if m.kind == "ranked":
+        return _ranked(df, m, dims, grain)
+    if m.kind == "period_over_period":
+        return _change(df, m, dims, grain)
     if m.kind != "percentile":
         return metrics(df, [name], dims, grain).withColumnRenamed(name, "value")
     rows = df.filter(m.where).select(*_period(grain), *dims, F.expr(m.num).alias("_v"))
@@ -162,6 +172,30 @@ def metric(df: DataFrame, name: str, dims: Sequence[str] = (), grain: str | None
     return quantiles(rows, keys, "_v", [m.q]).drop("q").withColumn("value", F.round("value", 6))
 
 
+def _checked_groups(m: Metric, dims: Sequence[str], grain: str | None) -> tuple[list[Column | str], list[str]]:
+    unknown = set(dims) - set(m.dimensions)
+    if unknown or (grain and grain not in m.grains):
+        raise ValueError(f"{m.name} is not defined for {sorted(unknown) or grain}")
+    return [*_period(grain), *dims], (["period"] if grain else []) + list(dims)
+
+
+def _ranked(df: DataFrame, m: Metric, dims: Sequence[str], grain: str | None) -> DataFrame:
+    """``item, value, place`` of the ``top`` items of each group."""
+    groups, keys = _checked_groups(m, dims, grain)
+    counted = df.groupBy(*groups, F.expr(m.per).alias("item")).agg(F.sum(_num(m)).cast("double").alias("value"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "item"))
+    return counted.withColumn("place", place).filter(F.col("place") <= m.top)
+
+
+def _change(df: DataFrame, m: Metric, dims: Sequence[str], grain: str | None) -> DataFrame:
+    """``value``: percent change of the sum against the period before, null for the first."""
+    if grain is None:
+        raise ValueError(f"{m.name} needs a grain")
+    groups, keys = _checked_groups(m, dims, grain)
+    series = df.groupBy(*groups).agg(F.sum(_num(m)).alias("_v"))
+    return growth(series, list(dims), ["period"], "_v").select(*keys, F.col("growth_pct").alias("value"))
+
+
 def metric_table(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Many overall metrics, as (metric, value). The rows are computed once, with the columns in use only."""
     texts = " ".join(str(x) for n in names for m in [REGISTRY[n]] for x in (m.num, m.den, m.per, m.where))
