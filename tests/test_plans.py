@@ -84,9 +84,35 @@ def test_no_python_in_the_plan(spark, sf_dir, name):
     assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|InPandas|CartesianProduct", text)
 
 
-def test_cross_joins_only_meet_one_row(spark, sf_dir):
-    """Nested-loop joins appear only against a broadcast one-row aggregate."""
-    for name in ("above_average_suppliers", "supplier_quartiles", "outlier_days", "active_users", "trending_users"):
-        text = plan(REGISTRY[name].run(spark, sf_dir))
-        if "BroadcastNestedLoopJoin" in text:
-            assert "BroadcastExchange IdentityBroadcastMode" in text
+ONE_ROW = ["above_average_suppliers", "supplier_quartiles", "outlier_days", "quality_scores"]
+
+
+@pytest.mark.parametrize("name", ONE_ROW)
+def test_cross_joins_only_meet_one_row(spark, sf_dir, name):
+    """Nested-loop joins appear only against the broadcast of a global aggregate, which is one row."""
+    lines = plan(REGISTRY[name].run(spark, sf_dir)).splitlines()
+    for at, line in enumerate(lines):
+        if "BroadcastExchange IdentityBroadcastMode" in line:
+            below = next(x for x in lines[at + 1 :] if "Aggregate" in x or "Exchange" in x or "Join" in x or "FileScan" in x)
+            assert "HashAggregate(keys=[]" in below, below
+
+
+@pytest.mark.parametrize("name", ["active_users", "trending_users", "recent_by_type"])
+def test_trailing_spans_filter_at_the_scan(spark, sf_dir, name):
+    """The edge of the span is a scalar subquery, so there is no nested-loop join, and columns are pruned."""
+    text = plan(REGISTRY[name].run(spark, sf_dir))
+    assert "NestedLoop" not in text and "props" not in text
+
+
+def test_both_sources_come_from_one_pass(spark, sf_dir):
+    from tidemark.catalog.marts import both
+
+    assert plan(both(spark, sf_dir)).count("lineitem.parquet") == 1
+
+
+def test_quantile_positions_are_broadcast_by_size(spark, sf_dir):
+    from tidemark.operators.aggregates import quantiles
+    from tidemark.tables import table
+
+    text = plan(quantiles(table(spark, sf_dir, "events"), ["event_type"], "user_id", [0.5]))
+    assert "SortMergeJoin" not in text
