@@ -87,6 +87,9 @@ def test_large_components():
 def test_folding():
     assert toxicity.fold("ІDІОТ id​iot 1d10t m0r0n Ｓcum idíot") == "idiot idiot idiot moron scum idiot"
     assert toxicity.fold("trash$$$ 2024 4785380592391139 $5") == "trash$$$ 2024 4785380592391139 $5"
+    assert toxicity.words(toxicity.fold("$$$trash*** stupid!!!you Дурак")) == ["trash", "stupid", "you", toxicity.fold("Дурак")]
+    long = "x" * 200_000 + "1" * 200_000 + "!" * 200_000
+    assert len(toxicity.fold(long)) == len(long)
 
 
 def test_exceptions_and_weights():
@@ -312,13 +315,23 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 
 
 def test_hidden_pass_finds_what_stars_miss(spark):
-    """Two that link with each other share buckets with a smaller id that links with neither."""
-    sigs = spark.createDataFrame([(i, bytes(np.array([i // 4] * 20 + [9] * 108, np.uint32))) for i in (1, 5, 6)], "id long, sig binary")
-    bands = spark.createDataFrame([(7, 1), (7, 5), (7, 6)], "bucket long, id long")
+    """Pairs of different components in one bucket are found, unless too few of their shingles are common."""
+    base = [f"w{i}" for i in range(100)]
+    texts = {1: base, 5: [*base[:90], *"abcdefghij"], 6: [*base[:95], "x", "y"], 7: [*base[:40], *(f"v{i}" for i in range(60))]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
+    sigs = spark.createDataFrame([(i, bytes(np.array([9] * minhash.HASHES, np.uint16))) for i in texts], "id long, sig binary")
+    bands = spark.createDataFrame([(7, i) for i in texts], "bucket long, id long")
     none = spark.createDataFrame([], "node long, component long")
-    assert by_row(minhash._hidden(bands, none, sigs).collect(), "a", "b") == [(1, 5), (1, 6), (5, 6)]
+    assert by_row(minhash._hidden(bands, none, sigs, docs).collect(), "a", "b") == [(1, 5), (1, 6), (5, 6)]
     joined = spark.createDataFrame([(5, 1)], "node long, component long")
-    assert by_row(minhash._hidden(bands, joined, sigs).collect(), "a", "b") == [(1, 6), (5, 6)]
+    assert by_row(minhash._hidden(bands, joined, sigs, docs).collect(), "a", "b") == [(1, 6), (5, 6)]
+
+
+def test_star_centres_are_the_most_accompanied(spark):
+    bands = spark.createDataFrame([(1, 3), (1, 9), (2, 9), (2, 4), (3, 9), (3, 5), (4, 8)], "bucket long, id long")
+    shared, pairs = minhash._stars(bands)
+    assert by_row(pairs.collect(), "a", "b") == [(3, 9), (4, 9), (5, 9)]
+    assert shared.count() == 6
 
 
 def test_near_duplicates_odd_rows(spark):

@@ -53,8 +53,10 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7":
 INVISIBLE = "­​‌‍⁠﻿"
 
 _LETTERS = str.maketrans(SUBSTITUTES)
-_DISGUISED = re.compile(r"(?<![^\s])[a-z]*[0-9@$!+]+[a-z][a-z0-9@$!+]*|[a-z]+[0-9@$!+]+[a-z][a-z0-9@$!+]*")
-_WORD = re.compile(r"[a-z]+")
+#: Whole runs of letters, digits and signs that hold a digit or sign; every run is tried once, so long ones are cheap.
+_DISGUISED = re.compile(r"(?<![a-z0-9@$!+])(?=[a-z]*+[0-9@$!+])[a-z0-9@$!+]++")
+_SIGNS = re.compile(r"([@$!+]{2,})")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Folded(dict):
@@ -75,12 +77,15 @@ _FOLDED = _Folded()
 
 
 def _undisguised(match: re.Match) -> str:
-    """Digits and signs up to the last letter stand for letters; what follows it stays."""
-    word = match[0]
-    if sum(c.isalpha() for c in word) * 5 < len(word) * 2:
-        return word
-    end = max(i for i, c in enumerate(word) if c.isalpha()) + 1
-    return word[:end].translate(_LETTERS) + word[end:]
+    """Single signs and digits before a letter stand for letters; runs of signs separate words and stay."""
+    parts = _SIGNS.split(match[0])
+    for k in range(0, len(parts), 2):
+        word = parts[k]
+        letters = [i for i, c in enumerate(word) if c.isalpha()]
+        if letters and len(letters) * 5 >= len(word) * 2:
+            end = letters[-1] + 1
+            parts[k] = word[:end].translate(_LETTERS) + word[end:]
+    return "".join(parts)
 
 
 def fold(text: str) -> str:
