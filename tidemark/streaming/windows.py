@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import lay_out, running
+from tidemark.scratch import materialise
 
 
 def event_time(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -63,7 +64,8 @@ def sessions(df: DataFrame, key: str, ts: str, gap_sec: int, order: Sequence[str
     laid = lay_out(keyed, [key], order)
     linked = running(laid, [key], order, {"_prev": ("max", F.col("_us"))}, exclusive=True)
     opens = F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") > gap_sec * 1000000)
-    marked = linked.withColumn("_open", F.when(opens, F.col("_us")))
+    # Written, because the second pass reads its rows twice: once for the slot totals, once for the rows.
+    marked = materialise(linked.withColumn("_open", F.when(opens, F.col("_us"))).drop("_prev"), "sessions")
     placed = running(marked, [key], order, {"_run": ("max", F.col("_open"))})
     out = placed.groupBy(key, "_run").agg(
         F.min(ts).alias("session_start"), F.max(ts).alias("session_end"),
