@@ -84,6 +84,25 @@ def test_no_python_in_the_plan(spark, sf_dir, name):
     assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|InPandas|CartesianProduct", text)
 
 
+@pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n.startswith("stream_")))
+def test_streams_have_no_python_node(spark, sf_dir, name, monkeypatch):
+    """The stream's plan is taken where the query would start it."""
+    from tidemark.streaming import late, sinks
+
+    class Started(Exception):
+        pass
+
+    def catch(stream, *args, **options):
+        assert stream.isStreaming
+        raise Started(stream._jdf.queryExecution().analyzed().toString())
+
+    for module, function in ((sinks, "drain"), (sinks, "stream_to_table"), (late, "split_late")):
+        monkeypatch.setattr(module, function, catch)
+    with pytest.raises(Started) as taken:
+        REGISTRY[name].run(spark, sf_dir)
+    assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|InPandas|MapInArrow", str(taken.value))
+
+
 ONE_ROW = ["above_average_suppliers", "supplier_quartiles", "outlier_days", "quality_scores"]
 
 
