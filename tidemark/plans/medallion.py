@@ -17,14 +17,6 @@ class LayerCheckFailed(AssertionError):
     """A layer was written but broke one of its promises."""
 
 
-def expect_none(df: DataFrame, promises: Mapping[str, Column]) -> None:
-    """Check all promises in one pass, counting rows that break each."""
-    row = df.agg(*[F.count_if(broken).alias(name) for name, broken in promises.items()]).first()
-    bad = {name: row[name] for name in promises if row[name]}
-    if bad:
-        raise LayerCheckFailed(f"rows breaking a promise: {bad}")
-
-
 def write_split(df: DataFrame, rules: Sequence[tuple[str, Column]], path: str, by: Sequence[str] = (), watch: Mapping[str, Column] | None = None) -> Mapping[str, int]:
     """Write valid and quarantined rows in one pass, as partitions ``part=valid|quarantine``.
 
