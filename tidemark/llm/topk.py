@@ -12,8 +12,6 @@ Queries travel in blocks and meet buckets in blocks; a task holds one block of e
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
