@@ -1,14 +1,15 @@
 """MinHash near-duplicate detection with exact links.
 
 1. Documents with equal word sequences collapse to a representative (one aggregate, combined map-side).
-2. Each representative gets ``HASHES`` minima of universal hash functions over its word shingles. Bands of
-   ``ROWS`` minima are buckets; documents of similarity 0.75 share none of them with probability 5e-6.
-3. In every bucket each member meets the smallest member (a star, not all pairs). Pairs whose signatures
+2. Each representative gets ``HASHES`` minima of universal hash functions over its word shingles. The first
+   of them form ``BANDS`` bands of ``ROWS`` minima, which are buckets; documents of similarity 0.75 share none of them with probability 5e-6.
+3. In every bucket each member meets the bucket's centre (a star, not all pairs). Pairs whose signatures
    agree in too few places are dropped; the others are confirmed on full shingle sets.
 4. Confirmed links become connected components by alternating large-star and small-star steps.
-5. Buckets that still hold several components may hide links that no star has tried. Only these are
-   looked at again, in bounded blocks: members of different components are compared by signature, and the
-   pairs that may link are confirmed on full sets. Then components are formed again.
+5. Buckets that still hold several components may hide links that no star has tried. Of their members, those
+   that have too few shingles in common with all the others are put aside, by an exact bound. The rest are
+   compared by signature in bounded blocks, across components only, and the pairs that may link are confirmed
+   on full sets. Then components are formed again.
 
 No bucket, group or component is ever gathered whole; a popular one spreads over as many blocks as it needs.
 """
@@ -32,15 +33,15 @@ from tidemark.scratch import materialise
 
 SHINGLE = 5
 PERCENT = 75
-HASHES, ROWS = 128, 4
-#: A pair of similarity 0.75 agrees in 96 of 128 places on average, and in fewer than this with probability 1e-10.
-LEAST_AGREEING = 64
+HASHES, BANDS, ROWS = 256, 32, 4
+#: A pair of similarity 0.75 agrees in 192 of 256 places on average, and in fewer than this with probability 2e-6.
+LEAST_AGREEING = 160
 SEED = 7
 BLOCK = 256
 #: So many ids of candidates are broadcast to the scan of the texts; more meet the texts in a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once.
-STRIDE = 8_192
+STRIDE = 512
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PARTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -81,14 +82,14 @@ def shingles(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
 
 
 def signature(found: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The upper halves of the minima of every hash function over a non-empty set."""
+    """The upper sixteen bits of the minima of every hash function over a non-empty set."""
     a, b = _family(hashes)
     least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), STRIDE):
-        part = found[start : start + STRIDE]
-        for k in range(hashes):
-            least[k] = min(least[k], (part * a[k] + b[k]).min())
-    return (least >> np.uint64(32)).astype(np.uint32)
+        hashed = found[None, start : start + STRIDE] * a[:, None]
+        hashed += b[:, None]
+        np.minimum(least, hashed.min(axis=1), out=least)
+    return (least >> np.uint64(48)).astype("<u2")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -125,8 +126,8 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 def buckets_of(sigs: DataFrame) -> DataFrame:
     """``bucket, id``: one row per band of a signature."""
-    size = 4 * ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)))
+    size = 2 * ROWS
+    band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     rows = sigs.select("id", "sig", band.alias("band"))
     return rows.select(F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("bucket"), "id")
 
@@ -164,8 +165,8 @@ def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
     """Signatures agree in enough places."""
     if not len(a):
         return pd.Series([], dtype=bool)
-    x = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), HASHES)
-    y = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), HASHES)
+    x = np.frombuffer(b"".join(a), "<u2").reshape(len(a), HASHES)
+    y = np.frombuffer(b"".join(b), "<u2").reshape(len(b), HASHES)
     return pd.Series((x == y).sum(axis=1) >= LEAST_AGREEING)
 
 
@@ -203,27 +204,62 @@ def _by_signature(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(_agree("left", "right")).select("a", "b")
 
 
-def _hidden(bands: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and may link, compared in blocks of bounded size."""
-    labelled = bands.join(components, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+def _shared(residual: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``id, size, common`` of the documents that may still link: set size, and shingles not theirs alone.
+
+    A shingle that only one of these documents has can be in no intersection. So an intersection has at most
+    ``common`` members, and a document with less than ``percent`` of its set in common links with nothing more.
+    Near copies far from their family fall out here, whatever the family's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, int] = {}
+        for batch in slices(batches):
+            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingles(words_of(text), memo).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), id_, np.int64))], ["shingle", "id"])
+
+    rows = texts.join(_sent(residual.select(F.col("id").alias("wanted"))), F.col("id") == F.col("wanted"), "left_semi")
+    rows = materialise(rows.select("id", "text").mapInArrow(run, "shingle long, id long"), "residual-shingles")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
+    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("own")).filter("n = 1").groupBy("own").agg(F.count("*").alias("alone"))
+    out = sizes.join(alone, F.col("id") == F.col("own"), "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
+    return out.filter(F.col("common") * 100 >= F.col("size") * percent)
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, with the number of blocks each bucket takes."""
     mixed = (
-        labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
+        members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"))
         .filter("least <> most").select(F.col("bucket").alias("mixed"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
-    members = labelled.join(mixed, F.col("bucket") == F.col("mixed")).select("bucket", "id", "component", "blocks")
-    members = members.join(sigs.select(F.col("id").alias("sig_id"), "sig"), F.col("id") == F.col("sig_id")).drop("sig_id")
+    return members.join(mixed, F.col("bucket") == F.col("mixed")).drop("mixed")
+
+
+def _hidden(bands: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs of different components that share a bucket and may link, compared in blocks of bounded size."""
+    labelled = bands.join(components, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    members = materialise(_mixed(labelled).drop("blocks"), "mixed-buckets")
+    able = _shared(materialise(members.select("id").distinct(), "residual-ids"), texts, percent).withColumnRenamed("id", "able")
+    able = materialise(able.join(sigs.select("id", "sig"), F.col("able") == F.col("id")).drop("id"), "able")
+    members = materialise(_mixed(members.join(able.select("able"), F.col("id") == F.col("able")).drop("able")), "still-mixed")
+    members = members.join(able, F.col("id") == F.col("able")).drop("able")
     own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
     # Every pair of blocks of a bucket meets once; a member is sent once for each block of its bucket.
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
+    spread = spread.select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "size", "common", "sig"
+    )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids, comps, own_ = group["id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(group), HASHES)
+        size, common = group["size"].to_numpy(), group["common"].to_numpy()
+        sig = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), HASHES)
         across = group["i"].iloc[0] != group["j"].iloc[0]
         a, b = [], []
         for k in range(len(ids) - 1):
-            test = comps[k + 1 :] != comps[k]
+            least = np.minimum(common[k + 1 :], common[k])
+            test = (comps[k + 1 :] != comps[k]) & (100 * least >= percent * (size[k + 1 :] + size[k] - least))
             if across:
                 test &= own_[k + 1 :] != own_[k]
             at = np.flatnonzero(test) + k + 1
@@ -236,6 +272,21 @@ def _hidden(bands: DataFrame, components: DataFrame, sigs: DataFrame) -> DataFra
     return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
+def _stars(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets of two members or more, and the pairs of each bucket's centre with its other members.
+
+    The centre is the member with the most company in all its buckets, the smallest id among equals: in a
+    family of copies that is the text the copies were made from, which most of them link with.
+    """
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("bucket", "_bucket")
+    shared = materialise(bands.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "id", "n"), "buckets")
+    company = shared.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("company"))
+    ranked = shared.join(company, F.col("id") == F.col("_id")).select("bucket", "id", F.struct("company", (-F.col("id")).alias("other_id")).alias("rank"))
+    centres = ranked.groupBy(F.col("bucket").alias("_bucket")).agg((-F.max("rank")["other_id"]).alias("centre"))
+    met = shared.join(centres, F.col("bucket") == F.col("_bucket")).filter("id <> centre")
+    return shared.select("bucket", "id"), met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_shingles, component_id, kept`` for every row of ``docs``; ids must be integers.
 
@@ -249,17 +300,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     sigs = every.filter("id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
     sigs = materialise(sigs, "representatives")
 
-    bands = buckets_of(sigs)
-    stars = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("bucket", "a")
-    shared = materialise(bands.join(stars, "bucket"), "buckets")
-    pairs = shared.filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared, pairs = _stars(buckets_of(sigs))
     links = materialise(_confirmed(materialise(_by_signature(pairs, sigs), "star-pairs"), texts, percent), "links")
     components = materialise(alternate(links), "components")
-    hidden = materialise(_hidden(shared.select("bucket", "id"), components, sigs), "hidden-pairs")
+    hidden = materialise(_hidden(shared, components, sigs, texts, percent), "hidden-pairs")
     if hidden.limit(1).count():
         more = materialise(_confirmed(hidden, texts, percent), "more-links")
         if more.limit(1).count():
-            components = materialise(alternate(links.unionByName(more)), "components")
+            found = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a star for each component so far
+            components = materialise(alternate(found.unionByName(more)), "components")
 
     groups = sigs.join(components, F.col("id") == F.col("node"), "left").select(F.col("key").alias("group_key"), F.coalesce("component", "id").alias("component"))
     # Rows that link with nothing get keys of their own, so that no task gathers them.
