@@ -320,15 +320,15 @@ def test_hidden_pass_finds_what_stars_miss(spark):
     texts = {1: base, 5: [*base[:90], *"abcdefghij"], 6: [*base[:95], "x", "y"], 7: [*base[:40], *(f"v{i}" for i in range(60))]}
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string")
     sigs = spark.createDataFrame([(i, bytes(np.array([9] * minhash.HASHES, np.uint16))) for i in texts], "id long, sig binary")
-    bands = spark.createDataFrame([(7, i) for i in texts], "bucket long, id long")
+    bands = spark.createDataFrame([(7, 0, i) for i in texts], "bucket long, band int, id long")
     none = spark.createDataFrame([], "node long, component long")
     assert by_row(minhash._hidden(bands, none, sigs, docs).collect(), "a", "b") == [(1, 5), (1, 6), (5, 6)]
     joined = spark.createDataFrame([(5, 1)], "node long, component long")
-    assert by_row(minhash._hidden(bands, joined, sigs, docs).collect(), "a", "b") == [(1, 6), (5, 6)]
+    assert by_row(minhash._hidden(bands, joined, sigs, docs).collect(), "a", "b") in ([(1, 6)], [(5, 6)], [(1, 6), (5, 6)])  # one link between two components is enough
 
 
 def test_star_centres_are_the_most_accompanied(spark):
-    bands = spark.createDataFrame([(1, 3), (1, 9), (2, 9), (2, 4), (3, 9), (3, 5), (4, 8)], "bucket long, id long")
+    bands = spark.createDataFrame([(1, 0, 3), (1, 0, 9), (2, 1, 9), (2, 1, 4), (3, 2, 9), (3, 2, 5), (4, 3, 8)], "bucket long, band int, id long")
     shared, pairs = minhash._stars(bands)
     assert by_row(pairs.collect(), "a", "b") == [(3, 9), (4, 9), (5, 9)]
     assert shared.count() == 6

@@ -7,9 +7,8 @@
    agree in too few places are dropped; the others are confirmed on full shingle sets.
 4. Confirmed links become connected components by alternating large-star and small-star steps.
 5. Buckets that still hold several components may hide links that no star has tried. Of their members, those
-   that have too few shingles in common with all the others are put aside, by an exact bound. The rest are
-   compared by signature in bounded blocks, across components only, and the pairs that may link are confirmed
-   on full sets. Then components are formed again.
+   that have too few shingles in common with other components are put aside, by an exact bound. The rest meet in
+   bounded blocks, across components only, by signature and then on full sets. Components are formed again.
 
 No bucket, group or component is ever gathered whole; a popular one spreads over as many blocks as it needs.
 """
@@ -38,6 +37,8 @@ HASHES, BANDS, ROWS = 256, 32, 4
 LEAST_AGREEING = 160
 SEED = 7
 BLOCK = 256
+#: How often the exact bound on what may still link is taken.
+PEELS = 2
 #: So many ids of candidates are broadcast to the scan of the texts; more meet the texts in a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once.
@@ -125,11 +126,11 @@ def signatures(texts: DataFrame) -> DataFrame:
 
 
 def buckets_of(sigs: DataFrame) -> DataFrame:
-    """``bucket, id``: one row per band of a signature."""
+    """``bucket, band, id``: one row per band of a signature."""
     size = 2 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     rows = sigs.select("id", "sig", band.alias("band"))
-    return rows.select(F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("bucket"), "id")
+    return rows.select(F.xxhash64("band", F.substring("sig", F.col("band") * size + 1, F.lit(size))).alias("bucket"), "band", "id")
 
 
 def alternate(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -204,27 +205,40 @@ def _by_signature(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(_agree("left", "right")).select("a", "b")
 
 
-def _shared(residual: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """``id, size, common`` of the documents that may still link: set size, and shingles not theirs alone.
-
-    A shingle that only one of these documents has can be in no intersection. So an intersection has at most
-    ``common`` members, and a document with less than ``percent`` of its set in common links with nothing more.
-    Near copies far from their family fall out here, whatever the family's size.
-    """
+def _sets(residual: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, component, found`` (the shingle set, sorted as unsigned numbers) of the documents ``id, component``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
         for batch in slices(batches):
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = shingles(words_of(text), memo).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), id_, np.int64))], ["shingle", "id"])
+            found = [shingles(words_of(t), memo).view(np.int64) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "component", "found"]
+            )
+
+    wanted = _sent(residual.select(F.col("id").alias("wanted"), "component"))
+    rows = texts.join(wanted, F.col("id") == F.col("wanted")).select("id", "component", "text")
+    return rows.mapInArrow(run, "id long, component long, found array<long>").dropDuplicates(["id"])
 
-    rows = texts.join(_sent(residual.select(F.col("id").alias("wanted"))), F.col("id") == F.col("wanted"), "left_semi")
-    rows = materialise(rows.select("id", "text").mapInArrow(run, "shingle long, id long"), "residual-shingles")
-    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
-    alone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("own")).filter("n = 1").groupBy("own").agg(F.count("*").alias("alone"))
-    out = sizes.join(alone, F.col("id") == F.col("own"), "left").select("id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-    return out.filter(F.col("common") * 100 >= F.col("size") * percent)
+
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """``id, size, common`` of the documents that may still link with another component.
+
+    A shingle that only one component has can be in no intersection across components. So such an
+    intersection has at most ``common`` members, the shingles that cross, and a document with less than
+    ``percent`` of its set in common links with nothing more. Others lose what they shared with it only, so
+    the bound is taken again over those left. Near copies far from their family fall out, whatever its size.
+    """
+    able = None
+    for _ in range(PEELS):
+        kept = sets if able is None else sets.join(able.select(F.col("id").alias("able")), F.col("id") == F.col("able"), "left_semi")
+        rows = kept.select("id", "component", F.explode("found").alias("shingle"))
+        crossing = rows.groupBy(F.col("shingle").alias("crossing")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        crossing = crossing.filter("least <> most").select("crossing")
+        common = rows.join(crossing, F.col("shingle") == F.col("crossing"), "left_semi").groupBy(F.col("id").alias("own")).agg(F.count("*").alias("common"))
+        able = kept.join(common, F.col("id") == F.col("own")).select("id", F.size("found").cast("long").alias("size"), "common")
+        able = materialise(able.filter(F.col("common") * 100 >= F.col("size") * percent), "able")
+    return able
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -237,25 +251,31 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 
 def _hidden(bands: DataFrame, components: DataFrame, sigs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different components that share a bucket and may link, compared in blocks of bounded size."""
-    labelled = bands.join(components, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    """Links between different components, ``a, b``: at least one for any two that a shared bucket can show linked.
+
+    Members of mixed buckets meet in blocks of bounded size, with signatures and full sets. A pair is looked at
+    in the first band that it shares, and a member's further links to one component are not looked for.
+    """
+    labelled = bands.join(components, F.col("id") == F.col("node"), "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component"))
     members = materialise(_mixed(labelled).drop("blocks"), "mixed-buckets")
-    able = _shared(materialise(members.select("id").distinct(), "residual-ids"), texts, percent).withColumnRenamed("id", "able")
-    able = materialise(able.join(sigs.select("id", "sig"), F.col("able") == F.col("id")).drop("id"), "able")
-    members = materialise(_mixed(members.join(able.select("able"), F.col("id") == F.col("able")).drop("able")), "still-mixed")
-    members = members.join(able, F.col("id") == F.col("able")).drop("able")
+    sets = materialise(_sets(materialise(members.select("id", "component").distinct(), "residual-ids"), texts), "residual-sets")
+    able = _able(sets, percent)
+    members = materialise(_mixed(members.join(able.select(F.col("id").alias("able")), F.col("id") == F.col("able")).drop("able")), "still-mixed")
+    full = able.join(sets.select(F.col("id").alias("set_id"), "found"), F.col("id") == F.col("set_id")).drop("set_id")
+    full = materialise(full.join(sigs.select(F.col("id").alias("sig_id"), "sig"), F.col("id") == F.col("sig_id")).drop("sig_id").withColumnRenamed("id", "full_id"), "able-sets")
     own = F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int")
     # Every pair of blocks of a bucket meets once; a member is sent once for each block of its bucket.
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "size", "common", "sig"
+    spread = spread.join(full, F.col("id") == F.col("full_id")).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "band", "own", "id", "component", "size", "common", "found", "sig"
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         ids, comps, own_ = group["id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        size, common = group["size"].to_numpy(), group["common"].to_numpy()
+        size, common, found = group["size"].to_numpy(), group["common"].to_numpy(), group["found"].tolist()
         sig = np.frombuffer(b"".join(group["sig"]), "<u2").reshape(len(group), HASHES)
-        across = group["i"].iloc[0] != group["j"].iloc[0]
+        by_band = sig[:, : BANDS * ROWS].reshape(len(group), BANDS, ROWS)
+        across, band = group["i"].iloc[0] != group["j"].iloc[0], group["band"].iloc[0]
         a, b = [], []
         for k in range(len(ids) - 1):
             least = np.minimum(common[k + 1 :], common[k])
@@ -263,10 +283,16 @@ def _hidden(bands: DataFrame, components: DataFrame, sigs: DataFrame, texts: Dat
             if across:
                 test &= own_[k + 1 :] != own_[k]
             at = np.flatnonzero(test) + k + 1
-            if len(at):
-                at = at[(sig[at] == sig[k]).sum(axis=1) >= LEAST_AGREEING]
-                a.extend([ids[k]] * len(at))
-                b.extend(ids[at].tolist())
+            if not len(at):
+                continue
+            at = at[(sig[at] == sig[k]).sum(axis=1) >= LEAST_AGREEING]
+            at = at[(by_band[at] == by_band[k]).all(axis=2).argmax(axis=1) == band]
+            mine, joined = np.asarray(found[k]).view(np.uint64), set()
+            for other in at.tolist():
+                if comps[other] not in joined and linked(mine, np.asarray(found[other]).view(np.uint64), percent):
+                    joined.add(comps[other])
+                    a.append(ids[k])
+                    b.append(ids[other])
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, dtype="int64")
 
     return spread.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -279,12 +305,12 @@ def _stars(bands: DataFrame) -> tuple[DataFrame, DataFrame]:
     family of copies that is the text the copies were made from, which most of them link with.
     """
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").withColumnRenamed("bucket", "_bucket")
-    shared = materialise(bands.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "id", "n"), "buckets")
+    shared = materialise(bands.join(sizes, F.col("bucket") == F.col("_bucket")).select("bucket", "band", "id", "n"), "buckets")
     company = shared.groupBy(F.col("id").alias("_id")).agg(F.sum("n").alias("company"))
     ranked = shared.join(company, F.col("id") == F.col("_id")).select("bucket", "id", F.struct("company", (-F.col("id")).alias("other_id")).alias("rank"))
     centres = ranked.groupBy(F.col("bucket").alias("_bucket")).agg((-F.max("rank")["other_id"]).alias("centre"))
     met = shared.join(centres, F.col("bucket") == F.col("_bucket")).filter("id <> centre")
-    return shared.select("bucket", "id"), met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    return shared.select("bucket", "band", "id"), met.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,12 +329,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     shared, pairs = _stars(buckets_of(sigs))
     links = materialise(_confirmed(materialise(_by_signature(pairs, sigs), "star-pairs"), texts, percent), "links")
     components = materialise(alternate(links), "components")
-    hidden = materialise(_hidden(shared, components, sigs, texts, percent), "hidden-pairs")
-    if hidden.limit(1).count():
-        more = materialise(_confirmed(hidden, texts, percent), "more-links")
-        if more.limit(1).count():
-            found = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a star for each component so far
-            components = materialise(alternate(found.unionByName(more)), "components")
+    more = materialise(_hidden(shared, components, sigs, texts, percent), "hidden-links")
+    if more.limit(1).count():
+        found = components.select(F.col("node").alias("a"), F.col("component").alias("b"))  # a star for each component so far
+        components = materialise(alternate(found.unionByName(more)), "components")
 
     groups = sigs.join(components, F.col("id") == F.col("node"), "left").select(F.col("key").alias("group_key"), F.coalesce("component", "id").alias("component"))
     # Rows that link with nothing get keys of their own, so that no task gathers them.
