@@ -7,7 +7,7 @@
    agree in too few places are dropped; the others are confirmed on full shingle sets.
 4. Confirmed links become connected components by alternating large-star and small-star steps.
 5. Buckets that still hold several components may hide links that no star has tried. Of their members, those
-   that have too few shingles in common with other components are put aside, by an exact bound. The rest meet in
+   that have too few shingles in common with the others are put aside, by an exact bound. The rest meet in
    bounded blocks, across components only, by signature and then on full sets. Components are formed again.
 
 No bucket, group or component is ever gathered whole; a popular one spreads over as many blocks as it needs.
@@ -37,8 +37,6 @@ HASHES, BANDS, ROWS = 256, 32, 4
 LEAST_AGREEING = 160
 SEED = 7
 BLOCK = 256
-#: How often the exact bound on what may still link is taken.
-PEELS = 2
 #: So many ids of candidates are broadcast to the scan of the texts; more meet the texts in a shuffle join.
 BROADCAST_IDS = 1_000_000
 #: Shingles hashed at once.
@@ -218,27 +216,23 @@ def _sets(residual: DataFrame, texts: DataFrame) -> DataFrame:
 
     wanted = _sent(residual.select(F.col("id").alias("wanted"), "component"))
     rows = texts.join(wanted, F.col("id") == F.col("wanted")).select("id", "component", "text")
-    return rows.mapInArrow(run, "id long, component long, found array<long>").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, component long, found array<long>")
 
 
 def _able(sets: DataFrame, percent: int) -> DataFrame:
-    """``id, size, common`` of the documents that may still link with another component.
+    """``id, size, common`` of the documents that may still link with another one of them.
 
-    A shingle that only one component has can be in no intersection across components. So such an
-    intersection has at most ``common`` members, the shingles that cross, and a document with less than
-    ``percent`` of its set in common links with nothing more. Others lose what they shared with it only, so
-    the bound is taken again over those left. Near copies far from their family fall out, whatever its size.
+    A shingle that only one of them has can be in no intersection. So an intersection has at most ``common``
+    members, the shingles not its own alone, and a document with less than ``percent`` of its set in common
+    links with nothing more. Near copies far from their family fall out, whatever the family's size. One
+    aggregate finds the lone shingles; what they leave is subtracted.
     """
-    able = None
-    for _ in range(PEELS):
-        kept = sets if able is None else sets.join(able.select(F.col("id").alias("able")), F.col("id") == F.col("able"), "left_semi")
-        rows = kept.select("id", "component", F.explode("found").alias("shingle"))
-        crossing = rows.groupBy(F.col("shingle").alias("crossing")).agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        crossing = crossing.filter("least <> most").select("crossing")
-        common = rows.join(crossing, F.col("shingle") == F.col("crossing"), "left_semi").groupBy(F.col("id").alias("own")).agg(F.count("*").alias("common"))
-        able = kept.join(common, F.col("id") == F.col("own")).select("id", F.size("found").cast("long").alias("size"), "common")
-        able = materialise(able.filter(F.col("common") * 100 >= F.col("size") * percent), "able")
-    return able
+    rows = sets.select("id", F.explode("found").alias("shingle"))
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("own")).filter("n = 1").groupBy("own").agg(F.count("*").alias("lone"))
+    size = F.size("found").cast("long")
+    able = sets.select("id", size.alias("size")).join(lone, F.col("id") == F.col("own"), "left")
+    able = able.select("id", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("common"))
+    return materialise(able.filter(F.col("common") * 100 >= F.col("size") * percent), "able")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
