@@ -241,10 +241,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives no archives and an empty result.
     """
     spark = pages.sparkSession
+    # Ids are drawn first, so that what each task sends on are numbers; the few texts are fetched by them.
+    drawn = pages.filter(F.length("html") > 0).select(F.col("page_id").alias("_drawn")).orderBy(F.xxhash64("_drawn"), "_drawn").limit(SAMPLE_ROWS)
     sample = (
-        pages.filter(F.length("html") > 0).select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
-        .orderBy(F.xxhash64("page_id"), "page_id", "html").limit(SAMPLE_ROWS).collect()
+        pages.join(F.broadcast(drawn.distinct()), F.col("page_id") == F.col("_drawn"), "left_semi")
+        .select("page_id", F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_ROWS).collect()
     )
-    dictionary = train([r["html"].encode() for r in sample])
+    dictionary = train([(r["html"] or "").encode() for r in sorted(sample, key=lambda r: (r["page_id"], r["html"] or ""))])
     folder = scratch_path(spark, "archives")
     return read_archives(write_archives(planned(pages), folder, dictionary), folder)
