@@ -129,6 +129,20 @@ def test_toxicity_learns_and_scores_odd_rows(spark):
     assert kept.columns == probe.columns and kept.count() == len(ODD)
 
 
+def test_toxicity_learns_exception_phrases(spark):
+    docs, labels = toxic_world(spark)
+    harmless = {1: "clown fish", 2: "rodeo clown troupe"}  # a pair; a triple whose pairs also stand in toxic documents
+    hurtful = ["you clown", "rodeo clown", "clown troupe"]
+    put = F.udf(lambda i, t: f"{t} {hurtful[i // 4 % 3] if i % 4 == 0 else harmless.get(i % 20, '')}")
+    model = toxicity.fit(docs.withColumn("text", put("doc_id", "text")), labels)
+    assert "clown " in model.entries
+    assert {"clown fish", "rodeo clown troupe"} <= set(model.exceptions) and not set(hurtful) & set(model.exceptions)
+    matched = lambda t: toxicity.measures(model.matcher(), t)[1] > 0
+    assert [matched(t) for t in ("see the clown fish swim", "a rodeo clown troupe", "oh you clown", "that rodeo clown")] == [False, False, True, True]
+    probe = odd_docs(spark, [(1, "see the clown fish swim"), (2, "oh you clown")])
+    assert {r["doc_id"] for r in toxicity.score(probe, model).collect() if r["score"] >= 0.5} == {2}
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_world(spark)
     for none in (labels.filter("toxic = 0"), labels.filter("doc_id < 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):

@@ -6,8 +6,8 @@ letters they stand for.
 
 **The lexicon** holds words and word beginnings with a weight, the log-odds of a toxic label among
 labelled documents that have them. A longer entry is kept only where it says more than a shorter
-one that it begins with. **Exception phrases** are words and word pairs that an entry matches but that
-stand in clean documents only; a match inside one does not count.
+one that it begins with. **Exception phrases** are words, word pairs and triples that an entry matches but
+that stand in clean documents only; a match inside one does not count.
 
 **The score** is logistic in the weighted matches, as a sum, per length, and by distinct entries.
 """
@@ -17,8 +17,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -117,20 +118,34 @@ class Model:
         return found
 
 
-def measures(matcher: ahocorasick.Automaton, text: str) -> tuple[float, ...]:
-    """(1, log of weighted matches, weight per length, distinct words matched, log of length)."""
-    ws = words(fold(text))
+def _hits(matcher: ahocorasick.Automaton, ws: list[str]) -> dict[int, float]:
+    """Positions of the words at which an entry begins outside exceptions, with the strongest weight."""
     line, spans, hits = f" {' '.join(ws)} ", [], {}
     if len(matcher) and ws:
         for end, (size, weight, _) in matcher.iter(line):
             if weight is None:
                 spans.append((end - size + 1, end))
             elif weight > hits.get(end - size + 1, 0):
-                hits[end - size + 1] = weight  # the strongest entry that begins at this word
+                hits[end - size + 1] = weight
     if spans and hits:
         hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spans)}
+    if not hits:
+        return {}
+    place = {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in ws), initial=0))}
+    return {place[at]: w for at, w in hits.items()}
+
+
+def _phrases(matcher: ahocorasick.Automaton, ws: list[str], n: int) -> set[str]:
+    """Runs of ``n`` words that hold a match."""
+    return {" ".join(ws[a : a + n]) for k in _hits(matcher, ws) for a in range(max(0, k - n + 1), min(k, len(ws) - n) + 1)}
+
+
+def measures(matcher: ahocorasick.Automaton, text: str) -> tuple[float, ...]:
+    """(1, log of weighted matches, weight per length, distinct words matched, log of length)."""
+    ws = words(fold(text))
+    hits = _hits(matcher, ws)
     total = sum(hits.values())
-    distinct = len({line[at + 1 : line.index(" ", at + 1)] for at in hits})
+    distinct = len({ws[k] for k in hits})
     return 1.0, float(np.log1p(total)), total / np.sqrt(len(ws) + 10), float(np.log1p(distinct)), float(np.log1p(len(ws)))
 
 
@@ -163,39 +178,43 @@ def _begins(word: str) -> Iterator[str]:
     yield from (word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Learn lexicon, exceptions and logistic weights from labelled documents.
-
-    Document counts of words, beginnings and word pairs are summed in Spark; what reaches the driver is
-    bounded by ``MAX_ENTRIES``, ``MAX_EXCEPTIONS`` and five numbers for each of ``rows`` documents. Without
-    labels of both kinds the model has no entries and scores every document low.
-    """
-    train = materialise(training_rows(docs, labels, label, rows), "toxicity-sample")
-    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return Model({})
+def _document_counts(train: DataFrame, keys: Callable[[list[str]], set[str]]) -> DataFrame:
+    """``k, clean, toxic``: how many documents of either label have each of the ``keys`` of their words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in slices(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update({b for w in set(words(fold(text))) for b in _begins(w)})
+                seen[y].update(keys(words(fold(text))))
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield from flush(seen)
         yield from flush(seen)
 
     def flush(seen: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
         for y, counts in enumerate(seen):
-            keys = list(counts)
-            got = pa.array([counts[k] for k in keys], pa.int64())
-            none = pa.array(np.zeros(len(keys)), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *((none, got) if y else (got, none))], ["k", "clean", "toxic"])
+            found = list(counts)
+            got = pa.array([counts[k] for k in found], pa.int64())
+            none = pa.array(np.zeros(len(found)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *((none, got) if y else (got, none))], ["k", "clean", "toxic"])
             counts.clear()
 
-    totals = (
-        train.select("text", "y").mapInArrow(count, "k string, clean long, toxic long")
-        .groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    )
+    counted = train.select("text", "y").mapInArrow(count, "k string, clean long, toxic long")
+    return counted.groupBy("k").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
+    """Learn lexicon, exceptions and logistic weights from labelled documents.
+
+    Document counts of words and beginnings, then of pairs and triples around their matches, are summed in
+    Spark; what reaches the driver is bounded by ``MAX_ENTRIES``, ``MAX_EXCEPTIONS`` and five numbers for each
+    of ``rows`` documents. Without labels of both kinds the model has no entries and scores every document low.
+    """
+    train = materialise(training_rows(docs, labels, label, rows), "toxicity-sample")
+    n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return Model({})
+
+    totals = _document_counts(train, lambda ws: {b for w in set(ws) for b in _begins(w)})
     totals = materialise(totals.filter((F.col("toxic") >= LEAST_TOXIC) | (F.col("clean") >= LEAST_CLEAN)), "toxicity-counts")
     toxic, clean, every = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
     share = n[1] / (n[0] + n[1])
@@ -221,6 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         if shorter is None or r["w"] >= shorter + LEAST_GAIN:
             entries[k] = float(r["w"])
     model = Model(entries, _exceptions(totals, entries))
+    for n_words in (2, 3):
+        model.exceptions += _exception_phrases(train, model, n_words)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = model.matcher()
@@ -244,6 +265,22 @@ def _exceptions(totals: DataFrame, entries: dict[str, float]) -> list[str]:
     return [r["k"].strip() for r in picked]
 
 
+def _exception_phrases(train: DataFrame, model: Model, n_words: int) -> list[str]:
+    """Runs of ``n_words`` words around matches outside the exceptions so far that are only seen in clean documents."""
+    left = MAX_EXCEPTIONS - len(model.exceptions)
+    if not model.entries or left <= 0:
+        return []
+    made: list[ahocorasick.Automaton] = []  # one a task
+
+    def keys(ws: list[str]) -> set[str]:
+        if not made:
+            made.append(model.matcher())
+        return _phrases(made[0], ws, n_words)
+
+    clean = _document_counts(train, keys).filter((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN))
+    return [r["k"] for r in clean.orderBy(F.desc("clean"), "k").limit(left).collect()]
+
+
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic weights in which no measure of matches counts against toxicity: such a one is left out."""
     kept = list(range(x.shape[1]))
