@@ -102,6 +102,25 @@ def test_exceptions_and_weights():
     assert total("xclown scummy") == pytest.approx(0)
 
 
+def test_other_readings_of_disguised_runs():
+    bad = ["idiot", "disgusting", "worthless", "loser", "clown", "asshole", "trash", "killer"]
+    m = toxicity.Model({"scu": 1.0} | {f"{w} ": 2.0 for w in bad}, ["clown fish", "scuba"]).matcher()
+    total = lambda t: np.expm1(toxicity.measures(m, t)[1])
+    for t in (
+        "idio7", "disgustin9", "worthle$$", "1oser", "c1own", "wor7h1ess", "a$$hole", "ki11er", "k1l13r", "1d1ot2024", "!idiot", "$$loser",
+        "idio7!!!", "trash$$$", "trash$", "TRA$H", "you 1о5еr you",
+    ):
+        assert total(t) == pytest.approx(2), t
+    assert total("worthle$$ 1oser, idio7") == pytest.approx(6)
+    assert total("c1own fish 5cuba") == pytest.approx(0)
+    assert total("5cum") == pytest.approx(1)
+    for t in ("worthles", "io5er", "a55", "c1owns", "idio7x", "1d107", "x1oser", "дidio7", "idio7д", "2024 $$$ 1111", "trashs$x"):
+        assert total(t) == pytest.approx(0), t
+    assert toxicity.measures(m, "1oser you")[3:] == toxicity.measures(m, "loser you")[3:]
+    for t in ("x" * 200_000 + "1" * 200_000 + "!" * 200_000, "!" * 200_000 + "idiot", "x1!!" * 100_000):
+        toxicity.measures(m, t)
+
+
 def toxic_world(spark):
     draw = random.Random(3)
     common = [a + b for a in "bdfgklm" for b in ("ala", "ene", "iri", "opo", "utu")]

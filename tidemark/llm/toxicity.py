@@ -2,7 +2,8 @@
 
 **Folding** undoes disguises: look-alike letters of other scripts and full-width forms become Latin,
 accents and invisible characters go, upper case goes, and digits or signs inside a word become the
-letters they stand for.
+letters they stand for. A disguised run may be read in several ways: 1 as i or as l, and digits and signs
+at its ends or in rows as letters or as separators. A match counts in any reading.
 
 **The lexicon** holds words and word beginnings with a weight, the log-odds of a toxic label among
 labelled documents that have them. A longer entry is kept only where it says more than a shorter
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -42,6 +44,8 @@ LEAST_SPREAD = 1.25
 #: A longer entry must beat the shorter one it begins with by this much.
 LEAST_GAIN = 0.7
 SHORTEST, LONGEST = 3, 12
+#: Words of an exception phrase.
+LONGEST_PHRASE = 3
 
 # Letters of other scripts that look like Latin ones, and digits and signs used for letters.
 LOOK_ALIKES = {
@@ -51,6 +55,8 @@ LOOK_ALIKES = {
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t"}
+#: What a character may stand for in other readings.
+READINGS = SUBSTITUTES | {"1": "il"}
 INVISIBLE = "­​‌‍⁠﻿"
 
 _LETTERS = str.maketrans(SUBSTITUTES)
@@ -89,10 +95,13 @@ def _undisguised(match: re.Match) -> str:
     return "".join(parts)
 
 
+def _plain(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLDED)
+
+
 def fold(text: str) -> str:
-    """``text`` without disguises, in lower-case letters without accents."""
-    text = text.lower() if text.isascii() else text.translate(_FOLDED)
-    return _DISGUISED.sub(_undisguised, text)
+    """``text`` without disguises, in lower-case letters without accents: of several readings, the first."""
+    return _DISGUISED.sub(_undisguised, _plain(text))
 
 
 def words(folded: str) -> list[str]:
@@ -140,12 +149,83 @@ def _phrases(matcher: ahocorasick.Automaton, ws: list[str], n: int) -> set[str]:
     return {" ".join(ws[a : a + n]) for k in _hits(matcher, ws) for a in range(max(0, k - n + 1), min(k, len(ws) - n) + 1)}
 
 
+def _separable(run: str) -> list[bool]:
+    """Which characters of a run may separate words: digits and signs at the ends of its parts, and rows of signs."""
+    out, at = [True] * len(run), 0
+    for k, part in enumerate(_SIGNS.split(run)):
+        letters = [at + i for i, c in enumerate(part) if c.isalpha()] if k % 2 == 0 else []
+        if letters:
+            inner = range(letters[0], letters[-1] + 1)
+            out[inner.start : inner.stop] = [run[i] not in READINGS and not run[i].isalpha() for i in inner]
+        at += len(part)
+    return out
+
+
+def _readings(matcher: ahocorasick.Automaton, run: str, begins: bool, ends: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, word) of every reading of a part of ``run`` that is an entry or begins with one.
+
+    A word starts and ends at separators, or at the ends of the run if it ``begins`` and ``ends`` there. Two
+    fifths of its characters must be letters. The automaton's own trie directs the reading, so every
+    start costs at most as many steps as there are entries' beginnings, however many readings there are.
+    """
+    last = max(i for i, c in enumerate(run) if c.isalpha())
+    gap = _separable(run)
+
+    def real(start: int, end: int) -> bool:
+        return sum(c.isalpha() for c in run[start:end]) * 5 >= (end - start) * 2
+
+    for start in range(last + 1):
+        if not (gap[start - 1] if start else begins):
+            continue
+        todo = [(start, " ")]
+        while todo:
+            at, path = todo.pop()
+            closed = gap[at] if at < len(run) else ends
+            if closed and matcher.get(f"{path} ", (0, None))[1] is not None and real(start, at):
+                yield start, at, path[1:]
+            if matcher.get(path, (0, None))[1] is not None:
+                end = at
+                while end < len(run) and not gap[end]:
+                    end += 1
+                if real(start, end):
+                    yield start, end, path[1:] + run[at:end].translate(_LETTERS)
+            if at < len(run):
+                todo += [(at + 1, path + c) for c in READINGS.get(run[at], run[at] if run[at].isalpha() else "") if matcher.match(path + c)]
+
+
+def _other_hits(matcher: ahocorasick.Automaton, plain: str, folded: str, ws: list[str]) -> dict[int, tuple[float, str]]:
+    """Hits that only other readings of disguised runs have: the position of the word, the weight and the reading."""
+    begins: list[int] = []
+    hits: dict[int, tuple[float, str]] = {}
+    for m in _DISGUISED.finditer(plain):
+        run = m[0]
+        if not any(map(str.isalpha, run)):
+            continue
+        free = m.start() == 0 or not plain[m.start() - 1].isalpha(), m.end() == len(plain) or not plain[m.end()].isalpha()
+        for start, end, word in set(_readings(matcher, run, *free)):
+            if not begins:
+                places = [x.span() for x in _WORD.finditer(folded)]
+                begins, stops = [a for a, _ in places], [b for _, b in places]
+            # folding keeps the length of runs, so places in the plain text are places in the folded one
+            k, after = bisect_right(stops, m.start() + start), bisect_left(begins, m.start() + end)
+            before = ws[max(0, k - LONGEST_PHRASE + 1) : k]
+            weight = _hits(matcher, [*before, word, *ws[after : after + LONGEST_PHRASE - 1]]).get(len(before), 0)
+            if weight > hits.get(k, (0, ""))[0]:
+                hits[k] = weight, word
+    return hits
+
+
 def measures(matcher: ahocorasick.Automaton, text: str) -> tuple[float, ...]:
     """(1, log of weighted matches, weight per length, distinct words matched, log of length)."""
-    ws = words(fold(text))
-    hits = _hits(matcher, ws)
-    total = sum(hits.values())
-    distinct = len({ws[k] for k in hits})
+    plain = _plain(text)
+    folded = _DISGUISED.sub(_undisguised, plain)
+    ws = words(folded)
+    hits = {k: (w, ws[k]) for k, w in _hits(matcher, ws).items()}
+    if len(matcher) and ws:
+        for k, other in _other_hits(matcher, plain, folded, ws).items():
+            hits[k] = max(hits.get(k, other), other, key=lambda x: x[0])
+    total = sum(w for w, _ in hits.values())
+    distinct = len({word for _, word in hits.values()})
     return 1.0, float(np.log1p(total)), total / np.sqrt(len(ws) + 10), float(np.log1p(distinct)), float(np.log1p(len(ws)))
 
 
@@ -240,7 +320,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         if shorter is None or r["w"] >= shorter + LEAST_GAIN:
             entries[k] = float(r["w"])
     model = Model(entries, _exceptions(totals, entries))
-    for n_words in (2, 3):
+    for n_words in range(2, LONGEST_PHRASE + 1):
         model.exceptions += _exception_phrases(train, model, n_words)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
