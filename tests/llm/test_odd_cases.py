@@ -49,6 +49,24 @@ def test_top_k_equals_brute_force(spark, bucket_rows, query_rows):
     assert by_row(got, "query_id", "rank", "vec_id", "score") == sorted(brute_top(floored, range(0, 220, 20), 7), key=repr)
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 64, 16])
+def test_top_k_of_an_id_on_more_than_k_rows(spark, bucket_rows):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    rows += [(7, [4.0 + n % 3] * 6) for n in range(40)]  # the longest vectors, all under one id
+    rows += [(40, [draw.gauss(0, 2) for _ in range(6)]) for _ in range(5)]  # a query with several vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, 7, bucket_rows=bucket_rows, query_rows=3).collect()
+    best: dict = {}
+    floored = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    for q, a in floored:
+        for i, b in floored:
+            if q % 20 == 0 and i != q:
+                best.setdefault(q, {})[i] = max(best.get(q, {}).get(i, -(1 << 60)), int(a @ b))
+    want = [(q, n + 1, i, s) for q, x in best.items() for n, (i, s) in enumerate(sorted(x.items(), key=lambda p: (-p[1], p[0]))[:7])]
+    assert by_row(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+
+
 def test_top_k_odd_rows(spark):
     kinds = "vec_id long, embedding array<float>, norm int, bucket int, is_query int"
     rows = [

@@ -68,6 +68,7 @@ class Bucket:
         self.real = self.vectors.astype(float)
         self.direction = self.real / np.maximum(self.norms, 1e-300)[:, None]
         self.longest = float(self.norms[0]) if len(ids) else 0.0
+        self.repeats = len(np.unique(ids)) < len(ids)
 
     def candidates(self, query: np.ndarray, norm: float, threshold: float) -> np.ndarray:
         """Positions that may score at least ``threshold``; none is left out that does."""
@@ -110,7 +111,7 @@ def _exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def search_block(queries: pd.DataFrame, bucket: Bucket, k: int) -> tuple[list, list, list]:
-    """Best ``k`` of the bucket for each query: query ids, candidate ids and scores."""
+    """Best ``k`` ids of the bucket for each query, repeated ones once: query ids, candidate ids and scores."""
     out: tuple[list, list, list] = ([], [], [])
     if not len(queries) or not len(bucket.ids):
         return out
@@ -130,6 +131,10 @@ def search_block(queries: pd.DataFrame, bucket: Bucket, k: int) -> tuple[list, l
         if threshold > 0:
             keep &= scores >= threshold
         scores, ids = scores[keep], ids[keep]
+        if bucket.repeats and len(ids):  # the best score of each id
+            order = np.lexsort((-scores, ids))
+            order = order[np.r_[True, ids[order][1:] != ids[order][:-1]]]
+            scores, ids = scores[order], ids[order]
         if len(ids) > k:  # everything that ties with the k-th stays until the sort
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             scores, ids = scores[scores >= least], ids[scores >= least]
@@ -174,8 +179,8 @@ def top_k(
     buckets = materialise(
         rows.repartitionByRange(-(-n // bucket_rows), F.desc("norm"), "vec_id").withColumn("bucket", F.spark_partition_id()), "buckets"
     )
-    longest = buckets.groupBy("bucket").agg(F.max("norm").alias("longest"), F.count("*").alias("rows"))
-    first = longest.filter(F.col("rows") > k).agg(F.min("bucket").alias("b")).collect()[0]["b"]
+    longest = buckets.groupBy("bucket").agg(F.max("norm").alias("longest"), F.count_distinct("vec_id").alias("ids"))
+    first = longest.filter(F.col("ids") > k).agg(F.min("bucket").alias("b")).collect()[0]["b"]
     asked_rows = buckets.filter("is_query")
     block = F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-asked_rows.count() // query_rows))))
     queries = asked_rows.select("vec_id", "v", "norm", block.alias("block")).distinct().withColumn("threshold", F.lit(None).cast("long"))
@@ -195,9 +200,8 @@ def top_k(
         hits = meet(queries, every_block.join(longest.select("bucket")))
         return _best(hits, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     start = materialise(meet(queries, every_block.withColumn("bucket", F.lit(first))), "first-hits")
-    # The k-th score of the first bucket is a threshold only when there are k scores.
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = start.withColumn("p", F.row_number().over(place)).filter(F.col("p") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    # The score of the k-th id of the first bucket is a threshold only when there are k ids.
+    kth = _best(start, k).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
     asked = materialise(queries.drop("threshold").join(kth, "vec_id", "left").withColumnRenamed("kth", "threshold"), "queries")
     # A block meets a bucket when one of its queries could score its threshold there.
     need = F.when(F.coalesce("threshold", F.lit(0)) <= 0, F.lit(0.0)).when(F.col("norm") == 0, F.lit(0.0)).otherwise(F.col("threshold") / F.col("norm"))
