@@ -413,6 +413,25 @@ def test_components(spark, edges):
 # 8 -----------------------------------------------------------------------------------------------
 
 
+def test_license_scan_of_whole_texts(spark):
+    own = "Copyright (c) 2021, Jane Doe\nAll rights reserved.\n\n"
+    stars = "\n".join(line.replace("1. ", "* ").replace("2. ", "* ") for line in licenses.BSD_2.split("\n"))
+    want = {
+        1: ("BSD-3-Clause", f"BSD 3-Clause License\n\n{own}{licenses.BSD_3}"), 2: ("BSD-2-Clause", own + stars), 3: ("0BSD", own + licenses.ZERO_BSD),
+        4: ("Unlicense", licenses.UNLICENSE.upper()), 5: ("MIT", f"MIT License\n\n{own}{licenses.MIT}"), 6: ("ISC", own + licenses.ISC),
+        7: ("Apache-2.0", own + "\n".join(f"# {x}" for x in licenses.APACHE_HEADER.split("\n"))),
+        8: ("GPL-3.0-or-later", f"/*\n{own}{licenses.GPL_3_HEADER}\n*/"), 9: ("GPL-2.0-or-later", own + licenses.GPL_2_HEADER),
+        10: ("BSD-2-Clause", own + licenses.BSD_2),
+    }
+    docs = odd_docs(spark, [(i, t) for i, (_, t) in want.items()])
+    known = licenses.known_digests(spark)
+    assert known.select("digest").distinct().count() == known.count()  # one licence per digest
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, known).collect()} == {i: x for i, (x, _) in want.items()}
+    given = spark.createDataFrame([("House", "Use it\nas you like."), ("None", None)], "license_id string, text string")
+    got = licenses.scan(odd_docs(spark, [(1, "use it as YOU like"), (2, "use it")]), licenses.known_digests(spark, given)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in got} == {1: "House", 2: None}
+
+
 def test_license_scan(spark):
     own = "Copyright (c) 2020 Jane Doe. All rights reserved.\n\n" + licenses.MIT.replace("Permission", "PERMISSION").replace("\n", "\n  ")
     rows = [*ODD, (20, own), (21, "text\nreleased under the MIT licence\nmore\nLicensed under CC-BY-NC 4.0"), (22, "see: released under the MIT License.")]
