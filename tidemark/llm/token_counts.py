@@ -12,8 +12,9 @@ states are made when first reached, as in lazy automata.
 **Composition.** White space puts the transducer into its start state. A chunk of text is therefore
 a map from entry states to (count, exit state) that needs only three things: what it reads before the
 first white space (the head, run from the entry state), the count of its middle, which no entry state
-can change, and what it reads after the last white space (the tail). Such maps compose associatively;
-the chunks of a text are composed by a parallel prefix scan.
+can change, and what it reads after the last white space (the tail). Head and tail are kept as text.
+Such maps compose associatively; those of a text are composed one after another in the task that holds
+it, and a text without white space is counted as one run.
 """
 
 from __future__ import annotations
