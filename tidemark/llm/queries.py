@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, licenses, minhash, packing, quality, rules, token_counts, topk, toxicity, warc
+from tidemark.llm import bpe, fim, licenses, lm, minhash, packing, pq, quality, rules, token_counts, topk, toxicity, warc
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,65 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+h AS (
+  SELECT doc_id, t, w, len(w) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM t),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT doc_id, t, n, form, array_to_string(w[:a], '') AS prefix, array_to_string(w[a + 1:b], '') AS middle,
+    array_to_string(w[b + 1:], '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""")
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(fim.store(table(spark, sf_dir, "documents"))))
+
+
+def _codebook_sql(rounds: int = pq.ROUNDS, parts: int = pq.PARTS, entries: int = pq.ENTRIES) -> str:
+    """The whole procedure unrolled: parts, first entries, then assignment and means by turns."""
+    steps = [f"""
+k AS (SELECT vec_id, label, embedding AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+i AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(y AS DOUBLE)) AS BIGINT) for y in x] AS v, len(x) // {parts} AS l FROM k),
+q AS MATERIALIZED (SELECT vec_id, label, p, v[p * l + 1:(p + 1) * l] AS v FROM i, range({parts}) AS r(p)),
+c0 AS MATERIALIZED (SELECT p, e, v FROM (
+  SELECT p, v, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM q) WHERE e < {entries})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, label, p, v, e, d FROM (
+  SELECT vec_id, label, q.p, q.v, c.e, list_sum([(q.v[j] - c.v[j]) * (q.v[j] - c.v[j]) for j in range(1, len(q.v) + 1)]) AS d
+  FROM q JOIN c{r} c ON q.p = c.p) QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT p, e, j, CAST(floor(CAST(sum(v[j]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+  FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS j FROM a{r}) GROUP BY p, e, j),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} c
+  LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS v FROM s{r} GROUP BY p, e) m ON c.p = m.p AND c.e = m.e)""")
+    return "WITH" + ",".join(steps) + f""",
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+f AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, h"""
+
+
+@query(_codebook_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
