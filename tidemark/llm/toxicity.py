@@ -32,10 +32,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import slices
 from tidemark.scratch import materialise
 
-#: Documented bounds of what is fitted: labelled rows read, and entries and exceptions kept.
+#: Documented bound of what is fitted: labelled rows read.
 SAMPLE_ROWS = 16_000
-MAX_ENTRIES = 3_000
-MAX_EXCEPTIONS = 3_000
 #: An entry needs so many toxic documents, this weight and this log-likelihood ratio against chance (there
 #: are very many candidates); an exception so many clean documents and no toxic one.
 LEAST_TOXIC, LEAST_WEIGHT, LEAST_EVIDENCE, LEAST_CLEAN = 3, 1.2, 20.0, 5
@@ -137,13 +135,23 @@ def _hits(matcher: ahocorasick.Automaton, ws: list[str]) -> dict[int, float]:
             elif weight > hits.get(end - size + 1, 0):
                 hits[end - size + 1] = weight
     if spans and hits:
-        hits = {at: w for at, w in hits.items() if not any(a <= at < b for a, b in spans)}
+        hits = _outside(hits, spans)
     if not hits:
         return {}
     place = {at: k for k, at in enumerate(accumulate((len(w) + 1 for w in ws), initial=0))}
     return {place[at]: w for at, w in hits.items()}
 
 
+def _outside(hits: dict[int, float], spans: list[tuple[int, int]]) -> dict[int, float]:
+    """The hits at places that no half-open span covers."""
+    starts, reach = [], []
+    for a, b in sorted(spans):
+        starts.append(a)
+        reach.append(max(b, reach[-1]) if reach else b)
+    covered = lambda at: (k := bisect_right(starts, at)) > 0 and at < reach[k - 1]
+    return {at: w for at, w in hits.items() if not covered(at)}
+
+
 def _phrases(matcher: ahocorasick.Automaton, ws: list[str], n: int) -> set[str]:
     """Runs of ``n`` words that hold a match."""
     return {" ".join(ws[a : a + n]) for k in _hits(matcher, ws) for a in range(max(0, k - n + 1), min(k, len(ws) - n) + 1)}
@@ -286,8 +294,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
     """Learn lexicon, exceptions and logistic weights from labelled documents.
 
     Document counts of words and beginnings, then of pairs and triples around their matches, are summed in
-    Spark; what reaches the driver is bounded by ``MAX_ENTRIES``, ``MAX_EXCEPTIONS`` and five numbers for each
-    of ``rows`` documents. Without labels of both kinds the model has no entries and scores every document low.
+    Spark; what reaches the driver is what the evidence selects from ``rows`` documents, and five numbers for each
+    of them. Without labels of both kinds the model has no entries and scores every document low.
     """
     train = materialise(training_rows(docs, labels, label, rows), "toxicity-sample")
     n = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -304,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SA
         .withColumn("w", F.log((toxic + 0.5) / (n[1] + 1.0)) - F.log((clean + 0.5) / (n[0] + 1.0)))
         .withColumn("evidence", 2 * (part(toxic, share) + part(clean, 1 - share)))
         .filter((F.col("w") >= LEAST_WEIGHT) & (F.col("evidence") >= LEAST_EVIDENCE))
-        .orderBy(F.desc("evidence"), F.length("k"), "k").limit(MAX_ENTRIES).collect()
+        .collect()
     )
     seen_in = {r["k"]: r["toxic"] for r in best}
     longer: dict[str, int] = {}
@@ -341,14 +349,13 @@ def _exceptions(totals: DataFrame, entries: dict[str, float]) -> list[str]:
         return []
     clean = totals.filter(F.col("k").endswith(" ") & (F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN))
     hit = F.array_contains(F.transform(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda i: F.substring("k", 1, i).isin(begins)), True)
-    picked = clean.filter(hit).orderBy(F.desc("clean"), "k").limit(MAX_EXCEPTIONS).collect()
-    return [r["k"].strip() for r in picked]
+    picked = clean.filter(hit).select("k").collect()
+    return sorted(r["k"].strip() for r in picked)
 
 
 def _exception_phrases(train: DataFrame, model: Model, n_words: int) -> list[str]:
     """Runs of ``n_words`` words around matches outside the exceptions so far that are only seen in clean documents."""
-    left = MAX_EXCEPTIONS - len(model.exceptions)
-    if not model.entries or left <= 0:
+    if not model.entries:
         return []
     made: list[ahocorasick.Automaton] = []  # one a task
 
@@ -358,7 +365,7 @@ def _exception_phrases(train: DataFrame, model: Model, n_words: int) -> list[str
         return _phrases(made[0], ws, n_words)
 
     clean = _document_counts(train, keys).filter((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN))
-    return [r["k"] for r in clean.orderBy(F.desc("clean"), "k").limit(left).collect()]
+    return sorted(r["k"] for r in clean.select("k").collect())
 
 
 def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
@@ -404,7 +411,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, below: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores less than ``below``."""
+    """The rows of ``docs``, with all their columns, whose text scores less than ``below``.
+
+    Null and empty texts are scored as texts without words; repeated rows and null ids are judged one by
+    one; an empty table gives an empty result.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
