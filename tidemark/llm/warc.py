@@ -163,7 +163,7 @@ def planned(pages: DataFrame) -> DataFrame:
     first = base.filter(large).groupBy(F.col("digest").alias("key")).agg(F.min("page_id").alias("first"))
     key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.col("digest"))))
     joined = base.withColumn("key", key).join(first, "key", "left")
-    refers = F.when(F.col("first") != F.col("page_id"), F.col("first"))
+    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))  # a page without an id revisits too
     return joined.select("page_id", "url", "bytes", "digest", refers.alias("refers_to"), F.when(refers.isNull(), F.col("html")).alias("html"))
 
 
