@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from tidemark.llm.common import slices
+from tidemark.operators.ranges import with_row_number
 from tidemark.scratch import materialise
 
 SHINGLE = 5
@@ -81,13 +82,18 @@ def shingles(words: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
 
 
 def signature(found: np.ndarray, hashes: int = HASHES) -> np.ndarray:
-    """The upper sixteen bits of the minima of every hash function over a non-empty set."""
+    """Sixteen bits of the minima of every hash function over a non-empty set.
+
+    The minimum of many hashes is small, so its bits are mixed again before they are cut.
+    """
     a, b = _family(hashes)
     least = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(found), STRIDE):
         hashed = found[None, start : start + STRIDE] * a[:, None]
         hashed += b[:, None]
         np.minimum(least, hashed.min(axis=1), out=least)
+    least = (least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    least = (least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (least >> np.uint64(48)).astype("<u2")
 
 
@@ -312,8 +318,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     ``component_id`` is the smallest id that is reachable by links, and the row that has it is ``kept``.
     Texts without words, null texts and rows with a null id link with nothing: their component is their own
-    id. Rows that repeat an id are one node of the graph, whatever their texts, and all kept if it names the
-    component. Further columns are ignored; an empty table gives an empty result.
+    id. A text is a node of the graph, named by the smallest id that has it; rows that repeat an id follow their own
+    texts, and texts of one name are one node. Further columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     every = materialise(signatures(texts), "signatures")
@@ -343,18 +349,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 def keep(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near duplicates, with all its columns: the one of the smallest id.
 
-    Rows with a null id stay. Of rows that repeat the smallest id, one stays, the first by text. The
+    Rows with a null id stay. Where ids repeat, rows are numbered by id first and each is a document of its
+    own: of equal or similar rows one stays, and a text that is like no other stays whatever its id. The
     dropped ids, fewer than the documents, leave through an anti join; a hot group has distinct ids, so no
     key of it is hot.
     """
+    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1")
+    if not twice.limit(1).count():
+        return _kept(docs, percent, id_col, text_col)
+    named = docs.filter(F.col(id_col).isNotNull())
+    packed = named.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.struct("*").alias("whole"), F.col(text_col).alias("text"))
+    numbered = materialise(with_row_number(packed, [], ["id", "h"], "row"), "numbered")
+    own = _kept(numbered.select("row", "whole", "text"), percent, "row", "text").select("whole.*")
+    return own.unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def _kept(docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """:func:`keep` where no id repeats."""
     found = near_duplicates(docs.select(id_col, text_col), percent, id_col, text_col)
-    dropped = materialise(found.filter("NOT kept").select(F.col(id_col).alias("_dropped")).distinct(), "dropped")
-    own = docs.join(_sent(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
-    repeated = found.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_repeated")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    if not (repeated := materialise(repeated, "repeated")).limit(1).count():
-        return own
-    # Only rows whose id repeats are compared; the others pass by.
-    again = own.join(repeated.select("_repeated"), F.col(id_col) == F.col("_repeated"), "left_semi")
-    first = again.groupBy(id_col).agg(F.min(F.struct(F.col(text_col).alias("_t"), *[c for c in docs.columns if c != text_col])).alias("_row"))
-    picked = first.select(*[F.col("_row._t").alias(c) if c == text_col else F.col(f"_row.{c}") for c in docs.columns])
-    return own.join(repeated.select("_repeated"), F.col(id_col) == F.col("_repeated"), "left_anti").unionByName(picked)
+    dropped = materialise(found.filter("NOT kept").select(F.col(id_col).alias("_dropped")), "dropped")
+    return docs.join(_sent(dropped), F.col(id_col) == F.col("_dropped"), "left_anti")
