@@ -529,3 +529,68 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, rows, sf_dir).columns == docs.columns
         corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).collect()
+
+
+# Findings of the second review ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [300, 20_000, 500_000])
+def test_signatures_of_unlike_sets_differ_whatever_their_size(n):
+    draw = np.random.default_rng(n)
+    a, b = (minhash.signature(np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))) for _ in range(2))
+    assert (a == b).sum() < 10
+
+
+def test_near_duplicates_of_long_texts_equal_brute_force(spark):
+    draw = random.Random(8)
+    def text(n):
+        return [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    base = text(100_000)
+    near = base[:95_000] + text(5_000)
+    far = base[:60_000] + text(40_000)
+    rows = {i: " ".join(t) for i, t in enumerate([base, text(100_000), near, far, text(100_000), base, text(300)])}
+    want = components({i: shingle_set(t) for i, t in rows.items()})
+    got = minhash.near_duplicates(odd_docs(spark, list(rows.items()))).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and want[2] == 0 and want[3] == 3
+
+
+def test_keep_leaves_every_unlike_text_under_a_repeated_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(0, a), (3, a), (3, b), (5, c), (5, d), (7, d + " end"), (None, a), (8, None), (8, "")]
+    kept = minhash.keep(odd_docs(spark, rows))
+    assert kept.columns == odd_docs(spark, rows).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    assert got == sorted([(0, a), (3, b), (5, c), (5, d), (None, a), (8, None), (8, "")], key=repr)
+
+
+def test_pages_without_an_id_revisit_an_equal_page(spark):
+    long, other = "p" * 200, "q" * 200
+    rows = [(5, "u", long), (None, "u", long), (7, "u", long), (None, "u", other), (None, "u", other), (None, "u", "short"), (9, "u", "short")]
+    got = warc.planned(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert by_row(got, "page_id", "bytes", "refers_to") == sorted(
+        [(5, 200, None), (None, 200, 5), (7, 200, 5), (None, 200, None), (None, 200, None), (None, 5, None), (9, 5, None)], key=repr)
+
+
+def test_matches_and_exceptions_equal_a_plain_search():
+    draw = random.Random(3)
+    model = toxicity.Model({"bad ": 1.0, "ug": 2.0, "ugly ": 3.0, "fool": 0.5}, ["ugly duck", "bad luck", "duck ugly duck", "uganda"])
+    matcher = model.matcher()
+    for _ in range(200):
+        ws = [draw.choice(["bad", "ugly", "duck", "luck", "uganda", "fools", "fool", "ok"]) for _ in range(draw.randrange(1, 14))]
+        covered = {k + j for e in model.exceptions for k in range(len(ws)) if ws[k : k + len(e.split())] == e.split() for j in range(len(e.split()))}
+        want = {}
+        for k, w in enumerate(ws):
+            weights = [v for e, v in model.entries.items() if f"{w} ".startswith(e)]
+            if weights and k not in covered:
+                want[k] = max(weights)
+        assert toxicity._hits(matcher, ws) == want
+
+
+def test_many_matches_and_exceptions_take_linear_time():
+    import time
+
+    model = toxicity.Model({"bad ": 1.0}, ["bad luck"])
+    matcher, words = model.matcher(), ["bad", "luck", "bad", "day"] * 50_000
+    start = time.perf_counter()
+    assert len(toxicity._hits(matcher, words)) == 50_000
+    assert time.perf_counter() - start < 2
