@@ -13,6 +13,8 @@ from tidemark.functions.amounts import exact
 from tidemark.functions.amounts import total as sum_money
 from tidemark.operators import history as H
 from tidemark.operators.aggregates import describe_nulls
+from tidemark.scratch import scratch_path
+from tidemark.sources.bucketed import BucketedTable
 from tidemark.tables import table
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -126,6 +128,58 @@ def upsert_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.merge_audit(H.merge(once, source, KEYS))
 
 
+def _bucketed(spark: SparkSession, rows: DataFrame, keys: list[str], label: str) -> BucketedTable:
+    kept = BucketedTable(spark, scratch_path(spark, label), keys, 8)
+    kept.create(rows)
+    return kept
+
+
+@query(_MERGE.format(hit="price > 80000") + f"SELECT l_linenumber, COUNT(*) AS rows, {total('price')} AS sum_price FROM m GROUP BY ALL")
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert twice into a table of buckets; the second time nothing is written."""
+    target, source = _merge_inputs(spark, sf_dir)
+    kept = _bucketed(spark, target, KEYS, "upsert")
+    for _ in range(2):
+        kept.merge(source)
+    if len(kept.versions()) != 2:
+        raise AssertionError("the second upsert wrote a version")
+    return kept.read().groupBy("l_linenumber").agg(rows(), sum_money("price").alias("sum_price"))
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, MAX(CAST(l_extendedprice AS DECIMAL(12,2))) AS price FROM lineitem GROUP BY ALL)
+SELECT 'updated' AS change, COUNT(*) AS rows FROM t WHERE price > 80000 UNION ALL
+SELECT 'inserted', COUNT(*) FROM t WHERE price < 20000 UNION ALL SELECT 'unchanged', COUNT(*) FROM t WHERE price <= 80000""")
+def upsert_in_place_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per kind of change in the buckets that got new files (here all)."""
+    target, source = _merge_inputs(spark, sf_dir)
+    return _bucketed(spark, target, KEYS, "upsert-audit").merge(source)
+
+
+@query(_VERSIONS)
+def scd2_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions closed and opened bucket by bucket; the same changes again write nothing."""
+    first = H.open_dimension(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "1990-01-01")
+    kept = _bucketed(spark, first, ["c_custkey"], "scd2")
+    for _ in range(2):
+        kept.scd2(customer_changes(spark, sf_dir), ["c_mktsegment"])
+    if len(kept.versions()) != 2:
+        raise AssertionError("the second run wrote a version")
+    return kept.read()
+
+
+@query("""SELECT segment, is_current, COUNT(*) AS rows FROM (
+  SELECT c_mktsegment AS segment, NOT (c_acctbal < 0) AS is_current FROM customer WHERE c_nationkey <> 3
+  UNION ALL SELECT 'NEW', TRUE FROM customer WHERE c_nationkey <> 3 AND c_acctbal < 0
+  UNION ALL SELECT CASE WHEN c_acctbal < 0 THEN 'NEW' ELSE c_mktsegment END, TRUE FROM customer WHERE c_nationkey = 3) GROUP BY ALL""")
+def snapshot_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = table(spark, sf_dir, "customer")
+    known = H.open_dimension(now.filter("c_nationkey <> 3").select("c_custkey", "c_mktsegment"), "c_custkey", "1990-01-01")
+    kept = _bucketed(spark, known, ["c_custkey"], "snapshot")
+    segment = F.when(F.col("c_acctbal") < 0, "NEW").otherwise(F.col("c_mktsegment"))
+    kept.snapshot(now.select("c_custkey", segment.alias("c_mktsegment")), ["c_mktsegment"], "2000-01-01")
+    return kept.read().groupBy(F.col("c_mktsegment").alias("segment"), "is_current").agg(rows())
+
+
 @query("""SELECT 'channel' AS column_name, 'added' AS change, NULL::VARCHAR AS old_type, 'string' AS new_type, COUNT(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS missing FROM orders
 UNION ALL SELECT 'o_orderstatus', 'removed', 'string', NULL, COUNT(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') FROM orders
 UNION ALL SELECT 'o_custkey', 'type_changed', 'bigint', 'string', 0""")

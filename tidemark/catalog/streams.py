@@ -179,14 +179,9 @@ SELECT CASE WHEN COALESCE(ts < mark, FALSE) THEN 'late' ELSE 'kept' END AS part,
 def stream_late_side_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows arrive late (see derived arrivals) in three rounds; the stragglers are set aside."""
     df = L.with_arrival(table(spark, sf_dir, "events"), "ts", "event_id").drop("props", "value")
-    base, start = scratch_path(spark, "late"), F.lit(None)
-    for i, end in enumerate(CHUNKS):
-        stop = F.lit(end).cast("timestamp_ntz")
-        part = df.filter(F.coalesce(F.col("arrival") >= start, F.lit(True)) & F.coalesce(F.col("arrival") < stop, F.lit(True)))
-        part.write.parquet(f"{base}/landing/chunk{i}")
-        source = K.read_stream(spark, f"{base}/landing/*", df.schema)
+    base = scratch_path(spark, "late")
+    for source in _in_rounds(spark, df, "arrival", base):
         L.split_late(source, "ts", "30 minutes", f"{base}/out", f"{base}/checkpoint")
-        start = stop
     parts = [spark.read.parquet(f"{base}/out/{p}").select(F.lit(p).alias("part"), "event_id") for p in ("kept", "late")]
     return stack(parts).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("sum_id"))
 
@@ -239,9 +234,12 @@ def surge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CLOSED = "window_start + INTERVAL 6 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE"
 
 
-@query(f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, {mean('value')} AS window_mean, SUM(value) AS s, COUNT(value) AS n FROM ev GROUP BY ALL),
+_STREAM_SURGE = f"""WITH {EV}, w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, {mean('value')} AS window_mean, SUM(value) AS s, COUNT(value) AS n FROM ev GROUP BY ALL),
 b AS (SELECT *, CAST(SUM(s) OVER f AS DOUBLE) / SUM(n) OVER f AS base_mean FROM w WHERE {_CLOSED} WINDOW f AS (PARTITION BY event_type ORDER BY window_start ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-SELECT window_start, event_type, window_mean, base_mean, COALESCE(window_mean > 1.2 * base_mean, FALSE) AS is_surge FROM b""")
+SELECT window_start, event_type, window_mean, base_mean, COALESCE(window_mean > 1.2 * base_mean, FALSE) AS is_surge FROM b"""
+
+
+@query(_STREAM_SURGE)
 def stream_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream sums windows as they close; surges are flagged over the table of closed windows."""
     timed = W.event_time(stream(spark, sf_dir).withColumn("value", exact("value")), "ts", "10 minutes")
@@ -249,6 +247,25 @@ def stream_surge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.flag_surges(plain(closed, "window_start"), "event_type", 1.2, 4)
 
 
+def _in_rounds(spark: SparkSession, df: DataFrame, column: str, base: str):
+    """Land ``df`` in three rounds by ``column``, and give the stream of the landing folder after each."""
+    start = F.lit(None)
+    for i, end in enumerate(CHUNKS):
+        stop = F.lit(end).cast("timestamp_ntz")
+        df.filter(F.coalesce(F.col(column) >= start, F.lit(True)) & F.coalesce(F.col(column) < stop, F.lit(True))).write.parquet(f"{base}/landing/chunk{i}")
+        yield K.read_stream(spark, f"{base}/landing/*", df.schema)
+        start = stop
+
+
+@query(_STREAM_SURGE)
+def stream_surge_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events land in three rounds, the stream restarts for each, and every batch flags the windows it closes."""
+    df, base = events(spark, sf_dir).select("event_id", "ts", "event_type", "value"), scratch_path(spark, "surge-by-batch")
+    for source in _in_rounds(spark, df, "ts", base):
+        flags = V.surge_stream(W.event_time(source, "ts", "10 minutes"), "ts", "6 hours", "event_type", "value", 1.2, 4, f"{base}/out", f"{base}/checkpoint")
+    return plain(flags, "window_start")
+
+
 @query(f"""SELECT * FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, COUNT(*) AS rows, COUNT(*) FILTER (WHERE event_type = 'click') AS click_rows,
 COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchase_rows, COUNT(*) FILTER (WHERE event_type IN ('click', 'purchase')) / COUNT(*) AS hub_share
 FROM events GROUP BY 1) WHERE {_CLOSED}""")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size the optimiser expects; exact for file scans, pessimistic for joins."""
+    """Size the optimiser expects: bytes on disk for file scans, which may be several times more in memory; pessimistic for joins."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -100,6 +102,13 @@ def seen(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
     return new.join(old.select(*keys), list(keys), "left_semi")
 
 
+def by_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on keys, null keys equal to null keys."""
+    other = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return left.join(small(other), same, how)
+
+
 def above_average(df: DataFrame, value: str) -> DataFrame:
     """Rows above the mean of ``value`` over all rows; the one-row mean is broadcast."""
     mean = df.agg(

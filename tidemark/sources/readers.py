@@ -60,5 +60,28 @@ def partition_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the path is there, by its own file system. Anything else wrong with it shows when it is read."""
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly under ``path``; none if it does not exist."""
+    place, files = _place(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and all under it, if it is there."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it is there already."""
+    place, files = _place(spark, path)
+    return files.createNewFile(place)

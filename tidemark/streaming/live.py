@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import mean
+from tidemark.streaming.state import KeyedState, run_batches
 
 
 def running_counts(stream: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -83,14 +84,57 @@ def window_sums(df: DataFrame, ts: str, size: str, key: str, value: str) -> Data
     )
 
 
-def flag_surges(closed: DataFrame, key: str, factor: float, baseline: int) -> DataFrame:
-    """Compare closed windows with the ``baseline`` windows before them. The frame runs over windows, not rows."""
+def flag_surges(closed: DataFrame, key: str, factor: float, baseline: int, more: Sequence[str] = ()) -> DataFrame:
+    """Compare closed windows with the ``baseline`` windows before them. The frame runs over windows, not rows.
+
+    Columns of ``more`` are passed on.
+    """
     before = Window.partitionBy(key).orderBy("window_start").rowsBetween(-baseline, -1)
     mean_of = lambda s, n: F.try_divide(s.cast("double"), n)
     base = mean_of(F.sum("window_sum").over(before), F.sum("window_rows").over(before))
     rows = closed.withColumns({"window_mean": mean_of(F.col("window_sum"), F.col("window_rows")), "base_mean": base})
     flagged = F.coalesce(F.col("window_mean") > factor * F.col("base_mean"), F.lit(False))
-    return rows.withColumn("is_surge", flagged).select("window_start", key, "window_mean", "base_mean", "is_surge")
+    return rows.withColumn("is_surge", flagged).select("window_start", key, "window_mean", "base_mean", "is_surge", *more)
+
+
+class SurgeSink:
+    """Flags surges as windows close, batch by batch; for the closed windows of :func:`window_sums`.
+
+    The last ``baseline`` windows of each key are kept as state. A batch writes its windows with their
+    flags to a directory of its own under ``out/flags`` and overwrites it when retried. Windows of one key
+    close in order, so a batch needs no more than its own windows and the state.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, key: str, kinds: Mapping[str, str], factor: float, baseline: int, full_every: int = 32):
+        self.spark, self.out, self.key, self.factor, self.baseline = spark, out, key, factor, baseline
+        self.kinds = {c: kinds[c] for c in ("window_start", key, "window_sum", "window_rows")}
+        window = ", ".join(f"{c}: {k}" for c, k in self.kinds.items() if c != key)
+        self.state = KeyedState(spark, f"{out}/state", f"`{key}` {self.kinds[key]}, history array<struct<{window}>>", [key], full_every)
+
+    def take(self, batch: DataFrame, epoch: int) -> None:
+        closed = f"{self.out}/closed/epoch={epoch}"
+        batch.select(*self.kinds).write.mode("overwrite").parquet(closed)  # the stream's own state is read once
+        now = self.spark.read.schema(batch.select(*self.kinds).schema).parquet(closed)
+        past = self.state.before(epoch, now).select(self.key, F.inline("history"))
+        both = now.withColumn("_new", F.lit(True)).unionByName(past.withColumn("_new", F.lit(False)))
+        flagged = flag_surges(both, self.key, self.factor, self.baseline, ["_new"]).filter("_new").drop("_new")
+        flagged.write.mode("overwrite").parquet(f"{self.out}/flags/epoch={epoch}")
+        newest = Window.partitionBy(self.key).orderBy(F.col("window_start").desc())
+        last = both.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= self.baseline)
+        window = F.struct(*[c for c in self.kinds if c != self.key])
+        self.state.write(epoch, last.groupBy(self.key).agg(F.sort_array(F.collect_list(window)).alias("history")))
+
+    def flags(self) -> DataFrame:
+        """Everything flagged so far."""
+        return self.spark.read.parquet(f"{self.out}/flags").drop("epoch")
+
+
+def surge_stream(stream: DataFrame, ts: str, size: str, key: str, value: str, factor: float, baseline: int, out: str, checkpoint: str) -> DataFrame:
+    """Take what is available of a watermarked stream, flagging windows in the batch that closes them."""
+    closed = window_sums(stream, ts, size, key, value)
+    sink = SurgeSink(stream.sparkSession, out, key, dict(closed.dtypes), factor, baseline)
+    run_batches(closed, "append", sink.take, checkpoint)
+    return sink.flags()
 
 
 def hub_monitor(df: DataFrame, ts: str, size: str, key: str, hubs: Sequence[str]) -> DataFrame:

@@ -45,7 +45,8 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as trips: start and end date, two places, distance, money, payment.
 
     Money is decimal, so sums do not depend on the order rows are added in. Orders meet customers
-    before lines, so the largest table is shuffled once, on the order key.
+    before lines, so lines are shuffled on the order key at most, and once more on the supplier where suppliers
+    are too many to be broadcast.
     """
     orders = table(spark, sf_dir, "orders")
     placed = orders.join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select(
