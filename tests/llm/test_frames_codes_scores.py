@@ -174,7 +174,7 @@ def test_probabilities_sum_to_one():
 
 def test_code_is_prefix_free_and_complete():
     code = lm.Code.of([0] * 200 + list(range(56)))
-    paths = [tuple(code.bits[s : s + n]) for s, n in zip(code.start, code.length)]
+    paths = [tuple(code.paths[s : s + n] & 1) for s, n in zip(code.start, code.length)]
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 256
 
 
@@ -186,7 +186,7 @@ def test_contexts_see_only_what_stands_before_and_weights_move():
     still = lm.replace(model, rate=0.0)
     assert abs(still.score([(b"\xff" * 8, text)])[0]) > abs(model.score([(b"\xff" * 8, text)])[0])
     for name, h in zip(lm.CONTEXTS, lm.hashes(np.frombuffer(b"\xff" * 8 + b"abc abd abc", np.uint8))):
-        reach = 9 if name == "word" or name == "i4" else 1
+        reach = 9 if name == "word" else 1
         assert h[8 + 2] == h[8 + 10] if reach == 9 else h[8 + 2] != h[8 + 10], name
 
 

@@ -43,15 +43,14 @@ BLANK = 0x20
 FOLDS = 10
 #: Documents of this fold of the id's checksum are held out; every so many-th of the others fits the weights first.
 HELD_OUT, WEIGHT_SHARE = 0, 100
-#: Contexts inside the current word (all of it so far; its last bytes), counted on distinct tokens, and contexts
-#: of the last bytes whatever they are, counted on running text.
-IN_WORD, RUNNING = ("word", "i4"), ("o4", "o6")
+#: Contexts inside the current word (all of it so far, or ``iN``: its last N bytes), counted on distinct tokens, and
+#: contexts of the last bytes whatever they are, counted on running text.
+IN_WORD, RUNNING = ("word",), ("o4", "o6")
 CONTEXTS = IN_WORD + RUNNING
 #: The contexts whose being seen chooses the weights.
-GATED = (0, 2, 3)
+GATED = (0, 1, 2)
 #: Slots of a table: one for this power of two of bytes of the corpus, within bounds (powers of two as well).
-LEAST_BITS, MOST_BITS, MOST_BITS_RUNNING = 16, 23, 22
-BYTES_A_SLOT, BYTES_A_SLOT_RUNNING = 1, 1
+LEAST_BITS, MOST_BITS, BYTES_A_SLOT = 16, 22, 1
 #: Slots of a table in one shuffled row.
 BLOCK_SLOTS = 4096
 BLOCKS_A_TASK = 64
@@ -67,7 +66,7 @@ PRIOR = 0.4
 #: Texts are read in chunks of so many bytes; contexts reach back so far.
 CHUNK, REACH = 1 << 20, 256
 #: Bytes, and tokens, counted at once.
-AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 14
+AT_ONCE, COUNT_AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 21, 1 << 16
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 #: Distinct tokens a task counts before it sends them on.
 MEMO_TOKENS = 400_000
@@ -96,12 +95,11 @@ def words(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Code:
-    """A prefix code over bytes, flattened: the inner nodes and bits of each byte's path."""
+    """A prefix code over bytes, flattened: for each byte its path of (inner node, bit), as ``2 * node + bit``."""
 
     start: np.ndarray
     length: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
+    paths: np.ndarray
 
     @classmethod
     def of(cls, counts: list[int]) -> "Code":
@@ -122,18 +120,17 @@ class Code:
             else:
                 todo += [(tree[bit], [*path, (number, bit)]) for bit in (0, 1)]
                 number += 1
-        length = np.array([len(p) for p in paths])
-        flat = [step for p in paths for step in p]
-        scramble = np.random.default_rng(13).integers(0, 1 << 32, number, dtype=np.uint32)
-        return cls(np.cumsum(length) - length, length, scramble[[n for n, _ in flat]], np.array([b for _, b in flat], np.uint8))
+        length = np.array([len(p) for p in paths], np.int32)
+        return cls((np.cumsum(length) - length).astype(np.int32), length, np.array([2 * n + bit for p in paths for n, bit in p], np.uint16))
 
     def spell(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For every bit of ``data``: the index of its byte, its scrambled node, and itself."""
+        """How many bits each byte of ``data`` has; for every bit its node, and itself."""
         length = self.length[data]
-        of = np.repeat(np.arange(len(data)), length)
-        first = self.start[data] - (np.cumsum(length) - length)
-        at = np.repeat(first, length) + np.arange(len(of))
-        return of, self.nodes[at], self.bits[at]
+        ends = np.cumsum(length, dtype=np.int32)
+        at = np.repeat(self.start[data] - ends + length, length)
+        at += np.arange(len(at), dtype=np.int32)
+        path = self.paths.take(at)
+        return length, path >> 1, path & 1
 
 
 # Contexts
@@ -197,19 +194,16 @@ def _word_hash(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, longes
     return ((total - total[since]) * inverse[since] << np.uint64(1)) + (since == start).astype(np.uint64)
 
 
-def slots(h: np.ndarray, of: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of every bit in the table of one context."""
-    return ((h[of] ^ nodes) & np.uint32((1 << bits) - 1)).astype(np.int64)
+def slots(h: np.ndarray, length: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of every bit in the table of one context: nodes of one context lie near each other."""
+    return np.repeat((h >> np.uint32(32 - bits)).view(np.int32), length) ^ nodes
 
 
 # Tables
 
 def table_bits(n_bytes: int) -> dict[str, int]:
     """Slots of each context's table, as powers of two, for a corpus of so many bytes."""
-    whole = max(n_bytes, 1).bit_length()
-    inside = min(MOST_BITS, max(LEAST_BITS, whole - BYTES_A_SLOT))
-    running = min(MOST_BITS_RUNNING, max(LEAST_BITS, whole - BYTES_A_SLOT_RUNNING))
-    return {name: inside if name in IN_WORD else running for name in CONTEXTS}
+    return dict.fromkeys(CONTEXTS, min(MOST_BITS, max(LEAST_BITS, max(n_bytes, 1).bit_length() - BYTES_A_SLOT)))
 
 
 def gather(documents: Iterator[list[bytes]], size: int) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
@@ -233,13 +227,26 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
 
 def count_pairs(pairs: list[tuple[bytes, bytes]], code: Code, tables: dict[str, np.ndarray], times: np.ndarray | None = None) -> None:
-    """Add the bits of ``pairs``, each counted ``times``, to flat tables of (zeros, ones) by slot."""
+    """Add the bits of ``pairs``, each counted ``times``, to flat tables of (zeros, ones) by slot.
+
+    Equal bytes after equal contexts are added up first, in the order of the hashes, which is that of the slots.
+    """
     data, starts, sizes = join(pairs)
     inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    of, nodes, values = code.spell(data[inside])
-    weight = 1 if times is None else np.repeat(times, sizes)[of]
+    bytes_ = data[inside].astype(np.uint64)
     for (name, table), h in zip(tables.items(), hashes(data, tuple(tables))):
-        np.add.at(table, 2 * slots(h[inside], of, nodes, (len(table) // 2).bit_length() - 1) + values, weight)
+        keys = (h[inside].astype(np.uint64) << np.uint64(8)) | bytes_
+        if times is None:
+            keys.sort()
+        else:
+            order = np.argsort(keys)
+            keys, weights = keys[order], np.repeat(times, sizes)[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(first, append=len(keys)) if times is None else np.add.reduceat(weights, first)
+        keys = keys[first]
+        length, nodes, values = code.spell((keys & np.uint64(255)).astype(np.uint8))
+        at = slots((keys >> np.uint64(8)).astype(np.uint32), length, nodes, (len(table) // 2).bit_length() - 1)
+        np.add.at(table, 2 * at.astype(np.int64) + values, np.repeat(n.astype(table.dtype), length))
 
 
 def _blocks(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +268,7 @@ def running_counts(docs: DataFrame, text_col: str, code: Code, bits: dict[str, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {name: np.zeros(2 << bits[name], np.int32) for name in RUNNING}
-        for _, group in gather(_documents(batches), AT_ONCE):
+        for _, group in gather(_documents(batches), COUNT_AT_ONCE):
             count_pairs(group, code, tables)
         yield from _blocks(tables)
 
@@ -356,21 +363,23 @@ class Model:
 
     def score(self, pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
         """Natural log-probability of each pair's bytes."""
-        logs = np.zeros(len(pairs))
+        logs, m = np.zeros(len(pairs)), len(self.tables)
         for of_lane, lanes, steps in self._lanes(pairs):
-            m = len(self.tables)
-            weights = np.tile(self.weights, (lanes, 1)).astype(np.float32)  # a row per lane and gate
-            for lane, gate, odds, sign in steps:
-                row = lane * GATES + gate
-                dot = weights[:, m].take(row)
+            weights = np.tile(self.weights.T, lanes).astype(np.float32)  # a column per lane and gate
+            for alive, bits, gate, odds, sign in steps:
+                column = np.repeat((alive * GATES).astype(np.int32), bits)
+                column += gate
+                dot = weights[m].take(column)
                 for k in range(m):
-                    dot += weights[:, k].take(row) * odds[k]
-                wrong = 1 / (1 + np.exp(np.clip(dot, -CERTAIN, CERTAIN) * sign))  # the probability not given to the bit
-                logs += np.bincount(of_lane[lane], np.log1p(-wrong.astype(np.float64)), len(pairs))
-                push = wrong * sign
+                    dot += weights[k].take(column) * odds[k]
+                dot = np.clip(dot, -CERTAIN, CERTAIN, out=dot) * sign
+                given = 1 / (1 + np.exp(-dot))  # the probability given to the bit
+                first = np.cumsum(bits) - bits
+                np.add.at(logs, of_lane[alive], np.add.reduceat(np.log(given), first, dtype=np.float64))
+                push = ((1 - given) * sign).astype(np.float64)
                 for k in range(m):
-                    weights[:, k] += self.rate * np.bincount(row, push * odds[k], len(weights)).astype(np.float32)
-                weights[:, m] += self.rate * np.bincount(row, push, len(weights)).astype(np.float32)
+                    weights[k] += self.rate * np.bincount(column, push * odds[k], weights.shape[1])
+                weights[m] += self.rate * np.bincount(column, push, weights.shape[1])
         return logs
 
     def curvature(self, pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -379,7 +388,7 @@ class Model:
         slope, bend = np.zeros((GATES, m)), np.zeros((GATES, m, m))
         weights = self.weights.astype(np.float32)
         for _, _, steps in self._lanes(pairs):
-            for _, gate, odds, sign in steps:
+            for _, _, gate, odds, sign in steps:
                 inputs = np.stack([*odds, np.ones_like(sign)], axis=1)
                 dot = np.clip((weights[gate] * inputs).sum(axis=1), -CERTAIN, CERTAIN)
                 wrong = 1 / (1 + np.exp(dot * sign))
@@ -398,7 +407,8 @@ class Model:
     def _lanes(self, pairs):
         """Groups of segments: the pair of each, their number, and steps of one block of every segment.
 
-        A step gives for every bit its segment, gate, log-odds by context, and 1 or -1 for one or zero.
+        A step gives the segments that go on and the bits of each, and for every bit its gate, log-odds by context,
+        and 1 or -1 for one or zero.
         """
         data, starts, sizes = join(pairs)
         found = hashes(data)
@@ -414,14 +424,15 @@ class Model:
         for step in range(-(-int(size.max()) // BLOCK)):
             alive = np.flatnonzero(size > step * BLOCK)
             many = np.minimum(size[alive] - step * BLOCK, BLOCK)
-            inside = np.repeat(first[alive] + step * BLOCK - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            of, nodes, values = self.code.spell(data[inside])
-            odds = [t.take(slots(h[inside], of, nodes, len(t).bit_length() - 1)) for h, t in zip(found, self.tables.values())]
-            gate = np.zeros(len(of), np.int64)
+            before = np.cumsum(many) - many
+            inside = np.repeat(first[alive] + step * BLOCK - before, many) + np.arange(many.sum())
+            length, nodes, values = self.code.spell(data[inside])
+            odds = [t.take(slots(h[inside], length, nodes, len(t).bit_length() - 1)) for h, t in zip(found, self.tables.values())]
+            gate = np.zeros(len(nodes), np.int32)
             for place, k in enumerate(GATED):
-                gate += (odds[k] != 0) * (1 << place)
+                gate += (odds[k] != 0).view(np.int8) << np.int8(place)
             scaled = [o.astype(np.float32) * np.float32(1 / STEPS) for o in odds]
-            yield np.repeat(alive, many)[of], gate, scaled, values.astype(np.float32) * 2 - 1
+            yield alive, np.add.reduceat(length, before), gate, scaled, values.astype(np.float32) * 2 - 1
 
 
 def fit_weights(model: Model, docs: DataFrame, text_col: str, rounds: int = WEIGHT_ROUNDS) -> Model:
