@@ -18,9 +18,10 @@ from tidemark.operators.sets import stack_by_name
 from tidemark.operators.windows import agg_rank, top_n_per
 from tidemark.plans import gold as G
 from tidemark.plans.medallion import run_medallion
+from tidemark.plans.partials import Measure, PartialStore
 from tidemark.plans.silver import SilverSpec, accounting, silver
 from tidemark.plans.star import build_fact, with_row_id
-from tidemark.scratch import scratch_path
+from tidemark.scratch import materialise, scratch_path
 from tidemark.tables import nations, sales, table
 
 COLUMNS = ("started", "ended", "from_nation", "to_nation", "distance", "fare", "tip", "total", "payment", "vendor", "order_key", "line_no")
@@ -157,6 +158,51 @@ def gold_daily_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.with_weekly_averages(G.daily_metrics(both(spark, sf_dir)))
 
 
+def _in_rounds(store: PartialStore, rows: DataFrame) -> None:
+    """Refresh the periods up to 1995, those of 1996 and 1997, the rest, and the middle ones once more."""
+    year = F.year(store.period)
+    for part in (year < 1996, year.isin(1996, 1997), year > 1997, year == 1997):
+        store.refresh(rows.filter(part))
+
+
+@query(f"""WITH {BOTH}, d AS (SELECT day, {_DAILY} FROM trips_all GROUP BY day)
+SELECT *, {mean_over('trips', 'ORDER BY day ROWS 6 PRECEDING')} AS trips_7d,
+{mean_over('CAST(revenue AS DECIMAL(20,2))', 'ORDER BY day ROWS 6 PRECEDING')} AS revenue_7d FROM d""")
+def gold_daily_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table folded from states that were refreshed in rounds."""
+    rows = materialise(both(spark, sf_dir).withColumn("month", F.trunc("day", "month")), "trips")
+    one = F.lit(1)
+    store = PartialStore(spark, scratch_path(spark, "gold-daily"), "month", ["day", "source"], {
+        "trips": Measure("count", one), "revenue": Measure("sum", F.col("total")), "avg_distance": Measure("mean", F.col("distance")),
+        "avg_tip": Measure("mean", F.col("tip")), "hubs": Measure("count", F.when(F.col("is_hub"), one)),
+    })
+    _in_rounds(store, rows)
+    daily = store.fold({"day": F.col("day")}).select(
+        "day", "trips", F.round("revenue", 2).cast("double").alias("revenue"), "avg_distance", "avg_tip",
+        (F.col("hubs") / F.col("trips") * 100).alias("hub_pct"))
+    return G.with_weekly_averages(daily)
+
+
+@query(f"""WITH {BOTH}, z AS (SELECT * FROM trips_all WHERE day >= DATE '1996-01-01')
+SELECT from_nation, CAST(year(day) AS INTEGER) AS year, COUNT(*) AS trips, COUNT(DISTINCT to_nation) AS targets, COUNT(DISTINCT order_key) AS orders,
+CAST(MIN(fare) AS DOUBLE) AS min_fare, CAST(MAX(fare) AS DOUBLE) AS max_fare, {total('fare')} AS sum_fare, TRUE AS near FROM z GROUP BY ALL""")
+def gold_zones_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places by year from monthly states, with exact and estimated distinct counts."""
+    rows = materialise(both(spark, sf_dir).withColumn("month", F.trunc("day", "month")), "trips")
+    fare = F.col("fare")
+    store = PartialStore(spark, scratch_path(spark, "gold-zones"), "month", ["from_nation"], {
+        "trips": Measure("count", F.lit(1)), "targets": Measure("distinct", F.col("to_nation")), "orders": Measure("distinct", F.col("order_key")),
+        "about_orders": Measure("about_distinct", F.col("order_key")), "min_fare": Measure("min", fare), "max_fare": Measure("max", fare),
+        "sum_fare": Measure("sum", fare),
+    })
+    _in_rounds(store, rows)
+    by = {"from_nation": F.col("from_nation"), "year": F.year("month")}
+    out = store.fold(by, F.col("month") >= F.lit("1996-01-01").cast("date"))
+    money = {c: F.col(c).cast("double") for c in ("min_fare", "max_fare")} | {"sum_fare": F.round("sum_fare", 2).cast("double")}
+    near = F.abs(F.col("about_orders") - F.col("orders")) <= 0.1 * F.col("orders") + 1
+    return out.withColumns({**money, "near": near}).drop("about_orders")
+
+
 _ZONE_DAY = f"""{BOTH}, z AS (SELECT day, from_nation, source, COUNT(*) AS trips, COUNT(DISTINCT to_nation) AS targets, SUM(total) AS revenue,
   CAST({mean('distance')} AS DECIMAL(24,8)) AS avg_distance, COUNT(*) FILTER (WHERE is_hub) AS hub_trips FROM trips_all GROUP BY day, from_nation, source)"""
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.amounts import mean, mean_ratio, ratio
 from tidemark.operators.joins import small
-from tidemark.operators.ranges import lay_out, running
 from tidemark.scratch import materialise
 
 
@@ -65,33 +67,76 @@ def two_level(df: DataFrame, inner: Sequence[str], outer: Sequence[str], value:
     return fine.groupBy(*outer).agg(F.count(F.lit(1)).alias("groups"), out.alias("mean_value"))
 
 
+#: First bins hold values of one sign whose sizes (plus one) differ by less than a factor 2 ** (1 / this).
+BINS_A_DOUBLING = 16
+#: Bins of a later round, and rows that are few enough to be ranked by value.
+BINS, FEW_ROWS = 1024, 200_000
+
+
+def _first_bin(x: Column) -> Column:
+    """A whole number that never falls as ``x`` grows; NaN is greatest, as in Spark's order."""
+    size = F.floor(F.log1p(F.abs(x)) * (BINS_A_DOUBLING / math.log(2)))
+    return F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(x < 0, -size - 1).otherwise(size)
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
+    """Inner join on equal keys (null equals null) and ``more``, which is broadcast where ``right`` is small."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = reduce(and_, [*[F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], *more], F.lit(True))
+    return left.join(small(other), on).drop(*[f"_r_{k}" for k in keys])
+
+
 def quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles, one row per group and ``q``, with no group in one task.
+    """Exact interpolated quantiles, one row per group and ``q``, by selection.
 
-    Values are counted first, then ranked by a running count over value ranges; a quantile needs
-    just the one or two values around its position.
+    A histogram (an aggregate by group and bin, combined on the map side) says which bins hold the wanted
+    ranks. Only rows of these bins are looked at again: in finer bins between the bin's least and greatest
+    value while there are many, else counted by value. A bin of one value needs no further look. So no
+    exchange carries all values, and none gathers the rows of a group; windows run over the bins of
+    a group, or over few values. Every round splits every bin left, so the rounds end.
     """
     by = list(by)
-    counted = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("_n"))
-    laid = lay_out(counted, by, [column])
-    ranked = running(laid, by, [column], {"_upto": ("sum", F.col("_n"))})
-    sizes = laid.groupBy(*by).agg(F.sum("_n").alias("_size"))
+    rows = df.select(*by, F.col(column).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    bins, rows = ["_b0"], rows.withColumn("_b0", _first_bin(F.col("_x")))
+    counts = [F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    hist = materialise(rows.groupBy(*by, "_b0").agg(*counts), "histogram")
     points = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
-    want = sizes.withColumn("q", points).withColumn("_pos", F.col("q") * (F.col("_size") - 1))
-    # A few positions per group: once written their size is known, and they are broadcast if it is small.
-    joined = ranked.join(small(materialise(want, "quantile-positions")), by) if by else ranked.crossJoin(F.broadcast(want))
-    first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
-    low, high = F.floor("_pos"), F.ceil("_pos")
-    near = joined.filter((first <= high) & (last >= low))
-    value = F.col(column).cast("double")
-    below = F.min(F.when(low.between(first, last), value))
-    above = F.max(F.when(high.between(first, last), value))
-    weight = F.first(F.col("_pos") - low)
-    return (
-        near.groupBy(*by, "q")
-        .agg(below.alias("_lo"), above.alias("_hi"), weight.alias("_w"))
-        .select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("value"))
-    )
+    want = hist.groupBy(*by).agg(F.sum("_n").alias("_size")).withColumn("q", points).withColumn("_pos", F.col("q") * (F.col("_size") - 1))
+    low = F.floor("_pos")
+    both = F.array(F.struct(F.lit(False).alias("_up"), low.alias("_rank")), F.struct(F.lit(True).alias("_up"), F.ceil("_pos").alias("_rank")))
+    ranks = want.select(*by, "q", (F.col("_pos") - low).alias("_w"), F.inline(both))
+
+    def located(ranks: DataFrame, hist: DataFrame, start: Column, keys: Sequence[str], order: str) -> DataFrame:
+        """The bin that holds each rank. ``start`` rows lie before the bins of ``keys``."""
+        upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        placed = hist.withColumn("_start", start + upto - F.col("_n"))
+        inside = (F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n"))
+        return materialise(_meet(ranks, placed, keys, inside), "ranks")
+
+    found, done = located(ranks, hist, F.lit(0), by, "_b0"), []
+    while True:
+        done.append(found.filter(~(F.col("_lo") < F.col("_hi"))).select(*by, "q", "_w", "_up", F.col("_lo").alias("_value")))
+        open_ = found.filter(F.col("_lo") < F.col("_hi"))
+        wanted = open_.select(*by, *bins, "_start", "_lo", "_hi", "_n").distinct()
+        left = wanted.agg(F.sum("_n")).first()[0] or 0
+        if not left:
+            break
+        rows = _meet(rows, wanted.withColumnsRenamed({c: f"_of{c}" for c in ("_start", "_lo", "_hi", "_n")}), [*by, *bins])
+        ranks = open_.select(*by, *bins, "q", "_w", "_up", "_rank")
+        if left <= FEW_ROWS:
+            inner = F.col("_x")
+        else:
+            share = (F.col("_x") - F.col("_of_lo")) / (F.col("_of_hi") - F.col("_of_lo"))
+            inner = F.when(F.col("_x") >= F.col("_of_hi"), BINS - 1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        level = f"_b{len(bins)}"
+        finer = rows.withColumn(level, inner)
+        hist = finer.groupBy(*by, *bins, "_of_start", level).agg(*counts)
+        found = located(ranks, hist, F.col("_of_start"), [*by, *bins], level)
+        rows, bins = finer.drop("_of_start", "_of_lo", "_of_hi", "_of_n"), [*bins, level]
+    values = reduce(DataFrame.unionByName, done)
+    ends = [F.max(F.when(F.col("_up") == up, F.col("_value"))).alias(n) for up, n in ((False, "_at"), (True, "_next"))]
+    return values.groupBy(*by, "q").agg(*ends, F.first("_w").alias("_w")).select(
+        *by, "q", (F.col("_at") + (F.col("_next") - F.col("_at")) * F.col("_w")).alias("value"))
 
 
 def approx_quantiles(df: DataFrame, by: Sequence[str], column: str, qs: Sequence[float], accuracy: int = 10000) -> DataFrame:
@@ -192,7 +237,7 @@ def histogram(df: DataFrame, column: str, width: float) -> DataFrame:
     bins = df.filter(F.col(column).isNotNull()).groupBy(low.cast("double").alias("bin")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    return bins.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy()))
+    return bins.crossJoin(F.broadcast(bins.agg(F.sum("rows").alias("_all")))).select("bin", "rows", (F.col("rows") / F.col("_all")).alias("share"))
 
 
 def min_support(df: DataFrame, by: Sequence[str], n: int, aggs: Mapping[str, Column] | None = None) -> DataFrame:

@@ -423,10 +423,10 @@ def stability_index(df: DataFrame, is_base: Column, column: str, width: float) -
     bins = df.filter(F.col(column).isNotNull()).groupBy(low.alias("bin")).agg(
         F.count_if(is_base).alias("base_rows"), F.count_if(~is_base).alias("other_rows")
     )
-    everything = Window.partitionBy()
-    p = F.greatest(F.col("base_rows"), F.lit(1)) / F.sum("base_rows").over(everything)
-    q = F.greatest(F.col("other_rows"), F.lit(1)) / F.sum("other_rows").over(everything)
-    return bins.withColumn("contribution", (q - p) * F.log(q / p))
+    all_rows = bins.agg(F.sum("base_rows").alias("_base"), F.sum("other_rows").alias("_other"))
+    p = F.greatest(F.col("base_rows"), F.lit(1)) / F.col("_base")
+    q = F.greatest(F.col("other_rows"), F.lit(1)) / F.col("_other")
+    return bins.crossJoin(F.broadcast(all_rows)).withColumn("contribution", (q - p) * F.log(q / p)).drop("_base", "_other")
 
 
 def drift_quantiles(df: DataFrame, period: Column, column: str, qs: Sequence[float]) -> DataFrame:
