@@ -11,11 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
+from tidemark.operators.quality import GateOpen
 from tidemark.scratch import scratch_path
-from tidemark.sources import keyindex
+from tidemark.sources import keyindex, writers
 from tidemark.sources.bucketed import BucketedTable
 from tidemark.sources.ingest import ingest_new
 from tidemark.streaming import live as V
+from tidemark.streaming import windows as W
+from tidemark.streaming.gate import GateSink
 from tidemark.streaming.state import KeyedState
 
 BASE = dt.datetime(2024, 1, 1)
@@ -199,3 +202,71 @@ def test_a_claim_without_a_manifest_is_given_up(spark):
         table.merge(spark.createDataFrame([(1, 1)], "k bigint, v int"))
     table.release()
     assert {r.change for r in table.merge(spark.createDataFrame([(1, 1)], "k bigint, v int")).collect()} >= {"updated"}
+
+
+def rules():
+    return [("given", F.col("v").isNotNull()), ("small", F.col("v") <= 10)]
+
+
+def batch(spark, values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, v bigint")
+
+
+def test_the_gate_halts_before_a_bad_batch_and_retries_change_nothing(spark):
+    out = scratch_path(spark, "t-gate")
+    schema = batch(spark, []).schema
+    good, warned, bad = [1] * 19 + [99], [1] * 17 + [None, 11, 12], [None] * 5 + [1] * 5
+    for epoch, values in enumerate((good, warned, [])):
+        for _ in range(2):
+            GateSink(spark, out, "t", rules()).take(batch(spark, values), epoch)
+    with pytest.raises(GateOpen, match="5 of 10 rows"):
+        GateSink(spark, out, "t", rules()).take(batch(spark, bad), 3)
+    sink = GateSink(spark, out, "t", rules())
+    assert sink.read("table", schema).count() == 36 and sink.read("halted", schema).count() == 10
+    assert sorted((r.v, r.reason) for r in sink.read("quarantine", schema).filter("v IS NOT NULL").collect()) == [(11, "small"), (12, "small"), (99, "small")]
+    states = {r.epoch: (r.state, r.rows, r.passed, r.failures) for r in spark.read.parquet(f"{out}/decisions").collect()}
+    assert states[0] == ("CLOSED", 20, 19, {"given": 0, "small": 1}) and states[1][0] == "HALF-OPEN"
+    assert states[2][:2] == ("CLOSED", 0) and states[3][0] == "OPEN" and states[3][3] == {"given": 5, "small": 5}
+    sink.take(batch(spark, good), 3)  # the batch as mended
+    assert sink.read("table", schema).count() == 55 and sink.read("halted", schema).count() == 0
+
+
+def test_panes_equal_copied_rows_on_odd_users(spark):
+    rows = [(BASE + dt.timedelta(minutes=7 * i), u, Decimal(i)) for i, u in enumerate([1, 1, None, -3, 40_000, 40_001, 1, None, 2, 2] * 9)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, u bigint, v decimal(12,2)")
+    aggs = {"rows": F.count(F.lit(1)), "sum_value": F.sum("v"), "users": F.count_distinct("u")}
+    want = {tuple(r) for r in W.sliding(df, "ts", "1 hour", "15 minutes", [], aggs).collect()}
+    assert {tuple(r) for r in W.sliding_panes(df, "ts", "1 hour", "15 minutes", "v", "u").collect()} == want
+    plan = W.sliding_panes(df, "ts", "1 hour", "15 minutes", "v", "u")._jdf.queryExecution().executedPlan().toString()
+    scan = plan.rindex("Scan ExistingRDD")
+    assert "Expand" not in plan[plan.rindex("bitmap_construct_agg") : scan]  # rows are not copied, panes are
+
+
+@pytest.mark.parametrize("kind", ["bigint", "timestamp_ntz", "string", "date"])
+def test_interleaved_files_are_narrow_in_both_columns(spark, kind):
+    n = 20_000
+    a = F.pmod(F.xxhash64("id"), F.lit(5000)).cast("bigint")
+    b = (F.pmod(F.xxhash64(F.col("id") + 1), F.lit(5000)) * F.pmod(F.col("id"), F.lit(7))).cast("bigint")
+    shapes = {"bigint": lambda c: c, "timestamp_ntz": lambda c: F.timestamp_seconds(c * 1000).cast("timestamp_ntz"),
+              "string": lambda c: F.lpad(c.cast("string"), 6, "0"), "date": lambda c: F.date_add(F.lit("1970-01-01").cast("date"), c.cast("int"))}
+    df = spark.range(n).select(shapes[kind](a).alias("a"), F.when(F.col("id") % 50 > 0, shapes[kind](b)).alias("b"))
+    out = scratch_path(spark, "t-morton")
+    writers.write_interleaved(df, f"{out}/both", ["a", "b"], 16)
+    writers.write_clustered(df, f"{out}/sorted", ["a", "b"], 16)
+    assert spark.read.parquet(f"{out}/both").exceptAll(df).count() == 0 and spark.read.parquet(f"{out}/both").count() == n
+
+    def opened(place, column):
+        """Files whose range holds the middle value of the column."""
+        rows = spark.read.parquet(place)
+        middle = rows.select(F.sort_array(F.collect_list(column))[n // 3].alias("m")).first().m
+        ranges = rows.groupBy(F.input_file_name().alias("f")).agg(F.min(column).alias("lo"), F.max(column).alias("hi")).collect()
+        return sum(r.lo is not None and r.lo <= middle <= r.hi for r in ranges)
+
+    assert opened(f"{out}/sorted", "b") >= 14
+    assert opened(f"{out}/both", "a") <= 8 and opened(f"{out}/both", "b") <= 8
+
+
+def test_interleaved_empty_table(spark):
+    out = scratch_path(spark, "t-morton")
+    writers.write_interleaved(spark.createDataFrame([], "a bigint, b string"), out, ["a", "b"], 4)
+    assert spark.read.parquet(out).count() == 0

@@ -280,6 +280,18 @@ def read_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT 'by_day' AS side, COUNT(*) AS rows, SUM(l_quantity) AS sum_quantity FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-03-31'
+UNION ALL SELECT 'by_part', COUNT(*), SUM(l_quantity) FROM lineitem WHERE l_partkey BETWEEN 10 AND 20""")
+def read_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One copy of the lines serves filters on the day and on the part."""
+    out = scratch_path(spark, "interleaved")
+    writers.write_interleaved(table(spark, sf_dir, "lineitem").select("l_shipdate", "l_partkey", "l_quantity"), out, ["l_shipdate", "l_partkey"], 16)
+    days = [F.lit(d).cast("timestamp_ntz") for d in ("1997-01-01", "1997-03-31")]
+    sides = {"by_day": F.col("l_shipdate").between(*days), "by_part": F.col("l_partkey").between(10, 20)}
+    found = [spark.read.parquet(out).filter(c).agg(F.lit(n).alias("side"), rows(), F.sum("l_quantity").alias("sum_quantity")) for n, c in sides.items()]
+    return found[0].unionAll(found[1])
+
+
 @query("SELECT o_orderpriority, COUNT(*) AS rows FROM orders GROUP BY o_orderpriority")
 def compact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "compact")

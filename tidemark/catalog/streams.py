@@ -5,6 +5,7 @@ Streaming queries take all available input, end, and are compared on closed wind
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tidemark.catalog.base import EV, SALES, events, mean, query, total
 from tidemark.functions.amounts import exact
 from tidemark.operators.sets import stack
 from tidemark.scratch import scratch_path
+from tidemark.streaming import gate as G
 from tidemark.streaming import late as L
 from tidemark.streaming import live as V
 from tidemark.streaming import sinks as K
@@ -321,3 +323,45 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     dim = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
     rich = K.enrich_stream(stream(spark, sf_dir), dim, "user_id").withColumn("segment", F.coalesce("segment", F.lit("-")))
     return K.drain(rich.groupBy("segment", "event_type").agg(F.count(F.lit(1)).alias("rows")), "complete", "enriched")
+
+
+#: The share of rows over this value is small; the last round also lacks every other value.
+MOST_VALUE = 150
+
+
+@query(f"""WITH e AS (SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'halted' WHEN value <= {MOST_VALUE} THEN 'table' ELSE 'quarantine' END AS part FROM events)
+SELECT part, COUNT(*) AS rows, CAST(SUM(event_id) AS BIGINT) AS sum_id FROM e GROUP BY part""")
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events land in three rounds; the gate sets bad rows aside and halts the stream before the last round's batch."""
+    df = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+    spoilt = (F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")) & (F.col("event_id") % 2 == 1)
+    df, base = df.withColumn("value", F.when(~spoilt, F.col("value"))), scratch_path(spark, "gate")
+    rules = [("value_given", F.col("value").isNotNull()), ("value_in_range", F.col("value") <= MOST_VALUE)]
+    for source in _in_rounds(spark, df, "ts", base):
+        try:
+            G.gate_stream(source, f"{base}/out", f"{base}/checkpoint", "events", rules)
+        except StreamingQueryException as halted:
+            if "quality gate open" not in str(halted):
+                raise
+    sink = G.GateSink(spark, f"{base}/out", "events", rules)
+    parts = [sink.read(p, df.schema).select(F.lit(p).alias("part"), "event_id") for p in ("table", "quarantine", "halted")]
+    return stack(parts).groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("sum_id"))
+
+
+_PANES = f"""WITH {EV}, s AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS window_start, value, user_id FROM ev, (VALUES (0), (1), (2), (3)) t(k)),
+w AS (SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, COUNT(*) AS rows, {total('value')} AS sum_value, COUNT(DISTINCT user_id) AS users FROM s GROUP BY window_start)
+SELECT * FROM w"""
+
+
+@query(_PANES)
+def sliding_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct users of sliding windows, from panes."""
+    out = W.sliding_panes(events(spark, sf_dir), "ts", "24 hours", "6 hours", "value", "user_id")
+    return out.withColumn("sum_value", F.round("sum_value", 2).cast("double"))
+
+
+@query(_PANES + " WHERE window_start + INTERVAL 24 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE")
+def stream_sliding_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = W.event_time(stream(spark, sf_dir), "ts", "10 minutes")
+    out = K.drain(W.sliding_panes(timed, "ts", "24 hours", "6 hours", "value", "user_id"), "append", "panes")
+    return plain(out, "window_start", "window_end").withColumn("sum_value", F.round("sum_value", 2).cast("double"))

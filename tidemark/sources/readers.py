@@ -85,3 +85,13 @@ def create_new(spark: SparkSession, path: str) -> bool:
     """Create an empty file; False if it is there already."""
     place, files = _place(spark, path)
     return files.createNewFile(place)
+
+
+def publish(spark: SparkSession, staged: str, place: str) -> None:
+    """Put the staged folder in the place of another by renaming it; without a staged folder the place is emptied."""
+    delete(spark, place)
+    if exists(spark, staged):
+        there, files = _place(spark, place)
+        files.mkdirs(there.getParent())
+        if not files.rename(_place(spark, staged)[0], there):
+            raise OSError(f"cannot rename {staged} to {place}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import lay_out, running
-from tidemark.sources.readers import exists
+from tidemark.sources.readers import delete, exists, publish
 
 
 def with_arrival(df: DataFrame, ts: str, key: str, every: int = 20, late: str = "2 hours", usual: str = "1 second") -> DataFrame:
@@ -49,8 +49,9 @@ def split_late(stream: DataFrame, ts: str, lateness: str, out: str, checkpoint:
     """Take what is available; rows behind the watermark go to ``out/late``, the rest to ``out/kept``.
 
     The watermark moves per micro-batch: it is the greatest event time of *earlier* batches less the
-    lateness. Each batch notes its own greatest time under ``out/marks``; all three outputs are
-    overwritten when a batch is retried, so a restart neither loses nor repeats a row.
+    lateness. A batch is evaluated once: it is staged by part, its own greatest time is read from what was
+    written and noted under ``out/marks``, and the parts are put in place by renaming. All three are
+    replaced when a batch is retried, so a restart neither loses nor repeats a row.
     """
     spark = stream.sparkSession
 
@@ -61,10 +62,16 @@ def split_late(stream: DataFrame, ts: str, lateness: str, out: str, checkpoint:
             seen = past.agg(F.max("seen").alias("m")).first()["m"]
             mark = F.lit(seen).cast("timestamp_ntz") - F.expr(f"interval {lateness}")
         behind = F.coalesce(F.col(ts) < mark, F.lit(False))
-        batch.filter(~behind).write.mode("overwrite").parquet(f"{out}/kept/epoch={epoch}")
-        late = batch.filter(behind).withColumn("watermark", mark)
-        late.write.mode("overwrite").parquet(f"{out}/late/epoch={epoch}")
-        batch.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{out}/marks/epoch={epoch}")
+        staged = f"{out}/_staged/epoch={epoch}"
+        rows = batch.withColumns({"watermark": F.when(behind, mark), "_part": F.when(behind, "late").otherwise("kept")})
+        rows.write.mode("overwrite").partitionBy("_part").parquet(staged)
+        written = spark.read.schema(batch.schema).parquet(staged)
+        written.agg(F.max(ts).alias("seen")).write.mode("overwrite").parquet(f"{out}/marks/epoch={epoch}")
+        for part in ("kept", "late"):
+            if not exists(spark, f"{staged}/_part={part}"):
+                spark.createDataFrame([], rows.drop("_part").schema).write.mode("overwrite").parquet(f"{staged}/_part={part}")
+            publish(spark, f"{staged}/_part={part}", f"{out}/{part}/epoch={epoch}")
+        delete(spark, staged)
 
     query = (
         stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

@@ -34,6 +34,23 @@ def sliding(df: DataFrame, ts: str, size: str, slide: str, keys: Sequence[str],
     return _flat(grouped, keys, aggs)
 
 
+def sliding_panes(df: DataFrame, ts: str, size: str, slide: str, value: str, user: str) -> DataFrame:
+    """Sliding windows as unions of panes: rows, sum of ``value`` and exact distinct ``user`` (a whole number).
+
+    Rows are aggregated once, into panes of one slide; ``size`` must be a multiple of ``slide``. Only panes are then
+    copied to the windows they belong to: sums add up, and the users are bitmaps that are or-ed. Batch frame, or a
+    stream with a watermark in append mode. Rows without a user count in ``rows`` and ``sum_value``.
+    """
+    pane = F.window(ts, slide).alias("pane")
+    panes = df.groupBy(pane, F.bitmap_bucket_number(F.col(user).cast("bigint")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(value).alias("sum_value"), F.bitmap_construct_agg(F.bitmap_bit_position(F.col(user).cast("bigint"))).alias("users"))
+    within = F.window(F.window_time("pane"), size, slide).alias("window")
+    parts = panes.groupBy(within, "bucket").agg(
+        F.sum("rows").alias("rows"), F.sum("sum_value").alias("sum_value"), F.bitmap_or_agg("users").alias("users"))
+    users = F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("users")).otherwise(0))
+    return _flat(parts.groupBy("window").agg(F.sum("rows").alias("rows"), F.sum("sum_value").alias("sum_value"), users.alias("users")), ["rows", "sum_value", "users"], {})
+
+
 def rank_in_window(counted: DataFrame, key: str, n: int) -> DataFrame:
     """Best keys of each window of a finished count (window_start, key, rows)."""
     w = Window.partitionBy("window_start").orderBy(F.col("rows").desc(), key)
