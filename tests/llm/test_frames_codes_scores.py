@@ -157,8 +157,13 @@ def test_pivots_prune_and_ties_go_to_the_lower_entry():
 
 
 def toy_model(texts):
-    counts = Counter(b for t in texts for b in b" ".join([*lm.words(t), b"\xff"]))
-    code, bits = lm.Code.of([counts[b] for b in range(256)]), lm.table_bits(1)
+    counts = np.zeros((256, 256), np.int64)
+    for t in texts:
+        data = b" " + b" ".join([*lm.words(t), b"\xff"])
+        for pair in zip(data, data[1:]):
+            counts[pair] += 1
+    counts[255] = counts[32]
+    code, bits = lm.Code.of(counts), lm.table_bits(1)
     tables = {name: np.zeros(2 << bits[name], np.int64) for name in lm.CONTEXTS}
     lm.count_pairs([p for t in texts for p in lm.chunks(lm.words(t))], code, tables)
     weights = np.random.default_rng(5).normal(0.4, 0.3, (lm.GATES, len(lm.CONTEXTS) + 1))
@@ -172,10 +177,18 @@ def test_probabilities_sum_to_one():
         assert abs(np.exp(logs).sum() - 1) < 1e-5
 
 
-def test_code_is_prefix_free_and_complete():
-    code = lm.Code.of([0] * 200 + list(range(56)))
-    paths = [tuple(code.paths[s : s + n] & 1) for s, n in zip(code.start, code.length)]
-    assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 256
+def test_codes_are_prefix_free_and_complete(spark):
+    counts = np.zeros((256, 256), np.int64)
+    counts[97, 200:] = np.arange(56)
+    counts[32, 97] = 10**12
+    code = lm.Code.of(counts)
+    for before in (97, 32, 7):
+        paths = [tuple(code.paths[s : s + n] & 1) for s, n in zip(code.start[256 * before :][:256], code.length[256 * before :][:256])]
+        assert abs(sum(2.0 ** -len(p) for p in paths) - 1) < 1e-12 and len(set(paths)) == 256
+    tokens = spark.createDataFrame([(b"ab", 2), (b"a", 5), (None, 3)], "token binary, n long")
+    found = lm.byte_counts(tokens)
+    assert {(chr(a), chr(b)): int(found[a, b]) for a, b in zip(*found.nonzero()) if a != 255} == {
+        (" ", "a"): 7, ("a", "b"): 2, ("b", " "): 2, ("a", " "): 5, (" ", "\xff"): 3}
 
 
 def test_contexts_see_only_what_stands_before_and_weights_move():

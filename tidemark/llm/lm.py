@@ -2,7 +2,7 @@
 
 **Text.** Lower-cased words joined by blanks, closed by a byte that UTF-8 never uses: the model gives the
 probability of the sequence of tokens, as the base does. A byte is predicted as the bits of a prefix code
-built from the corpus' byte counts, so common bytes cost few predictions.
+built from the corpus' counts of bytes after each byte, so common bytes cost few predictions.
 
 **Predictors.** Each context has a table of slots. A bit falls into the slot of the hash of its context and its
 place in the code; a slot counts zeros and ones over all training documents and predicts the log-odds.
@@ -26,8 +26,9 @@ others of a document meet their counts in a shuffle join.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -66,10 +67,10 @@ PRIOR = 0.4
 #: Texts are read in chunks of so many bytes; contexts reach back so far.
 CHUNK, REACH = 1 << 20, 256
 #: Bytes, and tokens, counted at once.
-AT_ONCE, COUNT_AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 21, 1 << 16
+AT_ONCE, COUNT_AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 20, 1 << 15
 FREQUENT, FREQUENT_BYTES = 1 << 16, 64
 #: Distinct tokens a task counts before it sends them on.
-MEMO_TOKENS = 400_000
+MEMO_TOKENS = 200_000
 #: Counting tasks are not made fewer than this.
 LEAST_TASKS = 4
 
@@ -93,41 +94,49 @@ def words(text: str | None) -> list[bytes]:
 
 # Prefix code
 
+def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
+    """The path (inner node, bit) of every byte in the Huffman tree of 256 counts; nodes often met have low numbers."""
+    heap: list[tuple[int, int, object]] = [(256 * c + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    made = 256
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (a[0] + b[0], made, (a[2], b[2])))
+        made += 1
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+    todo, number = [(heap[0][2], [])], 0
+    while todo:
+        tree, path = todo.pop()
+        if isinstance(tree, int):
+            paths[tree] = path
+        else:
+            todo += [(tree[bit], [*path, (number, bit)]) for bit in (0, 1)]  # the heavier branch comes next
+            number += 1
+    return paths
+
+
 @dataclass(frozen=True)
 class Code:
-    """A prefix code over bytes, flattened: for each byte its path of (inner node, bit), as ``2 * node + bit``."""
+    """Prefix codes of bytes, one for each byte before, flattened: paths of (inner node, bit), as ``2 * node + bit``."""
 
     start: np.ndarray
     length: np.ndarray
     paths: np.ndarray
 
     @classmethod
-    def of(cls, counts: list[int]) -> "Code":
-        """Huffman code of 256 counts; bytes that do not occur have long codes."""
-        heap: list[tuple[int, int, object]] = [(256 * c + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        made = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], made, (a[2], b[2])))
-            made += 1
-        paths: list[list[tuple[int, int]]] = [[] for _ in range(256)]
-        todo, number = [(heap[0][2], [])], 0
-        while todo:
-            tree, path = todo.pop()
-            if isinstance(tree, int):
-                paths[tree] = path
-            else:
-                todo += [(tree[bit], [*path, (number, bit)]) for bit in (0, 1)]
-                number += 1
+    def of(cls, counts: np.ndarray) -> "Code":
+        """Huffman codes of counts by byte before and byte; all that never occurs before anything shares one code."""
+        shared = _paths(counts.sum(axis=0).tolist())
+        paths = [path for row in counts for path in (_paths(row.tolist()) if row.any() else shared)]
         length = np.array([len(p) for p in paths], np.int32)
         return cls((np.cumsum(length) - length).astype(np.int32), length, np.array([2 * n + bit for p in paths for n, bit in p], np.uint16))
 
-    def spell(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many bits each byte of ``data`` has; for every bit its node, and itself."""
-        length = self.length[data]
+    def spell(self, before: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many bits each byte of ``data`` has after the byte ``before`` it; for every bit its node, and itself."""
+        pair = before.astype(np.int32) << 8 | data
+        length = self.length.take(pair)
         ends = np.cumsum(length, dtype=np.int32)
-        at = np.repeat(self.start[data] - ends + length, length)
+        at = np.repeat(self.start.take(pair) - ends + length, length)
         at += np.arange(len(at), dtype=np.int32)
         path = self.paths.take(at)
         return length, path >> 1, path & 1
@@ -233,9 +242,9 @@ def count_pairs(pairs: list[tuple[bytes, bytes]], code: Code, tables: dict[str,
     """
     data, starts, sizes = join(pairs)
     inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    bytes_ = data[inside].astype(np.uint64)
+    pairs_ = data[inside - 1].astype(np.uint64) << np.uint64(8) | data[inside]
     for (name, table), h in zip(tables.items(), hashes(data, tuple(tables))):
-        keys = (h[inside].astype(np.uint64) << np.uint64(8)) | bytes_
+        keys = (h[inside].astype(np.uint64) << np.uint64(16)) | pairs_
         if times is None:
             keys.sort()
         else:
@@ -244,8 +253,8 @@ def count_pairs(pairs: list[tuple[bytes, bytes]], code: Code, tables: dict[str,
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(first, append=len(keys)) if times is None else np.add.reduceat(weights, first)
         keys = keys[first]
-        length, nodes, values = code.spell((keys & np.uint64(255)).astype(np.uint8))
-        at = slots((keys >> np.uint64(8)).astype(np.uint32), length, nodes, (len(table) // 2).bit_length() - 1)
+        length, nodes, values = code.spell((keys >> np.uint64(8)).astype(np.uint8), keys.astype(np.uint8))
+        at = slots((keys >> np.uint64(16)).astype(np.uint32), length, nodes, (len(table) // 2).bit_length() - 1)
         np.add.at(table, 2 * at.astype(np.int64) + values, np.repeat(n.astype(table.dtype), length))
 
 
@@ -305,8 +314,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, {2: "<u2", 4: "<u4", 8: "<u8"}[len(data) // (2 * BLOCK_SLOTS)]).astype(np.int64)
 
 
-def sum_counts(partial: DataFrame, bits: dict[str, int]) -> DataFrame:
-    """Blocks of partial counts added up. Rows of a block stream through one task, which holds sums only."""
+def sum_counts(partial: DataFrame, bits: dict[str, int], finish: Callable[[np.ndarray], bytes] = _pack) -> DataFrame:
+    """Blocks of partial counts added up, and what ``finish`` makes of them.
+
+    Rows of a block stream through one task, which holds sums only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
@@ -315,7 +327,7 @@ def sum_counts(partial: DataFrame, bits: dict[str, int]) -> DataFrame:
                 counts = _unpack(data.as_py())
                 sums[context, block] = sums[context, block] + counts if (context, block) in sums else counts
         for (context, block), counts in sums.items():
-            columns = [pa.array([context], pa.int32()), pa.array([block], pa.int32()), pa.array([_pack(counts)], pa.binary())]
+            columns = [pa.array([context], pa.int32()), pa.array([block], pa.int32()), pa.array([finish(counts)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["context", "block", "counts"])
 
     blocks = sum(1 << b for b in bits.values()) // BLOCK_SLOTS
@@ -328,18 +340,12 @@ def odds_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(STEPS * np.log((pairs[:, 1] + PRIOR) / (pairs[:, 0] + PRIOR))), -127, 127).astype(np.int8)
 
 
-def log_odds(counts: DataFrame, bits: dict[str, int]) -> dict[str, np.ndarray]:
-    """The tables on the driver, a byte a slot: at most 2 ** MOST_BITS bytes a context."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            odds = [odds_of(_unpack(data.as_py())).tobytes() for data in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(odds, pa.binary())], ["context", "block", "odds"])
-
+def log_odds(partial: DataFrame, bits: dict[str, int]) -> dict[str, np.ndarray]:
+    """The tables of summed counts on the driver, a byte a slot: at most 2 ** MOST_BITS bytes a context."""
     tables = {name: np.zeros(1 << bits[name], np.int8) for name in CONTEXTS}
-    for row in counts.mapInArrow(run, "context int, block int, odds binary").collect():
+    for row in sum_counts(partial, bits, lambda counts: odds_of(counts).tobytes()).collect():
         at = row["block"] * BLOCK_SLOTS
-        tables[CONTEXTS[row["context"]]][at : at + BLOCK_SLOTS] = np.frombuffer(row["odds"], np.int8)
+        tables[CONTEXTS[row["context"]]][at : at + BLOCK_SLOTS] = np.frombuffer(row["counts"], np.int8)
     return tables
 
 
@@ -426,7 +432,7 @@ class Model:
             many = np.minimum(size[alive] - step * BLOCK, BLOCK)
             before = np.cumsum(many) - many
             inside = np.repeat(first[alive] + step * BLOCK - before, many) + np.arange(many.sum())
-            length, nodes, values = self.code.spell(data[inside])
+            length, nodes, values = self.code.spell(data[inside - 1], data[inside])
             odds = [t.take(slots(h[inside], length, nodes, len(t).bit_length() - 1)) for h, t in zip(found, self.tables.values())]
             gate = np.zeros(len(nodes), np.int32)
             for place, k in enumerate(GATED):
@@ -488,28 +494,36 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return partial.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_fit").alias("n_fit"))
 
 
-def byte_counts(tokens: DataFrame) -> list[int]:
-    """How often each byte stands in the training text."""
+def byte_counts(tokens: DataFrame) -> np.ndarray:
+    """How often each byte follows each byte in the training text; a document begins as after a blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, COUNT_TOKENS):
                 some = batch.slice(at, COUNT_TOKENS)
-                spelled = [bytes([END]) if t is None else t + bytes([BLANK]) for t in some.column(0).to_pylist()]
-                times = np.repeat(some.column(1).to_numpy(zero_copy_only=False), [len(t) for t in spelled])
-                np.add.at(total, np.frombuffer(b"".join(spelled), np.uint8), times)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
-
-    rows = tokens.select("token", "n").mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    found = {r["byte"]: r["n"] for r in rows}
-    return [found.get(b, 0) for b in range(256)]
+                spelled = [bytes([BLANK, END]) if t is None else b" " + t + b" " for t in some.column(0).to_pylist()]
+                lengths = np.array([len(t) for t in spelled])
+                data = np.frombuffer(b"".join(spelled), np.uint8)
+                times = np.repeat(some.column(1).to_numpy(zero_copy_only=False), lengths)
+                times[np.cumsum(lengths) - lengths] = 0  # the blank before is not counted
+                np.add.at(total, data[:-1].astype(np.int64) << 8 | data[1:], times[1:])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["pair", "n"])
+
+    rows = tokens.select("token", "n").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((256, 256), np.int64)
+    for r in rows:
+        counts[divmod(r["pair"], 256)] = r["n"]
+    counts[END] = counts[BLANK]
+    return counts
 
 
 def fit(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: str) -> Model:
     """Learn code, tables and weights from the training documents and their token counts."""
     counts = byte_counts(tokens)
-    bits, code, total = table_bits(sum(counts)), Code.of(counts), sum(counts)
+    total = int(counts.sum() - counts[END].sum())
+    bits, code = table_bits(total), Code.of(counts)
 
     def tasks(names: tuple[str, ...], n_bytes: int) -> int:
         """So few that the tables they send are no larger than what they read."""
@@ -527,7 +541,7 @@ def fit(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: str) -> Model
     model = Model(code, log_odds(rest, bits), np.tile(starting(), (GATES, 1)))
     model = fit_weights(model, learned.filter(fits_weights(id_col)), text_col)
     added = counted(learned.filter(fits_weights(id_col)), F.col("n_fit"), "lm-added")
-    return replace(model, tables=log_odds(sum_counts(rest.union(added), bits), bits))
+    return replace(model, tables=log_odds(rest.union(added), bits))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -549,8 +563,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ended, whole = (ends[0]["n"] if ends else 0), n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, base_of = frequent.value, {t: np.log10((c + 0.1) / whole) for t, c in frequent.value.items()}
-        end_score = np.log10((ended + 0.1) / whole)
+        base_of = {t: math.log10((c + 0.1) / whole) for t, c in frequent.value.items()}
+        end_score = math.log10((ended + 0.1) / whole)
         for batch in slices(batches):
             documents = [words(t) for t in batch.column(2).to_pylist()]
             logs = np.zeros(len(documents))
@@ -558,10 +572,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 np.add.at(logs, owners, model.value.score(group))
             seen, base, rare = [], [], []
             for tokens_ in documents:
-                counts = Counter(tokens_)
-                seen.append(sum(k for t, k in counts.items() if t in common) + (ended > 0))
-                base.append(sum(k * base_of[t] for t, k in counts.items() if t in common) + end_score)
-                rare.append([(t, k) for t, k in counts.items() if t not in common])
+                known, total, others = int(ended > 0), end_score, []
+                for t, k in Counter(tokens_).items():
+                    one = base_of.get(t)
+                    if one is None:
+                        others.append((t, k))
+                    else:
+                        known += k
+                        total += k * one
+                seen.append(known)
+                base.append(total)
+                rare.append(others)
             offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
             flat = pa.StructArray.from_arrays(
                 [pa.array([t for r in rare for t, _ in r], pa.binary()), pa.array([k for r in rare for _, k in r], pa.int64())], ["token", "k"])
