@@ -13,6 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
+from tidemark.operators import joins as J
+from tidemark.operators import profile as P
 from tidemark.plans.partials import Measure, PartialStore
 from tidemark.scratch import scratch_path
 
@@ -124,3 +126,42 @@ def test_a_fold_reads_the_wanted_periods_only(spark):
     kept.refresh(trips(spark, ROWS))
     plan = kept.fold({"zone": F.col("zone")}, F.col("day") == F.lit("2024-01-02").cast("date"))._jdf.queryExecution().toString()
     assert plan.count("PartitionFilters: [isnotnull(day") == 2
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_carried_versions_equal_the_join_on_a_long_history_and_a_hot_key(spark, how):
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n)
+    dim = spark.range(10_000).select(F.lit("hot").alias("k"), day(F.col("id").cast("int") * 3).alias("valid_from"), day(F.col("id").cast("int") * 3 + 1).alias("valid_to"),
+                                     F.col("id").alias("version"), F.when(F.col("id") % 7 > 0, "x").alias("note"))
+    more = spark.sql("SELECT 'one' AS k, DATE '2001-01-01' AS valid_from, DATE '9999-12-31' AS valid_to, -1L AS version, 'y' AS note UNION ALL SELECT NULL, DATE '2000-01-01', DATE '9999-12-31', -2L, 'z'")
+    dim = dim.unionAll(more)
+    keys = F.element_at(F.array(F.lit("hot"), F.lit("hot"), F.lit("hot"), F.lit("one"), F.lit(None), F.lit("none")), (F.col("id") % 6 + 1).cast("int"))
+    fact = spark.range(3000).select("id", keys.alias("k"), (day((F.pmod(F.xxhash64("id"), F.lit(40_000)) - 2000).cast("int"))).cast("timestamp_ntz").alias("at"))
+    want = J.as_of_version(fact, dim, "k", "at", how).select("id", "k", "at", "valid_from", "valid_to", "version", "note")
+    got = J.as_of_running(fact, dim, "k", "at", how)
+    assert got.columns == want.columns and got.count() == want.count() > 300
+    assert got.exceptAll(want).count() == 0
+
+
+def plain_top(rows, c, k):
+    counts = {}
+    for r in rows:
+        counts[r[c]] = counts.get(r[c], 0) + 1
+    return sorted(((c, None if v is None else str(v), n) for v, n in counts.items()), key=lambda x: (-x[2], x[1] is not None, x[1] or ""))[:k]
+
+
+@pytest.mark.parametrize("fullest", [64, 2])
+def test_top_values_equal_full_counts(spark, monkeypatch, fullest):
+    monkeypatch.setattr(P, "FULLEST", fullest)
+    monkeypatch.setattr(P, "BUCKETS", 32)
+    draw = random.Random(4)
+    rows = [(i, draw.choice(["a", "b", None, "c"]) if i % 3 else f"r{i}", int(draw.paretovariate(0.7)) % 10_000, draw.choice([0.5, -1.0])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, s string, p bigint, d double").repartition(4)
+    got = [tuple(r) for r in P.top_values(df, ["k", "s", "p", "d"], 3).collect()]
+    for i, c in enumerate(["k", "s", "p", "d"]):
+        own = [g for g in got if g[0] == c]
+        want = plain_top([{c: r[i]} for r in rows], c, 3)
+        assert sorted(n for *_, n in own) == sorted(n for *_, n in want)
+        if c != "k":
+            assert sorted(own, key=repr) == sorted(want, key=repr)
+    assert P.top_values(df.limit(0), ["k", "s"], 3).count() == 0

@@ -177,6 +177,15 @@ def join_version_of_the_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy(F.col("c_mktsegment").alias("segment")).agg(rows())
 
 
+@query("""SELECT o_orderkey, CASE WHEN c_acctbal < 0 AND o_orderdate >= TIMESTAMP '1998-07-01' THEN 'MOVED' ELSE c_mktsegment END AS segment
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def join_version_carried_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same versions, met by one running value instead of a join."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    hist = customer_history(spark, sf_dir).withColumnRenamed("c_custkey", "o_custkey").select("o_custkey", "valid_from", "valid_to", "c_mktsegment")
+    return J.as_of_running(orders, hist, "o_custkey", "o_orderdate", "inner").select("o_orderkey", F.col("c_mktsegment").alias("segment"))
+
+
 @query("""SELECT l_linenumber, COUNT(*) FILTER (WHERE seen) AS seen_rows, COUNT(*) FILTER (WHERE NOT seen) AS new_rows
 FROM (SELECT l_linenumber, EXISTS (SELECT 1 FROM lineitem b WHERE b.l_shipdate < TIMESTAMP '1998-01-01'
   AND b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber) AS seen

@@ -365,3 +365,19 @@ def stream_sliding_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     timed = W.event_time(stream(spark, sf_dir), "ts", "10 minutes")
     out = K.drain(W.sliding_panes(timed, "ts", "24 hours", "6 hours", "value", "user_id"), "append", "panes")
     return plain(out, "window_start", "window_end").withColumn("sum_value", F.round("sum_value", 2).cast("double"))
+
+
+@query("""SELECT * FROM (SELECT date_trunc('minute', ts) AS minute, event_type, COUNT(*) AS rows FROM events GROUP BY ALL)
+WHERE minute + INTERVAL 1 MINUTE <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts per minute and type, as minutes close."""
+    return plain(K.drain(V.per_minute(W.event_time(stream(spark, sf_dir), "ts", "10 minutes"), "ts", ["event_type"]), "append", "per-minute"), "minute")
+
+
+@query(f"WITH {EV} SELECT event_type, COUNT(*) AS rows, {total('value')} AS sum_value, {mean('value')} AS avg_value FROM ev GROUP BY event_type")
+def stream_value_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value so far by type: every batch writes the types it changed, and the newest row of each counts."""
+    df, base = events(spark, sf_dir).select("ts", "event_type", "value"), scratch_path(spark, "by-type")
+    for source in _in_rounds(spark, df, "ts", base):
+        out = K.drain(V.running_counts(source, ["event_type"], "value"), "update", "by-type", keys=["event_type"])
+    return out

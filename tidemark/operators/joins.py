@@ -9,6 +9,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import lay_out, running
+
 BROADCAST_LIMIT = 32 * 1024 * 1024
 
 
@@ -147,3 +149,24 @@ def as_of_version(fact: DataFrame, dim: DataFrame, key: str, ts: str, how: str =
     day = F.to_date(F.col(ts))
     on = (F.col(key) == F.col("_dim_key")) & day.between(F.col("valid_from"), F.col("valid_to"))
     return fact.join(versions, on, how).drop("_dim_key")
+
+
+def as_of_running(fact: DataFrame, dim: DataFrame, key: str, ts: str, how: str = "left") -> DataFrame:
+    """:func:`as_of_version` for long histories and hot keys, without pairing a row with every version of its key.
+
+    Rows and versions are laid out in one order by key and day over ranges, and the version that began last is
+    carried forward to the rows after it; it holds if the day is not past its end. A row meets one version
+    at most: where versions overlap, the one that began last. A null key meets none.
+    """
+    versions = F.struct("valid_from", *[c for c in dim.columns if c not in (key, "valid_from")])
+    empty_fact, empty_version = fact.select(F.struct("*").alias("f")).schema["f"].dataType, dim.select(versions.alias("v")).schema["v"].dataType
+    rows = fact.select(F.col(key).alias("_key"), F.to_date(F.col(ts)).alias("_day"), F.lit(1).alias("_row"), F.struct("*").alias("_fact"),
+                       F.lit(None).cast(empty_version).alias("_version"))
+    starts = dim.filter(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col("valid_from").alias("_day"), F.lit(0).alias("_row"), F.lit(None).cast(empty_fact).alias("_fact"), versions.alias("_version"))
+    laid = lay_out(rows.unionAll(starts), ["_key"], ["_day", "_row"])
+    met = running(laid, ["_key"], ["_day", "_row"], {"_last": ("max", F.col("_version"))}).filter("_row = 1")
+    holds = F.col("_key").isNotNull() & (F.col("_day") <= F.col("_last.valid_to"))
+    met = met.withColumn("_last", F.when(holds, F.col("_last")))
+    out = met if how == "left" else met.filter(F.col("_last").isNotNull())
+    return out.select("_fact.*", *[F.col(f"_last.{c}").alias(c) for c in dim.columns if c != key])

@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.scratch import materialise
+
 
 def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: nulls, distinct values, range, mean, deviation, negatives.
 
-    Distinct counts are sketches unless ``exact_distinct``; exact ones cost a shuffle per column.
+    Distinct counts are sketches unless ``exact_distinct``; exact ones shuffle the distinct cells as text.
     """
     def stats(field: T.StructField) -> list[Column]:
         c = F.col(field.name)
@@ -57,14 +59,47 @@ def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     return row.select(F.inline(F.array(*lines)))
 
 
+#: Hash buckets of a column's values, and the fullest of them whose values are counted.
+BUCKETS, FULLEST = 4096, 64
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
-    """Most frequent values of each column; ties by value."""
-    def one(c: str) -> DataFrame:
-        counted = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
-        best = counted.orderBy(F.col("occurrences").desc(), "value").limit(k)
-        return best.select(F.lit(c).alias("column_name"), "value", "occurrences")
+    """Most frequent values of each column, as text; ties by value.
 
-    return reduce(DataFrame.unionAll, [one(c) for c in columns])
+    One scan counts the rows of every column's hash buckets; a second counts the values in the fullest
+    buckets only. A value in another bucket is no more frequent than its bucket is full, so where the last
+    of the ``k`` values found is more frequent than that, they are the most frequent ones. Columns without
+    such values, keys for instance, are counted whole.
+    """
+    def bucket(c: str) -> Column:
+        exact = (T.IntegralType, T.StringType, T.DecimalType, T.DateType, T.BooleanType)
+        value = F.col(c) if isinstance(df.schema[c].dataType, exact) else F.col(c).cast("string")
+        return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), bucket(c).alias("b")) for i, c in enumerate(columns)])
+    full: dict[int, list] = {i: [] for i in range(len(columns))}
+    for r in df.select(F.inline(cells)).groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most BUCKETS a column
+        full[r["c"]].append((r["n"], r["b"]))
+    chosen, bound = {}, {}
+    for i, found in full.items():
+        found.sort(reverse=True)
+        most = max(FULLEST, 4 * k)
+        chosen[i], bound[i] = [b for _, b in found[:most]], found[most][0] if len(found) > most else 0
+    wanted = F.array(*[
+        F.when(bucket(c).isin(chosen[i]), F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("value"))) for i, c in enumerate(columns)
+    ])
+    counted = materialise(df.select(F.explode(F.array_compact(wanted)).alias("x")).groupBy("x.c", "x.value").agg(F.count(F.lit(1)).alias("n")), "top-values")
+    order = [F.col("n").desc(), "value"]
+
+    def one(i: int, c: str) -> DataFrame:
+        best = counted.filter(F.col("c") == i).orderBy(*order).limit(k)
+        last = best.agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("n")).first()
+        proven = bound[i] == 0 or (last["found"] == k and last["n"] > bound[i])
+        if not proven:
+            best = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(*order).limit(k)
+        return best.select(F.lit(c).alias("column_name"), "value", F.col("n").alias("occurrences"))
+
+    return reduce(DataFrame.unionAll, [one(i, c) for i, c in enumerate(columns)])
 
 
 def sample_values(df: DataFrame, columns: Sequence[str], k: int = 3) -> DataFrame:
