@@ -247,3 +247,49 @@ def test_lm_query_equals_brute_force_and_beats_its_base(spark):
     assert {(*r[:5], round(r["base_score"], 6)) for r in got} == brute_base(list(zip(docs.doc_id, docs.text)))
     held = [r for r in got if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_decoding_equals_the_library_on_ids_of_any_origin():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, draw = Tokenizer.from_file(path), bpe.Codec(path), np.random.default_rng(9)
+    for n in (0, 1, 7, 500):
+        ids = [int(i) for i in draw.integers(0, 49_408, n)]
+        assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert own.decode([49_406, 320, 49_407]) == library.decode([49_406, 320, 49_407], skip_special_tokens=False)
+    assert own.decode([10**7]) == library.decode([10**7], skip_special_tokens=False) == ""
+
+
+def test_fragments_equal_merging_one_pair_at_a_time():
+    import public_tokenizers
+
+    from tidemark.llm import bpe
+
+    own, draw = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), np.random.default_rng(2)
+
+    def merged(parts):
+        while True:
+            found = [(own.ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in own.ranks]
+            if not found:
+                return parts
+            _, i = min(found)
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+    for _ in range(400):
+        word = "".join(draw.choice(list("aaaeinorst'éß"), int(draw.integers(1, 90))))
+        symbols = tuple(own.symbols(word))
+        assert own.encode_fragment(symbols) == merged(list(symbols))
+
+
+def test_memo_keeps_what_is_in_use():
+    from tidemark.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or len(k), 10, longest=5)
+    for i in range(100):
+        assert memo["hot"] == 3 and memo[f"k{i}"] == len(f"k{i}") and memo["long one"] == 8
+    assert made.count("hot") == 1 and made.count("long one") == 100 and len(memo) + len(memo.old) <= 10

@@ -2,7 +2,8 @@
 
 A pair of adjacent symbols that occurs inside no vocabulary token can never be bridged by a merge, so
 every such pair is a certain cut. A word is cut there, its fragments are encoded independently (and
-memoised, since fragments recur far more often than words), and their ids are concatenated.
+memoised, since fragments recur far more often than words), and their ids are concatenated. Decoding goes from
+ids to the vocabulary's strings.
 
 A *symbol* is one byte of the text in byte-level spelling; the last byte of a word carries the end
 mark, so "n" inside a word and "n" at its end are different symbols.
@@ -28,6 +29,7 @@ MEMO_WORDS = 300_000
 MEMO_FRAGMENTS = 200_000
 #: Longer fragments are encoded with a heap: the simple loop is quadratic.
 HEAP_FROM = 48
+NO_RANK = 1 << 62
 
 
 def byte_spelling() -> list[str]:
@@ -82,16 +84,16 @@ class WordBpe:
         """Tokens of a fragment: the pair of lowest rank is merged, the leftmost first, until none is left."""
         if len(fragment) >= HEAP_FROM:
             return self._encode_long(fragment)
-        parts, ranks = list(fragment), self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(parts, parts[1:])):
-                rank = ranks.get(pair)
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
+        parts, rank = list(fragment), self.ranks.get
+        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) < NO_RANK:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), NO_RANK)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), NO_RANK)
         return parts
 
     def _encode_long(self, fragment: tuple[str, ...]) -> list[str]:
@@ -133,40 +135,42 @@ class WordBpe:
 
 
 class Codec:
-    """Encodes and decodes texts; chunks between blanks and fragments are memoised."""
+    """Encodes texts to ids and decodes ids to texts; chunks between blanks and fragments are memoised."""
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
         self.fragment = Memo(self.bpe.encode_fragment, MEMO_FRAGMENTS)
         self.chunk = Memo(self._chunk, MEMO_WORDS)
+        self.tokens = {i: t for t, i in (self.bpe.ids | self.bpe.specials).items()}
 
-    def _chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their strings, each preceded by a blank."""
+    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
+        """The ids of a chunk, and as decimals, each preceded by a blank."""
         b, tokens = self.bpe, []
         for word in b.pre_tokens(chunk):
             for fragment in b.fragments(b.symbols(word)):
                 tokens += self.fragment[fragment]
-        return len(tokens), "".join(f" {b.ids[t]}" for t in tokens), "".join(f" {t}" for t in tokens)
-
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Token count, decimal ids joined by blanks, and the decoded text.
+        ids = tuple([b.ids[t] for t in tokens])
+        return ids, "".join([f" {i}" for i in ids])
 
-        The tokenizer file names no decoder, so decoding joins the token strings by blanks, specials
-        included.
-        """
-        n, ids, tokens = 0, [], []
+    def encode(self, text: str) -> tuple[list[int], str]:
+        """The ids of a text, and as decimals joined by blanks."""
+        ids: list[int] = []
+        decimals: list[str] = []
         for part, special in self.bpe.pieces(text):
             if special is not None:
-                n += 1
-                ids.append(f" {special}")
-                tokens.append(f" {part}")
+                ids.append(special)
+                decimals.append(f" {special}")
                 continue
-            runs = part.split() if is_plain(part) else part.split(" ")
-            rows = list(map(self.chunk.__getitem__, runs))
-            n += sum(r[0] for r in rows)
-            ids += [r[1] for r in rows]
-            tokens += [r[2] for r in rows]
-        return n, "".join(ids)[1:], "".join(tokens)[1:]
+            for run in part.split() if is_plain(part) else part.split(" "):
+                own, text_of = self.chunk[run]
+                ids += own
+                decimals.append(text_of)
+        return ids, "".join(decimals)[1:]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, specials included. The tokenizer file names no decoder, so the tokens' strings are joined
+        by blanks; ids outside the vocabulary have none and are passed over."""
+        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
 
 
 @lru_cache(maxsize=2)
@@ -190,10 +194,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         for batch in slices(batches):
             n, ids, decoded = [], [], []
             for text in batch.column(1).to_pylist():
-                k, i, t = own.encode(text or "")
-                n.append(k)
-                ids.append(hashlib.sha256(i.encode()).hexdigest())
-                decoded.append(hashlib.sha256(t.encode()).hexdigest())
+                found, decimals = own.encode(text or "")
+                n.append(len(found))
+                ids.append(hashlib.sha256(decimals.encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(found).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],

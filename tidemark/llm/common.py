@@ -24,24 +24,25 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Memo(dict):
-    """A memo table of bounded size: when full it starts afresh, keeping the entries used first.
+    """A memo table of bounded size in two generations: when the young one is full it becomes the old one.
 
-    Keys of ``longest`` or more characters are computed but not kept. Only speed depends on what it
-    holds, never a result.
+    Entries of the old one that are asked for again become young, so what is in use stays. Keys of
+    ``longest`` or more characters are computed but not kept. Only speed depends on what it holds, never a result.
     """
 
     def __init__(self, compute: Callable, limit: int, longest: int = 100):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
-        if len(key) >= self.longest:
-            return self.compute(key)
-        if len(self) >= self.limit:
-            kept = [(k, self[k]) for k, _ in zip(self, range(self.limit // 4))]
+        if (value := self.old.get(key)) is None:
+            value = self.compute(key)
+            if len(key) >= self.longest:
+                return value
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
             self.clear()
-            self.update(kept)
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value
 
 
