@@ -13,7 +13,7 @@ from tidemark.catalog.scalars import HUBS, ended_events
 from tidemark.functions.amounts import mean as avg_money
 from tidemark.functions.scalars import bucket
 from tidemark.functions.times import day_type
-from tidemark.operators.aggregates import min_support
+from tidemark.operators.aggregates import correlations, min_support
 from tidemark.operators.sets import stack_by_name
 from tidemark.operators.windows import agg_rank, top_n_per
 from tidemark.plans import gold as G
@@ -352,7 +352,7 @@ def factor_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_BANDED} SELECT 'level' AS x, 'rows' AS y, round(corr(level, rows), 8) AS correlation FROM j
 UNION ALL SELECT 'level', 'sum_value', round(corr(level, sum_value), 8) FROM j""")
 def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = G.factor_correlations(factor_days(spark, sf_dir), ["level"], ["rows", "sum_value"])
+    out = correlations(factor_days(spark, sf_dir), ["level"], ["rows", "sum_value"])
     return out.withColumn("correlation", F.round("correlation", 8))
 
 

@@ -19,11 +19,16 @@ REGION_GROUPS = {
 }
 
 
+# Upper edges of the distance and fare classes, hours of the times of day, last hours of the parts of a day.
+DISTANCES = ((1, "short"), (5, "medium"), (15, "long")), "very_long"
+FARES = ((10, "cheap"), (30, "moderate"), (75, "expensive")), "premium"
+TIMES = ((6, 9, "morning_rush"), (10, 15, "midday"), (16, 19, "evening_rush"), (20, 23, "evening")), "overnight"
+DAY_PARTS = ((3, "late_night"), (6, "early_morning"), (9, "morning_rush"), (15, "midday"), (19, "evening_rush")), "evening"
+
+
 def distance_class(c: str | Column) -> Column:
-    c = _col(c)
-    return bucket(
-        [(c.isNull(), "unknown"), (c <= 1, "short"), (c <= 5, "medium"), (c <= 15, "long")], "very_long"
-    )
+    c, (edges, rest) = _col(c), DISTANCES
+    return bucket([(c.isNull(), "unknown"), *[(c <= edge, label) for edge, label in edges]], rest)
 
 
 def region_of(c: str | Column) -> Column:
@@ -35,39 +40,21 @@ def region_of(c: str | Column) -> Column:
 
 
 def time_of_day(hour: str | Column) -> Column:
-    hour = _col(hour)
-    return F.when(hour.isNotNull(), bucket(
-        [
-            (hour.between(6, 9), "morning_rush"),
-            (hour.between(10, 15), "midday"),
-            (hour.between(16, 19), "evening_rush"),
-            (hour.between(20, 23), "evening"),
-        ],
-        "overnight",
-    ))
+    hour, (spans, rest) = _col(hour), TIMES
+    return F.when(hour.isNotNull(), bucket([(hour.between(a, b), label) for a, b, label in spans], rest))
 
 
 def fare_class(c: str | Column) -> Column:
-    c = _col(c)
-    return F.when(
-        c.isNotNull(),
-        bucket([(c < 10, "cheap"), (c <= 30, "moderate"), (c <= 75, "expensive")], "premium"),
-    )
+    """The first edge is excluded, the others are included."""
+    c, (edges, rest) = _col(c), FARES
+    (first, label), *more = edges
+    return F.when(c.isNotNull(), bucket([(c < first, label), *[(c <= edge, name) for edge, name in more]], rest))
 
 
 def day_part(hour: str | Column) -> Column:
     """Six parts of the day, finer than :func:`time_of_day`."""
-    hour = _col(hour)
-    return F.when(hour.isNotNull(), bucket(
-        [
-            (hour <= 3, "late_night"),
-            (hour <= 6, "early_morning"),
-            (hour <= 9, "morning_rush"),
-            (hour <= 15, "midday"),
-            (hour <= 19, "evening_rush"),
-        ],
-        "evening",
-    ))
+    hour, (edges, rest) = _col(hour), DAY_PARTS
+    return F.when(hour.isNotNull(), bucket([(hour <= edge, label) for edge, label in edges], rest))
 
 
 def tip_pct(tip: str | Column, base: str | Column) -> Column:
@@ -83,16 +70,11 @@ def tip_pct_vec(tip: pd.Series, base: pd.Series) -> pd.Series:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Make the functions callable from SQL; the first two are macros, not Python."""
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION distance_class(d DOUBLE) RETURNS STRING RETURN "
-        "CASE WHEN d IS NULL THEN 'unknown' WHEN d <= 1 THEN 'short' WHEN d <= 5 THEN 'medium' "
-        "WHEN d <= 15 THEN 'long' ELSE 'very_long' END"
-    )
-    spark.sql(
-        "CREATE OR REPLACE TEMPORARY FUNCTION time_of_day(h INT) RETURNS STRING RETURN "
-        "CASE WHEN h IS NULL THEN NULL WHEN h BETWEEN 6 AND 9 THEN 'morning_rush' "
-        "WHEN h BETWEEN 10 AND 15 THEN 'midday' WHEN h BETWEEN 16 AND 19 THEN 'evening_rush' "
-        "WHEN h BETWEEN 20 AND 23 THEN 'evening' ELSE 'overnight' END"
-    )
+    """Make the functions callable from SQL; the first two are macros over the same edges, not Python."""
+    (edges, far), (spans, other) = DISTANCES, TIMES
+    distance = " ".join(f"WHEN d <= {edge} THEN '{label}'" for edge, label in edges)
+    time = " ".join(f"WHEN h BETWEEN {a} AND {b} THEN '{label}'" for a, b, label in spans)
+    macro = "CREATE OR REPLACE TEMPORARY FUNCTION {} RETURNS STRING RETURN CASE WHEN {} ELSE '{}' END"
+    spark.sql(macro.format("distance_class(d DOUBLE)", f"d IS NULL THEN 'unknown' {distance}", far))
+    spark.sql(macro.format("time_of_day(h INT)", f"h IS NULL THEN NULL {time}", other))
     spark.udf.register("tip_pct_vec", tip_pct_vec)

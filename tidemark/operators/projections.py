@@ -40,8 +40,8 @@ def enforce(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
 
     def survives(f: T.StructField) -> Column:
         """The value cast back, or for text the number it stands for, is what it was."""
-        if isinstance(f.dataType, T.IntegralType) and not isinstance(df.schema[f.name].dataType, T.IntegralType):
-            return fitted(f) == F.col(f.name).try_cast("decimal(38,9)")
+        if isinstance(f.dataType, T.IntegralType) and source[f.name] == "string":
+            return fitted(f) == F.col(f.name).try_cast("decimal(38,18)")
         if source[f.name] == "string" or isinstance(f.dataType, T.StringType):
             return fitted(f).isNotNull()
         return fitted(f).try_cast(source[f.name]) == F.col(f.name)

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.amounts import mean, mean_ratio, ratio, total
 from tidemark.functions.scalars import direction, safe_divide
 from tidemark.functions.times import RUSH_HOURS, day_name, day_type, in_hours, iso_dow, rush_category
-from tidemark.operators.aggregates import correlations
-from tidemark.operators.joins import enrich_roles, join_daily
+from tidemark.operators.joins import enrich_roles
 from tidemark.operators.sets import top_k
 from tidemark.operators.windows import moving_avg
 
@@ -181,15 +180,6 @@ def factor_premium(joined: DataFrame, exposed: Column, measure: str) -> DataFram
     return out.withColumn("premium_pct", F.when(F.col("other_mean") != 0, gap))
 
 
-def factor_correlations(joined: DataFrame, factors: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    return correlations(joined, factors, measures)
-
-
-def trips_by_factor_day(df: DataFrame, factors: DataFrame, ts: str) -> DataFrame:
-    """Row-level enrichment with the day's factor."""
-    return join_daily(df, factors, ts)
-
-
 def compare_sources(df: DataFrame, source: str) -> DataFrame:
     """One line per source: volume, mean duration and mean fare (NULL where a source has none)."""
     return df.groupBy(source).agg(trips(), mean("duration_min").alias("avg_duration"), mean("fare").alias("avg_fare"))
