@@ -435,7 +435,7 @@ def test_tiny_fractions_do_not_fit_whole_numbers(spark):
 
     from tidemark.operators.projections import enforce
 
-    df = spark.createDataFrame([(1.0000000001, "1.0000000001"), (2.0, "2"), (3.0, "3.0"), (None, None)], "a double, b string")
+    df = spark.createDataFrame([(1.0000000001, "1.0000000001"), (2.0, "2"), (3.0, "3"), (None, None)], "a double, b string")
     want = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     fit, lost = enforce(df, want)
     assert {r.column_name: r.failures for r in lost.collect()} == {"a": 1, "b": 1}

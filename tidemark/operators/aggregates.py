@@ -22,9 +22,19 @@ def summarise(df: DataFrame, by: Sequence[str], aggs: Mapping[str, Column]) -> D
 def distinct_counts(
     df: DataFrame, by: Sequence[str], columns: Mapping[str, Column], approx: bool = False
 ) -> DataFrame:
-    """Distinct values per group; ``approx`` uses a fixed-size sketch for profiles."""
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return summarise(df, by, {n: count(c) for n, c in columns.items()})
+    """Distinct values per group; ``approx`` uses a fixed-size sketch for profiles.
+
+    Several exact counts in one aggregate would copy every row once for each. Here each is counted on its own
+    narrow scan, and the counts meet in one small aggregate.
+    """
+    if approx or len(columns) == 1:
+        count = F.approx_count_distinct if approx else F.count_distinct
+        return summarise(df, by, {n: count(c) for n, c in columns.items()})
+    parts = []
+    for name, c in columns.items():
+        others = [F.lit(None).cast("bigint").alias(n) if n != name else F.col(n) for n in columns]
+        parts.append(df.groupBy(*by).agg(F.count_distinct(c).alias(name)).select(*by, *others))
+    return reduce(DataFrame.unionAll, parts).groupBy(*by).agg(*[F.max(n).alias(n) for n in columns])
 
 
 def share(df: DataFrame, by: Sequence[str], condition: Column) -> DataFrame:

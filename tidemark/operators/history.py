@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import hash_key
@@ -19,16 +19,16 @@ def drop_exact_duplicates(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "first") -> DataFrame:
-    """One row per key: first or last by ``order`` (NULLs lowest).
+    """One row per key: first or last by ``order`` (NULLs lowest), ties by the other columns in turn.
 
-    Written as an aggregate, so copies meet on the map side and a key with many copies is no
-    bigger than one row when it is shuffled.
+    Only the first place of a ranking is kept, so every task ranks its own rows before the shuffle and sends one
+    row per key: copies meet on the map side, and a key with many copies is no bigger than a task's
+    one row when it is shuffled.
     """
-    rest = [c for c in df.columns if c not in keys]
-    row = F.struct(*[F.col(c) for c in [*order, *[c for c in rest if c not in order]]])
-    pick = F.min(row) if keep == "first" else F.max(row)
-    out = df.groupBy(*keys).agg(pick.alias("_row"))
-    return out.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    by = [F.col(c).asc_nulls_first() if keep == "first" else F.col(c).desc_nulls_last() for c in [*order, *rest]]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
 
 
 def duplicate_frequency(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -15,7 +15,8 @@ from tidemark.scratch import materialise
 def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: nulls, distinct values, range, mean, deviation, negatives.
 
-    Distinct counts are sketches unless ``exact_distinct``; exact ones shuffle the distinct cells as text.
+    Distinct counts are sketches unless ``exact_distinct``; exact ones cost a narrow scan and a shuffle of the
+    distinct values per column.
     """
     def stats(field: T.StructField) -> list[Column]:
         c = F.col(field.name)
@@ -34,12 +35,9 @@ def profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     names = df.columns
     row = df.agg(F.count(F.lit(1)).alias("__rows"), *[s for f in df.schema.fields for s in stats(f)])
     if exact_distinct:
-        # One scan for all columns: (column, value) pairs are combined on the map side before they are counted.
-        plain = lambda f: F.col(f.name) + F.lit(0.0) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-        cells = [F.struct(F.lit(f.name).alias("c"), plain(f).cast("string").alias("v")) for f in df.schema.fields]
-        pairs = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").distinct()
-        counts = pairs.agg(*[F.count_if(F.col("c") == c).alias(f"{c}__d") for c in names])
-        row = row.drop(*[f"{c}__d" for c in names]).crossJoin(F.broadcast(counts))
+        row = row.drop(*[f"{c}__d" for c in names])
+        for c in names:  # one row each, counted side by side; a scan reads its own column only
+            row = row.crossJoin(F.broadcast(df.agg(F.count_distinct(c).alias(f"{c}__d"))))
     lines = [
         F.struct(
             F.lit(c).alias("column_name"),

@@ -68,7 +68,10 @@ def _index(out: str) -> str:
 
 def _known_keys(spark: SparkSession, batch: DataFrame, out: str, own: str, keys: Sequence[str]) -> DataFrame | None:
     """The keys of ``batch`` that other directories of ``out`` hold, or None."""
-    parts = {p for p in children(spark, out) if p.startswith("epoch=") and p != f"epoch={own}"}
+    found = [p for p in children(spark, out) if not p.startswith(("_", "."))]
+    if foreign := [p for p in found if not p.startswith("epoch=")]:
+        raise ValueError(f"{out} is not a table by epoch: it holds {foreign[0]}")
+    parts = {p for p in found if p != f"epoch={own}"}
     indexed = {p for p in parts if exists(spark, f"{_index(out)}/{p}/_SUCCESS")}
     named = None
     opened = parts - indexed
