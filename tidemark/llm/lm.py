@@ -68,9 +68,9 @@ PRIOR = 0.4
 CHUNK, REACH = 1 << 20, 256
 #: Bytes, and tokens, counted at once.
 AT_ONCE, COUNT_AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 20, 1 << 15
-FREQUENT, FREQUENT_BYTES = 1 << 16, 64
+FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: Distinct tokens a task counts before it sends them on.
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 400_000
 #: Counting tasks are not made fewer than this.
 LEAST_TASKS = 4
 
