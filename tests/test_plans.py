@@ -87,7 +87,7 @@ def test_no_python_in_the_plan(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(n for n in REGISTRY if n.startswith("stream_")))
 def test_streams_have_no_python_node(spark, sf_dir, name, monkeypatch):
     """The stream's plan is taken where the query would start it."""
-    from tidemark.streaming import late, sinks
+    from tidemark.streaming import gate, late, live, sinks
 
     class Started(Exception):
         pass
@@ -96,7 +96,7 @@ def test_streams_have_no_python_node(spark, sf_dir, name, monkeypatch):
         assert stream.isStreaming
         raise Started(stream._jdf.queryExecution().analyzed().toString())
 
-    for module, function in ((sinks, "drain"), (sinks, "stream_to_table"), (late, "split_late")):
+    for module, function in ((sinks, "drain"), (sinks, "stream_to_table"), (late, "split_late"), (gate, "gate_stream"), (live, "surge_stream")):
         monkeypatch.setattr(module, function, catch)
     with pytest.raises(Started) as taken:
         REGISTRY[name].run(spark, sf_dir)
