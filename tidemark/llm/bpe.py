@@ -170,7 +170,10 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """The text of ids, specials included. The tokenizer file names no decoder, so the tokens' strings are joined
         by blanks; ids outside the vocabulary have none and are passed over."""
-        return " ".join([t for t in map(self.tokens.get, ids) if t is not None])
+        try:
+            return " ".join(map(self.tokens.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
 
 @lru_cache(maxsize=2)
