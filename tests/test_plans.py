@@ -135,3 +135,17 @@ def test_quantile_positions_are_broadcast_by_size(spark, sf_dir):
 
     text = plan(quantiles(table(spark, sf_dir, "events"), ["event_type"], "user_id", [0.5]))
     assert "SortMergeJoin" not in text
+
+
+def test_nearly_unique_keys_are_dealt_by_the_size_of_the_table(spark, sf_dir, monkeypatch):
+    """More rows mean more partitions, not larger ones, whatever the session's shuffle partitions; both sides of the join lie alike."""
+    from tidemark.operators import joins
+
+    run, asked = REGISTRY["multi_column_join"].run, lambda df: set(map(int, re.findall(r"hashpartitioning\(l_orderkey#\d+L?, l_linenumber#\d+, (\d+)\)", plan(df))))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    want = sorted(map(tuple, run(spark, sf_dir).collect()))
+    monkeypatch.setattr(joins, "DEALT_BYTES", joins.estimated_bytes(lines) // 20)
+    assert asked(run(spark, sf_dir)) <= {20, 21} and len(asked(run(spark, sf_dir))) == 1
+    assert sorted(map(tuple, run(spark, sf_dir).collect())) == want
+    grown = joins.dealt(lines.unionAll(lines), ["l_orderkey", "l_linenumber"])
+    assert grown.rdd.getNumPartitions() >= 40

@@ -204,7 +204,8 @@ def seen_and_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT l_orderkey, l_linenumber, MAX(l_quantity) AS max_quantity FROM lineitem GROUP BY ALL)
 SELECT copies, COUNT(*) AS keys, SUM(max_quantity) AS sum_quantity FROM a JOIN b USING (l_orderkey, l_linenumber) GROUP BY copies""")
 def multi_column_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, keys = table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"]
+    keys = ["l_orderkey", "l_linenumber"]
+    df = J.dealt(table(spark, sf_dir, "lineitem").select(*keys, "l_quantity"), keys)
     a = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     b = df.groupBy(*keys).agg(F.max("l_quantity").alias("max_quantity"))
     return J.join_on(a, b, keys).groupBy("copies").agg(F.count(F.lit(1)).alias("keys"), F.sum("max_quantity").alias("sum_quantity"))
