@@ -285,6 +285,25 @@ def test_fragments_equal_merging_one_pair_at_a_time():
         assert own.encode_fragment(symbols) == merged(list(symbols))
 
 
+def test_cuts_of_bytes_are_cuts_of_symbols_and_merges_go_by_number():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library, draw = bpe.WordBpe(path), Tokenizer.from_file(path), np.random.default_rng(3)
+    for _ in range(400):
+        word = "".join(draw.choice(list("aeinrstqzxjéß1'"), int(draw.integers(1, 60))))
+        found = own.fragments(own.symbols(word))
+        *inner, last = own.cut(word.encode())
+        assert [len(f) for f in found] == [*map(len, inner), len(last)] and b"".join([*inner, last]) == word.encode()
+        ids = [own.encode_inner(f) for f in inner] + [own.encode_closing(last)]
+        assert ids == [[own.ids[t] for t in own.encode_fragment(f)] for f in found]
+    word = "nzqth" * 30
+    assert bpe.Codec(path).encode(word)[0] == library.encode(word, add_special_tokens=False).ids
+
+
 def test_memo_keeps_what_is_in_use():
     from tidemark.llm.common import Memo
 

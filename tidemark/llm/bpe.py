@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,11 +26,13 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import Memo, is_plain, slices
 
-MEMO_WORDS = 300_000
-MEMO_FRAGMENTS = 200_000
+MEMO_WORDS = 600_000
+MEMO_FRAGMENTS = 300_000
 #: Longer fragments are encoded with a heap: the simple loop is quadratic.
 HEAP_FROM = 48
 NO_RANK = 1 << 62
+#: Bits of an id where two are one number.
+SHIFT = 24
 
 
 def byte_spelling() -> list[str]:
@@ -51,11 +54,19 @@ class WordBpe:
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m): r for r, m in enumerate(model["merges"])}
+        self.pair_ranks = {self.ids[a] << SHIFT | self.ids[b]: r for (a, b), r in self.ranks.items()}
+        self.merged = [self.ids[a + b] for a, b in model["merges"]]
+        self.tokens = {i: t for t, i in self.ids.items()}
         self.words = regex.compile(split)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.spell = byte_spelling()
         self.inside = {pair for t in map(self.token_symbols, self.ids) for pair in zip(t, t[1:])}
+        # the same by bytes: ids of symbols, and pairs that are no cut, before the last byte and with it
+        self.symbol_ids = [self.ids[c] for c in self.spell], [self.ids[c + self.end] for c in self.spell]
+        pairs = [bytes([a, b]) for a in range(256) for b in range(256)]
+        self.follows = {tuple(p) for p in pairs if (self.spell[p[0]], self.spell[p[1]]) in self.inside}
+        self.closes = {p for p in pairs if (self.spell[p[0]], self.spell[p[1]] + self.end) in self.inside}
 
     def token_symbols(self, token: str) -> tuple[str, ...]:
         """The symbols a vocabulary token is made of."""
@@ -80,40 +91,68 @@ class WordBpe:
         out.append(tuple(symbols[start:]))
         return out
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """:meth:`fragments` as bytes of the word; the last one carries the end mark."""
+        follows, out, start, last = self.follows, [], 0, len(word) - 1
+        if not follows.issuperset(zip(word, word[1:last])):
+            for i, pair in enumerate(zip(word, word[1:last]), 1):
+                if pair not in follows:
+                    out.append(word[start:i])
+                    start = i
+        if last > 0 and word[last - 1 :] not in self.closes:
+            out.append(word[start:last])
+            start = last
+        out.append(word[start:])
+        return out
+
+    def encode_inner(self, fragment: bytes) -> list[int]:
+        """Ids of a fragment of :meth:`cut` that does not end its word."""
+        symbol = self.symbol_ids[0]
+        return self.merge([symbol[b] for b in fragment])
+
+    def encode_closing(self, fragment: bytes) -> list[int]:
+        """Ids of a fragment of :meth:`cut` that ends its word."""
+        symbol, last = self.symbol_ids
+        return self.merge([*[symbol[b] for b in fragment[:-1]], last[fragment[-1]]])
+
     def encode_fragment(self, fragment: tuple[str, ...]) -> list[str]:
-        """Tokens of a fragment: the pair of lowest rank is merged, the leftmost first, until none is left."""
-        if len(fragment) >= HEAP_FROM:
-            return self._encode_long(fragment)
-        parts, rank = list(fragment), self.ranks.get
-        ranks = [rank(pair, NO_RANK) for pair in zip(parts, parts[1:])]
+        """Tokens of a fragment."""
+        return [self.tokens[i] for i in self.merge([self.ids[s] for s in fragment])]
+
+    def merge(self, parts: list[int]) -> list[int]:
+        """The pair of lowest rank is merged, the leftmost first, until none is left. Pairs are one number each."""
+        if len(parts) >= HEAP_FROM:
+            return self._merge_long(parts)
+        rank, merged = self.pair_ranks.get, self.merged
+        ranks = [rank(a << SHIFT | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) < NO_RANK:
             at = ranks.index(best)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del ranks[at]
+            parts[at] = one = merged[best]
+            del ranks[at], parts[at + 1]
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), NO_RANK)
+                ranks[at - 1] = rank(parts[at - 1] << SHIFT | one, NO_RANK)
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), NO_RANK)
+                ranks[at] = rank(one << SHIFT | parts[at + 1], NO_RANK)
         return parts
 
-    def _encode_long(self, fragment: tuple[str, ...]) -> list[str]:
-        parts, ranks = list(fragment), self.ranks
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        ranks = self.pair_ranks
         after = [*range(1, len(parts)), -1]
         before = [*range(-1, len(parts) - 1)]
-        heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        heap = [(ranks[p], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (p := a << SHIFT | b) in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = a + b, None, after[j]
+            parts[i], parts[j], after[i] = self.merged[best], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (pair := (parts[left], parts[right])) in ranks:
-                    heapq.heappush(heap, (ranks[pair], left, *pair))
-        return [p for p in parts if p is not None]
+                if left >= 0 and right >= 0 and (pair := parts[left] << SHIFT | parts[right]) in ranks:
+                    heapq.heappush(heap, (ranks[pair], left, parts[left], parts[right]))
+        return [p for p in parts if p >= 0]
 
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """(normalised text, None) and (special string, its id) in order, as the library splits them."""
@@ -139,18 +178,20 @@ class Codec:
 
     def __init__(self, path: str):
         self.bpe = WordBpe(path)
-        self.fragment = Memo(self.bpe.encode_fragment, MEMO_FRAGMENTS)
+        self.inner = Memo(self.bpe.encode_inner, MEMO_FRAGMENTS)
+        self.closing = Memo(self.bpe.encode_closing, MEMO_FRAGMENTS)
         self.chunk = Memo(self._chunk, MEMO_WORDS)
-        self.tokens = {i: t for t, i in (self.bpe.ids | self.bpe.specials).items()}
+        self.tokens = self.bpe.tokens | {i: t for t, i in self.bpe.specials.items()}
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
         """The ids of a chunk, and as decimals, each preceded by a blank."""
-        b, tokens = self.bpe, []
+        b, ids = self.bpe, []
         for word in b.pre_tokens(chunk):
-            for fragment in b.fragments(b.symbols(word)):
-                tokens += self.fragment[fragment]
-        ids = tuple([b.ids[t] for t in tokens])
-        return ids, "".join([f" {i}" for i in ids])
+            *inner, last = b.cut(word.encode())
+            for fragment in inner:
+                ids += self.inner[fragment]
+            ids += self.closing[last]
+        return tuple(ids), "".join([f" {i}" for i in ids])
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids of a text, and as decimals joined by blanks."""
@@ -161,10 +202,9 @@ class Codec:
                 ids.append(special)
                 decimals.append(f" {special}")
                 continue
-            for run in part.split() if is_plain(part) else part.split(" "):
-                own, text_of = self.chunk[run]
-                ids += own
-                decimals.append(text_of)
+            found = [*map(self.chunk.__getitem__, part.split() if is_plain(part) else part.split(" "))]
+            ids += chain.from_iterable([own for own, _ in found])
+            decimals += [text_of for _, text_of in found]
         return ids, "".join(decimals)[1:]
 
     def decode(self, ids: list[int]) -> str:
