@@ -149,3 +149,8 @@ def test_nearly_unique_keys_are_dealt_by_the_size_of_the_table(spark, sf_dir, mo
     assert sorted(map(tuple, run(spark, sf_dir).collect())) == want
     grown = joins.dealt(lines.unionAll(lines), ["l_orderkey", "l_linenumber"])
     assert grown.rdd.getNumPartitions() >= 40
+
+
+def test_summary_of_the_layers_starts_no_python_worker(spark, sf_dir):
+    out = REGISTRY["medallion_summary"].run(spark, sf_dir)
+    assert "ExistingRDD" not in plan(out) and out.count() == 7
