@@ -213,6 +213,40 @@ def test_long_texts_are_cut_into_chunks_that_keep_their_context(monkeypatch):
     assert parts[1:-1].max() < 1.5 * parts[1:-1].min()
 
 
+def test_frequent_endings_have_shorter_codes_of_their_own(spark, monkeypatch):
+    rows = [(b"queen", 40), (b"quick", 9), (b"sad", 30), (b"sat", 30), (None, 5)]
+    tokens = spark.createDataFrame(rows, "token binary, n long")
+    own = lm.own_counts(tokens)
+    text = np.frombuffer(b"\xff queen quick", np.uint8)
+    after_qu = int(lm.endings(text)[3])
+    assert lm.endings(text)[[0, 1, 7]].tolist() == [-1, -1, -1] and lm.endings(text)[9] == after_qu
+    assert {chr(b): int(n) for b, n in enumerate(own[after_qu]) if n} == {"e": 40, "i": 9}
+    monkeypatch.setattr(lm, "OWN_CODES", 2)
+    assert set(lm.own_counts(tokens)) < set(own) and len(lm.own_counts(tokens)) == 2
+    code, plain = lm.Code.of(lm.byte_counts(tokens), own), lm.Code.of(lm.byte_counts(tokens))
+    assert len(code.spell(code.pairs(text))[0]) < len(plain.spell(plain.pairs(text))[0])
+    shared = lm.Code.of(np.zeros((256, 256), np.int64), own)
+    model = lm.Model(shared, {n: np.zeros(1 << 16, np.int8) for n in lm.CONTEXTS}, np.tile(lm.starting(), (lm.GATES, 1)))
+    logs = model.score([(b"\xff" * 8 + b"qu", bytes([b])) for b in range(256)])
+    assert abs(np.exp(logs).sum() - 1) < 1e-5 and shared.pairs(text)[4] >> 8 >= 256
+
+
+def test_a_chunk_within_a_long_word_does_not_depend_on_its_group(monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 700)
+    model = toy_model(["x" * 3000])
+    other, (_, second, *_) = (b"\xff" * 8, b"no end here"), lm.chunks([b"x" * 3000])
+    assert model.score([other, second])[1] == pytest.approx(model.score([second])[0], rel=1e-5)
+    assert (lm.hashes(lm.join([other, second])[0])[0][-50:] == lm.hashes(lm.join([second])[0])[0][-50:]).all()
+
+
+def test_arrow_splits_texts_as_words_does():
+    import pyarrow as pa
+
+    texts = [None, "", " ", "A\x0bb\x0cC\x1cd\x85e\xa0f  İÉß\r\n", "\tZ[@`{ 中文 Q\x00q "] + [t for _, t in MANY]
+    got = lm.split(pa.array(texts, pa.string())).cast(pa.list_(pa.binary())).to_pylist()
+    assert [[w for w in g if w] for g in got] == [lm.words(t) for t in texts]
+
+
 def brute_base(rows):
     folds = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 for d, _ in rows]
     tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]

@@ -2,7 +2,8 @@
 
 **Text.** Lower-cased words joined by blanks, closed by a byte that UTF-8 never uses: the model gives the
 probability of the sequence of tokens, as the base does. A byte is predicted as the bits of a prefix code
-built from the corpus' counts of bytes after each byte, so common bytes cost few predictions.
+built from the corpus' counts of bytes after the last three bytes of the word so far where these are among the
+most frequent, else after each byte, so common bytes cost few predictions.
 
 **Predictors.** Each context has a table of slots. A bit falls into the slot of the hash of its context and its
 place in the code; a slot counts zeros and ones over all training documents and predicts the log-odds.
@@ -30,9 +31,12 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +48,21 @@ BLANK = 0x20
 FOLDS = 10
 #: Documents of this fold of the id's checksum are held out; every so many-th of the others fits the weights first.
 HELD_OUT, WEIGHT_SHARE = 0, 100
-#: Contexts inside the current word (all of it so far, or ``iN``: its last N bytes), counted on distinct tokens, and
-#: contexts of the last bytes whatever they are, counted on running text.
+#: Contexts inside the current word (all of it so far), counted on distinct tokens, and contexts of the last bytes
+#: (eight at most) whatever they are, counted on running text.
 IN_WORD, RUNNING = ("word",), ("o4", "o6")
 CONTEXTS = IN_WORD + RUNNING
 #: The contexts whose being seen chooses the weights.
 GATED = (0, 1, 2)
+#: Codes are chosen by so many last bytes of the word, the blank before it included, hashed to so many bits; the most
+#: frequent of these hashes have a code of their own.
+CODE_BYTES, CODE_HASH_BITS, OWN_CODES = 3, 16, 512
 #: Slots of a table: one for this power of two of bytes of the corpus, within bounds (powers of two as well).
 LEAST_BITS, MOST_BITS, BYTES_A_SLOT = 16, 22, 1
 #: Slots of a table in one shuffled row.
 BLOCK_SLOTS = 4096
 BLOCKS_A_TASK = 64
-SEGMENT, BLOCK, LANES = 4096, 64, 512
+SEGMENT, BLOCK, LANES = 4096, 64, 192
 RATE = 0.004
 #: Newton steps to the corpus' weights, from this weight of every context, with this ridge towards it.
 WEIGHT_ROUNDS, START, RIDGE = 3, 0.3, 10.0
@@ -66,11 +73,13 @@ STEPS = 12
 PRIOR = 0.4
 #: Texts are read in chunks of so many bytes; contexts reach back so far.
 CHUNK, REACH = 1 << 20, 256
+#: Contexts are hashed for about so many bytes at once.
+TILE = 1 << 14
 #: Bytes, and tokens, counted at once.
 AT_ONCE, COUNT_AT_ONCE, COUNT_TOKENS = 1 << 19, 1 << 20, 1 << 15
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
-#: Distinct tokens a task counts before it sends them on.
-MEMO_TOKENS = 400_000
+#: Tokens a task counts at once before it sends them on.
+TOKENS_AT_ONCE = 3_000_000
 #: Counting tasks are not made fewer than this.
 LEAST_TASKS = 4
 
@@ -115,31 +124,63 @@ def _paths(counts: list[int]) -> list[list[tuple[int, int]]]:
     return paths
 
 
+def endings(data: np.ndarray) -> np.ndarray:
+    """The hash of the word's last bytes up to every byte, -1 where that byte is all there is of a word."""
+    last = np.where(data == END, np.uint32(BLANK), data.astype(np.uint32))
+    within = (last != BLANK).astype(np.uint32)[1:]
+    key = last
+    for _ in range(CODE_BYTES - 1):
+        longer = last.copy()
+        longer[1:] |= (key[:-1] << np.uint32(8)) * within
+        key = longer
+    h = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - CODE_HASH_BITS)).astype(np.int32)
+    return np.where(key > END, h, np.int32(-1))
+
+
 @dataclass(frozen=True)
 class Code:
-    """Prefix codes of bytes, one for each byte before, flattened: paths of (inner node, bit), as ``2 * node + bit``."""
+    """Prefix codes of bytes, flattened: paths of (inner node, bit), as ``2 * node + bit``.
+
+    The first 256 codes are those by the byte before; ``own`` gives the code of every hash of a word's last bytes,
+    -1 for none. Its last entry, that of hash -1, is none.
+    """
 
     start: np.ndarray
     length: np.ndarray
     paths: np.ndarray
+    own: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> "Code":
-        """Huffman codes of counts by byte before and byte; all that never occurs before anything shares one code."""
+    def of(cls, counts: np.ndarray, own: dict[int, np.ndarray] | None = None) -> "Code":
+        """Huffman codes of counts by byte before and byte, and of ``own`` counts by hash of the last bytes; all that never
+        occurs before anything shares one code."""
+        own = own or {}
         shared = _paths(counts.sum(axis=0).tolist())
         paths = [path for row in counts for path in (_paths(row.tolist()) if row.any() else shared)]
+        paths += [path for row in own.values() for path in _paths(row.tolist())]
         length = np.array([len(p) for p in paths], np.int32)
-        return cls((np.cumsum(length) - length).astype(np.int32), length, np.array([2 * n + bit for p in paths for n, bit in p], np.uint16))
-
-    def spell(self, before: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many bits each byte of ``data`` has after the byte ``before`` it; for every bit its node, and itself."""
-        pair = before.astype(np.int32) << 8 | data
-        length = self.length.take(pair)
-        ends = np.cumsum(length, dtype=np.int32)
-        at = np.repeat(self.start.take(pair) - ends + length, length)
-        at += np.arange(len(at), dtype=np.int32)
+        order = np.lexsort((length, np.arange(len(paths)) >> 8))  # a code's short paths lie together
+        start = np.empty_like(length)
+        start[order] = np.cumsum(length[order]) - length[order]
+        chosen = np.full((1 << CODE_HASH_BITS) + 1, -1, np.int32)
+        chosen[list(own)] = 256 + np.arange(len(own))
+        return cls(start, length.astype(np.uint8), np.array([2 * n + bit for i in order for n, bit in paths[i]], np.uint16), chosen)
+
+    def pairs(self, data: np.ndarray) -> np.ndarray:
+        """The code of every byte, from the bytes before it, and the byte, as ``256 * code + byte``; the first one's code is any."""
+        codes = np.zeros(len(data), np.int32)
+        found = self.own.take(endings(data[:-1]), mode="wrap")
+        codes[1:] = np.where(found < 0, data[:-1], found)
+        return codes << np.int32(8) | data
+
+    def spell(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every bit of ``pairs`` the place of its byte, its node, and itself."""
+        length = self.length.take(pairs).astype(np.int64)
+        owner = np.repeat(np.arange(len(pairs)), length)
+        at = (self.start.take(pairs) + length - np.cumsum(length)).take(owner)
+        at += np.arange(len(at))
         path = self.paths.take(at)
-        return length, path >> 1, path & 1
+        return owner, (path >> np.uint16(1)).astype(np.int64), path & np.uint16(1)
 
 
 # Contexts
@@ -148,7 +189,7 @@ def chunks(tokens: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
     """A document as (what stands before, bytes to predict) pairs: words, each closed by a blank, then the end."""
     data = b" ".join([*tokens, bytes([END])])
     for at in range(0, len(data), CHUNK):
-        yield bytes([END]) * 8 if at == 0 else data[max(0, at - REACH) : at], data[at : at + CHUNK]
+        yield bytes([END]) * 8 if at == 0 else bytes([END]) + data[max(0, at - REACH + 1) : at], data[at : at + CHUNK]
 
 
 def join(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,54 +199,75 @@ def join(pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.frombuffer(b"".join(x for pair in pairs for x in pair), np.uint8), starts, sizes[:, 1]
 
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
+def tiles(pairs: list[tuple[bytes, bytes]]) -> Iterator[list[tuple[bytes, bytes]]]:
+    """``pairs`` in runs of about ``TILE`` bytes: what is computed for one stays in the processor's cache."""
+    first, held = 0, 0
+    for at, (before, data) in enumerate(pairs, 1):
+        held += len(before) + len(data)
+        if held >= TILE or at == len(pairs):
+            yield pairs[first:at]
+            first, held = at, 0
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    """32 well-mixed bits of 64-bit hashes."""
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(32)).astype(np.uint32)
+def _mix(h: np.ndarray, salt: int) -> np.ndarray:
+    """32 well-mixed bits of 64-bit keys."""
+    h = h * _ODD
+    h += np.uint64(salt)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(32)
+    return h.astype(np.uint32)
 
 
 def hashes(data: np.ndarray, names: tuple[str, ...] = CONTEXTS) -> list[np.ndarray]:
     """The hash of each context at every byte, from the bytes before it."""
-    n, c, inside = len(data), data.astype(np.uint64) + np.uint64(1), None
-    out = []
+    wide, out = data.astype(np.uint64), []
+    key, held = np.zeros(len(data), np.uint64), 0
     for name in names:
-        salt = np.uint64(CONTEXTS.index(name) + 1)
-        if name[0] == "o":
-            h = np.full(n, salt)
-            for back in range(1, int(name[1:]) + 1):
-                h[back:] += c[: n - back] * np.uint64(pow(_ODD, 2 * back + 1, 1 << 64))
+        if name == "word":
+            h = _word_hash(data, wide)
         else:
-            inside = inside or _words(data, c)
-            h = _word_hash(*inside, n if name == "word" else int(name[1:])) + salt
-        out.append(_mix(h))
+            if held > int(name[1:]):
+                key, held = np.zeros(len(data), np.uint64), 0
+            for back in range(held + 1, int(name[1:]) + 1):
+                key[back:] |= wide[:-back] << np.uint64(8 * back - 8)
+            h, held = key, int(name[1:])
+        out.append(_mix(h, CONTEXTS.index(name) + 1))
     return out
 
 
-def _words(data: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Running sums of a polynomial in the position, its inverse powers, and where each byte's word starts."""
-    n = len(data)
-    power, inverse = np.full(n, _ODD, np.uint64), np.full(n, _INVERSE, np.uint64)
-    power[0] = inverse[0] = 1
-    total = np.zeros(n, np.uint64)
-    np.cumsum((c * np.cumprod(power))[:-1], out=total[1:])
-    start = np.zeros(n, np.int64)
-    start[1:] = np.maximum.accumulate(np.where((data == BLANK) | (data == END), np.arange(1, n + 1), 0))[:-1]
-    return total, np.cumprod(inverse), start
+def _word_hash(data: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """A polynomial of the word so far, at every byte."""
+    start = np.flatnonzero(np.concatenate([[True], ((data == BLANK) | (data == END))[:-1]]))
+    size = np.diff(start, append=len(data))
+    place = np.arange(len(data)) - np.repeat(start, size)
+    terms = np.cumprod(np.full(int(size.max()), _ODD)).take(place)
+    terms *= wide + np.uint64(1)
+    total = np.zeros(len(data), np.uint64)
+    np.cumsum(terms[:-1], out=total[1:])
+    total -= np.repeat(total[start], size)
+    return total
 
 
-def _word_hash(total: np.ndarray, inverse: np.ndarray, start: np.ndarray, longest: int) -> np.ndarray:
-    """Hash of the word so far, of its last ``longest`` bytes at most, at every byte; beginnings are told apart."""
-    since = np.maximum(start, np.arange(len(start)) - longest)
-    return ((total - total[since]) * inverse[since] << np.uint64(1)) + (since == start).astype(np.uint64)
+def slots(h: np.ndarray, owner: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of every bit in the table of one context: nodes of one context lie near each other."""
+    at = (h >> (32 - bits)).take(owner)
+    at ^= nodes
+    return at
 
 
-def slots(h: np.ndarray, length: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of every bit in the table of one context: nodes of one context lie near each other."""
-    return np.repeat((h >> np.uint32(32 - bits)).view(np.int32), length) ^ nodes
+def context_rows(pairs: list[tuple[bytes, bytes]], code: Code, names: tuple[str, ...]) -> np.ndarray:
+    """A row for every byte of joined ``pairs``: the hash of each context, then its code and itself."""
+    found, end = np.empty((sum(len(a) + len(b) for a, b in pairs), len(names) + 1), "<u4"), 0
+    for tile in tiles(pairs):
+        data = join(tile)[0]
+        begin, end = end, end + len(data)
+        for k, column in enumerate([*hashes(data, names), code.pairs(data)]):
+            found[begin:end, k] = column
+    return found
 
 
 # Tables
@@ -240,11 +302,11 @@ def count_pairs(pairs: list[tuple[bytes, bytes]], code: Code, tables: dict[str,
 
     Equal bytes after equal contexts are added up first, in the order of the hashes, which is that of the slots.
     """
-    data, starts, sizes = join(pairs)
+    _, starts, sizes = join(pairs)
     inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    pairs_ = data[inside - 1].astype(np.uint64) << np.uint64(8) | data[inside]
-    for (name, table), h in zip(tables.items(), hashes(data, tuple(tables))):
-        keys = (h[inside].astype(np.uint64) << np.uint64(16)) | pairs_
+    found = context_rows(pairs, code, tuple(tables)).take(inside, axis=0)
+    for k, table in enumerate(tables.values()):
+        keys = found[:, k].astype(np.uint64) << np.uint64(32) | found[:, -1]
         if times is None:
             keys.sort()
         else:
@@ -253,9 +315,9 @@ def count_pairs(pairs: list[tuple[bytes, bytes]], code: Code, tables: dict[str,
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(first, append=len(keys)) if times is None else np.add.reduceat(weights, first)
         keys = keys[first]
-        length, nodes, values = code.spell((keys >> np.uint64(8)).astype(np.uint8), keys.astype(np.uint8))
-        at = slots((keys >> np.uint64(16)).astype(np.uint32), length, nodes, (len(table) // 2).bit_length() - 1)
-        np.add.at(table, 2 * at.astype(np.int64) + values, np.repeat(n.astype(table.dtype), length))
+        owner, nodes, values = code.spell(keys.astype(np.uint32).view(np.int32))
+        at = slots((keys >> np.uint64(32)).view(np.int64), owner, nodes, (len(table) // 2).bit_length() - 1)
+        np.add.at(table, 2 * at + values, n.astype(table.dtype).take(owner))
 
 
 def _blocks(tables: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -367,25 +429,35 @@ class Model:
     weights: np.ndarray
     rate: float = RATE
 
+    @cached_property
+    def flat(self) -> np.ndarray:
+        """The tables one after another: in one large array, which the system may keep in large pages."""
+        return np.concatenate([*self.tables.values()])
+
     def score(self, pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
         """Natural log-probability of each pair's bytes."""
-        logs, m = np.zeros(len(pairs)), len(self.tables)
-        for of_lane, lanes, steps in self._lanes(pairs):
-            weights = np.tile(self.weights.T, lanes).astype(np.float32)  # a column per lane and gate
-            for alive, bits, gate, odds, sign in steps:
-                column = np.repeat((alive * GATES).astype(np.int32), bits)
-                column += gate
+        logs, m, rate = np.zeros(len(pairs)), len(self.tables), np.float32(self.rate)
+        for of_lane, steps in self._lanes(pairs):
+            weights = np.tile(self.weights.T, len(of_lane)).astype(np.float32)  # a column per lane and gate
+            weights[:m] /= STEPS
+            cost = np.zeros(weights.shape[1])
+            for column, odds, sign in steps:
                 dot = weights[m].take(column)
                 for k in range(m):
-                    dot += weights[k].take(column) * odds[k]
-                dot = np.clip(dot, -CERTAIN, CERTAIN, out=dot) * sign
+                    one = weights[k].take(column)
+                    one *= odds[k]
+                    dot += one
+                np.clip(dot, -CERTAIN, CERTAIN, out=dot)
+                dot *= sign
                 given = 1 / (1 + np.exp(-dot))  # the probability given to the bit
-                first = np.cumsum(bits) - bits
-                np.add.at(logs, of_lane[alive], np.add.reduceat(np.log(given), first, dtype=np.float64))
-                push = ((1 - given) * sign).astype(np.float64)
+                cost += np.bincount(column, np.log(given), len(cost))
+                push = (1 - given) * sign
+                push *= rate
+                np.add.at(weights[m], column, push)
+                push /= STEPS * STEPS
                 for k in range(m):
-                    weights[k] += self.rate * np.bincount(column, push * odds[k], weights.shape[1])
-                weights[m] += self.rate * np.bincount(column, push, weights.shape[1])
+                    np.add.at(weights[k], column, push * odds[k])
+            np.add.at(logs, of_lane, cost.reshape(-1, GATES).sum(axis=1))
         return logs
 
     def curvature(self, pairs: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -393,9 +465,10 @@ class Model:
         m = len(self.tables) + 1
         slope, bend = np.zeros((GATES, m)), np.zeros((GATES, m, m))
         weights = self.weights.astype(np.float32)
-        for _, _, steps in self._lanes(pairs):
-            for _, _, gate, odds, sign in steps:
-                inputs = np.stack([*odds, np.ones_like(sign)], axis=1)
+        for _, steps in self._lanes(pairs):
+            for column, odds, sign in steps:
+                gate = column % GATES
+                inputs = np.stack([*odds / np.float32(STEPS), np.ones_like(sign)], axis=1)
                 dot = np.clip((weights[gate] * inputs).sum(axis=1), -CERTAIN, CERTAIN)
                 wrong = 1 / (1 + np.exp(dot * sign))
                 for g in np.unique(gate):
@@ -411,34 +484,42 @@ class Model:
         return replace(self, weights=self.weights + np.array(step))
 
     def _lanes(self, pairs):
-        """Groups of segments: the pair of each, their number, and steps of one block of every segment.
+        """Groups of segments: the pair of each, and steps of one block of every segment.
 
-        A step gives the segments that go on and the bits of each, and for every bit its gate, log-odds by context,
-        and 1 or -1 for one or zero.
+        A step gives for every bit its column (segment and gate), stored log-odds by context, and 1 or -1 for one or zero.
+        Neighbours are of different segments, so sums by column seldom wait for the one before.
         """
-        data, starts, sizes = join(pairs)
-        found = hashes(data)
+        _, starts, sizes = join(pairs)
+        found = context_rows(pairs, self.code, tuple(self.tables))
         count = -(-sizes // SEGMENT)
-        of_pair = np.repeat(np.arange(len(pairs)), count)
+        of_pair = np.repeat(np.arange(len(sizes)), count)
         first = starts[of_pair] + SEGMENT * (np.arange(len(of_pair)) - np.repeat(np.cumsum(count) - count, count))
         size = np.minimum((starts + sizes)[of_pair] - first, SEGMENT)
+        order = np.argsort(-size, kind="stable")  # segments of like sizes go together
         for at in range(0, len(first), LANES):
-            some = slice(at, at + LANES)
-            yield of_pair[some], len(first[some]), self._steps(data, found, first[some], size[some])
-
-    def _steps(self, data, found, first, size):
-        for step in range(-(-int(size.max()) // BLOCK)):
-            alive = np.flatnonzero(size > step * BLOCK)
-            many = np.minimum(size[alive] - step * BLOCK, BLOCK)
-            before = np.cumsum(many) - many
-            inside = np.repeat(first[alive] + step * BLOCK - before, many) + np.arange(many.sum())
-            length, nodes, values = self.code.spell(data[inside - 1], data[inside])
-            odds = [t.take(slots(h[inside], length, nodes, len(t).bit_length() - 1)) for h, t in zip(found, self.tables.values())]
-            gate = np.zeros(len(nodes), np.int32)
-            for place, k in enumerate(GATED):
-                gate += (odds[k] != 0).view(np.int8) << np.int8(place)
-            scaled = [o.astype(np.float32) * np.float32(1 / STEPS) for o in odds]
-            yield alive, np.add.reduceat(length, before), gate, scaled, values.astype(np.float32) * 2 - 1
+            some = order[at : at + LANES]
+            yield of_pair[some], self._steps(found, first[some], size[some])
+
+    def _steps(self, found, first, size):
+        place, lanes, m = np.arange(BLOCK)[:, None], np.arange(len(first)), len(self.tables)
+        for begin in range(0, int(size[0]), BLOCK):
+            full, alive = np.searchsorted(-size, [-begin - BLOCK + 1, -begin])  # sizes fall
+            inside, lane = (first[:full] + begin + place).ravel(), np.tile(lanes[:full], BLOCK)
+            if full < alive:
+                here = place < size[full:alive] - begin
+                inside = np.concatenate([inside, (first[full:alive] + begin + place)[here]])
+                lane = np.concatenate([lane, np.broadcast_to(lanes[full:alive], here.shape)[here]])
+            rows = found.take(inside, axis=0)
+            owner, nodes, values = self.code.spell(rows[:, m].view(np.int32))
+            begins, odds = 0, np.empty((m, len(nodes)), np.int8)
+            for k, t in enumerate(self.tables.values()):
+                at = slots(rows[:, k].astype(np.int64), owner, nodes, len(t).bit_length() - 1)
+                at += begins
+                self.flat.take(at, out=odds[k], mode="clip")
+                begins += len(t)
+            column, seen = (lane * GATES).take(owner), (odds != 0).view(np.int8)
+            column += sum(seen[k] << np.int8(bit) for bit, k in enumerate(GATED))
+            yield column, odds.astype(np.float32), values.astype(np.float32) * 2 - 1
 
 
 def fit_weights(model: Model, docs: DataFrame, text_col: str, rounds: int = WEIGHT_ROUNDS) -> Model:
@@ -465,29 +546,42 @@ def fit_weights(model: Model, docs: DataFrame, text_col: str, rounds: int = WEIG
 
 # Base
 
+def split(texts: pa.Array) -> pa.ListArray:
+    """The words of many texts; an empty one may stand first and last."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+
+
 def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Tokens of the training documents: ``token`` (null: the end), ``n``, and ``n_fit`` of them where weights are fitted."""
 
+    def counted(held: list[pa.Array], ends: int, fits: bool) -> pa.RecordBatch:
+        some = pc.value_counts(pa.chunked_array(held, pa.binary()))
+        keys, n = some.field(0), some.field(1)
+        real = pc.greater(pc.binary_length(keys), 0)
+        keys = pa.concat_arrays([keys.filter(real), pa.array([None], pa.binary())])
+        n = pa.concat_arrays([n.filter(real), pa.array([ends], pa.int64())])
+        return pa.RecordBatch.from_arrays([keys, n, n if fits else pa.array(np.zeros(len(n), np.int64))], ["token", "n", "n_fit"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        held: dict[bool, list[pa.Array]] = {False: [], True: []}
+        ends, size = {False: 0, True: 0}, 0
 
-        def rows() -> pa.RecordBatch:
-            keys = [*counts[0], *(k for k in counts[1] if k not in counts[0])]
-            n, fit = ([c[k] for k in keys] for c in counts)
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array([a + b for a, b in zip(n, fit)], pa.int64()), pa.array(fit, pa.int64())], ["token", "n", "n_fit"])
-            for c in counts:
-                c.clear()
-            return batch
+        def rows() -> Iterator[pa.RecordBatch]:
+            for fits in held:
+                if ends[fits]:
+                    yield counted(held[fits], ends[fits], fits)
+                held[fits], ends[fits] = [], 0
 
         for batch in slices(batches):
-            for fits, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = counts[fits]
-                own.update(words(text))
-                own[None] += 1
-            if len(counts[0]) + len(counts[1]) > MEMO_TOKENS:
-                yield rows()
-        yield rows()
+            for fits in held:
+                texts = batch.column(1).filter(pc.equal(batch.column(0), fits))
+                held[fits].append(split(texts).flatten().cast(pa.binary()))
+                ends[fits] += len(texts)
+                size += len(held[fits][-1])
+            if size > TOKENS_AT_ONCE:
+                yield from rows()
+                size = 0
+        yield from rows()
 
     learned = docs.filter(~held_out(id_col)).select(fits_weights(id_col), text_col)
     partial = learned.mapInArrow(run, "token binary, n long, n_fit long")
@@ -519,11 +613,37 @@ def byte_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
+def own_counts(tokens: DataFrame) -> dict[int, np.ndarray]:
+    """Counts of bytes after the ``OWN_CODES`` most frequent hashes of a word's last bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNT_TOKENS):
+                some = batch.slice(at, COUNT_TOKENS)
+                spelled = [b" " + t + b" " for t in some.column(0).to_pylist()]
+                data = np.frombuffer(b"".join(spelled), np.uint8)
+                times = np.repeat(some.column(1).to_numpy(zero_copy_only=False), [len(t) for t in spelled])[1:]
+                ending = endings(data[:-1])
+                told = np.flatnonzero(ending >= 0)
+                keys, where = np.unique(ending[told].astype(np.int64) << 8 | data[1:][told], return_inverse=True)
+                n = np.zeros(len(keys), np.int64)
+                np.add.at(n, where, times[told])
+                yield pa.RecordBatch.from_arrays([pa.array(keys >> 8), pa.array(keys & 255), pa.array(n)], ["ending", "byte", "n"])
+
+    found = tokens.filter("token is not null").select("token", "n").mapInArrow(run, "ending long, byte long, n long")
+    found = materialise(found.groupBy("ending", "byte").agg(F.sum("n").alias("n")), "lm-endings")
+    most = found.groupBy("ending").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "ending").limit(OWN_CODES)
+    counts: dict[int, np.ndarray] = {}
+    for r in found.join(F.broadcast(most), "ending").select("ending", "byte", "n").orderBy("ending", "byte").collect():
+        counts.setdefault(r["ending"], np.zeros(256, np.int64))[r["byte"]] = r["n"]
+    return counts
+
+
 def fit(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: str) -> Model:
     """Learn code, tables and weights from the training documents and their token counts."""
     counts = byte_counts(tokens)
     total = int(counts.sum() - counts[END].sum())
-    bits, code = table_bits(total), Code.of(counts)
+    bits, code = table_bits(total), Code.of(counts, own_counts(tokens))
 
     def tasks(names: tuple[str, ...], n_bytes: int) -> int:
         """So few that the tables they send are no larger than what they read."""
@@ -539,8 +659,9 @@ def fit(docs: DataFrame, tokens: DataFrame, id_col: str, text_col: str) -> Model
     learned = docs.filter(~held_out(id_col))
     rest = counted(learned.filter(~fits_weights(id_col)), F.col("n") - F.col("n_fit"), "lm-counts")
     model = Model(code, log_odds(rest, bits), np.tile(starting(), (GATES, 1)))
-    model = fit_weights(model, learned.filter(fits_weights(id_col)), text_col)
-    added = counted(learned.filter(fits_weights(id_col)), F.col("n_fit"), "lm-added")
+    fitting = materialise(learned.filter(fits_weights(id_col)).select(text_col), "lm-fitting")
+    model = fit_weights(model, fitting, text_col)
+    added = counted(fitting, F.col("n_fit"), "lm-added")
     return replace(model, tables=log_odds(rest.union(added), bits))
 
 
@@ -563,26 +684,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ended, whole = (ends[0]["n"] if ends else 0), n + 0.1 * (v + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base_of = {t: math.log10((c + 0.1) / whole) for t, c in frequent.value.items()}
+        place = {t: k for k, t in enumerate(frequent.value)}
+        base_of = np.log10((np.array([*frequent.value.values(), 0]) + 0.1) / whole)
+        base_of[-1] = 0.0  # of tokens that are not broadcast
         end_score = math.log10((ended + 0.1) / whole)
         for batch in slices(batches):
             documents = [words(t) for t in batch.column(2).to_pylist()]
             logs = np.zeros(len(documents))
             for owners, group in gather(iter(documents), AT_ONCE):
                 np.add.at(logs, owners, model.value.score(group))
-            seen, base, rare = [], [], []
-            for tokens_ in documents:
-                known, total, others = int(ended > 0), end_score, []
-                for t, k in Counter(tokens_).items():
-                    one = base_of.get(t)
-                    if one is None:
-                        others.append((t, k))
-                    else:
-                        known += k
-                        total += k * one
-                seen.append(known)
-                base.append(total)
-                rare.append(others)
+            lengths = [len(d) for d in documents]
+            owner = np.repeat(np.arange(len(documents)), lengths)
+            found = np.fromiter(map(place.get, chain.from_iterable(documents), repeat(-1)), np.int64, len(owner))
+            base = end_score + np.bincount(owner, base_of[found], len(documents))
+            seen = int(ended > 0) + np.bincount(owner, found >= 0, len(documents)).astype(np.int64)
+            before = np.cumsum(lengths) - lengths
+            others = [Counter() for _ in documents]
+            for at, d in zip(np.flatnonzero(found < 0).tolist(), owner[found < 0].tolist()):
+                others[d][documents[d][at - before[d]]] += 1
+            rare = [o.items() for o in others]
             offsets = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
             flat = pa.StructArray.from_arrays(
                 [pa.array([t for r in rare for t, _ in r], pa.binary()), pa.array([k for r in rare for _, k in r], pa.int64())], ["token", "k"])
